@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .language_id import fit_language_id, held_out, identify_language
 from .mixing import mix_sources
+from .packing import pack
+from .secrets import scan_secrets
 from .url_filter import filter_urls
 
 
@@ -18,15 +21,34 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_read(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return identify_language(docs, fit_language_id(docs.filter(~held_out(F.col("doc_id")))))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op7_exact_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_pack, op6_secrets, op7_exact_dedup, op9_language_id, op10_url_filter)}
 
 ORACLES = {
     "op7_exact_dedup": """
