@@ -25,6 +25,7 @@ from ._tables import materialize, shuffles
 
 BITS = 48
 SALTS = 8
+BROADCAST = 1 << 19  # names of suspects, about 50 MB
 
 
 def golomb_encode(gaps: np.ndarray, k: int) -> bytes:
@@ -124,11 +125,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     byte = F.conv(F.hex(F.expr("substring(bitmap, int(pos div 8) + 1, 1)")), 16, 10).cast("int")
     bit = F.expr("shiftright(byte, int(7 - pos % 8)) & 1")
     suspects = materialize(rows.join(answers, ["part", "owner"]).withColumn("byte", byte).filter(bit == 1).select("doc_id", "part", "idx", "sha"), "dedup-suspects")
-    # byte verification: the texts of suspects only, grouped by the bytes themselves; a hot
-    # text meets its name in SALTS places and is combined there before it moves on
-    names = suspects.select("sha").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = hashed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    verified = salted.join(names, ["sha", "salt"], "left_semi").groupBy("sha", "text").agg(F.count("*").alias("copies")).filter("copies > 1").select("sha", "copies")
+    # byte verification: the texts of suspects only, grouped by the bytes themselves. Up to
+    # BROADCAST names go to every executor; more are met by a shuffle, a hot text in SALTS places
+    names = suspects.select("sha").distinct()
+    if names.count() <= BROADCAST:
+        suspect_texts = hashed.join(F.broadcast(names), "sha", "left_semi")
+    else:
+        names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        suspect_texts = hashed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(names, ["sha", "salt"], "left_semi")
+    verified = suspect_texts.groupBy("sha", "text").agg(F.count("*").alias("copies")).filter("copies > 1").select("sha", "copies")
     top = suspects.groupBy("sha").agg(F.max(F.struct("doc_id", "part", "idx")).alias("top"))
     groups = materialize(top.join(verified, "sha").select(F.col("sha").alias("g"), "copies", "top"), "dedup-groups")
     mine = rows.join(groups, rows.sha == groups.g, "left")
