@@ -107,16 +107,22 @@ def fit_language_id(labelled: DataFrame, text_col: str = "text", label_col: str
     """A network from at most `sample` labelled texts, those with the least hash; None without any.
 
     The sample is the bound of a classifier's training data, the one place where
-    rows are not all read; it is drawn evenly over labels by a top-n per label.
+    rows are not all used; it is drawn evenly over labels by the hash of ids.
     """
-    rows = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    names = sorted(r[0] for r in rows.select(F.col(label_col).cast("string")).distinct().collect())
-    if not names:
+    h = F.xxhash64(F.col(id_col).cast("string"), F.lit("cnn"))
+    rows = labelled.filter(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).cast("string").alias("y"), h.alias("h"), F.col(text_col).alias("t"))
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return None
+    names, quota = sorted(counts), max(1, sample // len(counts))
+    # a hash threshold per label, so that what comes to the driver doesn't grow with the table
+    slots = 1 << 24
+    limits = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(slots, slots * (quota + 20) * 5 // (4 * counts[k]) + 1)))])
+    drawn = rows.filter(F.pmod("h", F.lit(slots)) < limits[F.col("y")]).collect()
     texts, y = [], []
     for i, name in enumerate(names):
-        for (t,) in rows.filter(F.col(label_col) == name).orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit("cnn"))).limit(max(1, sample // len(names))).select(text_col).collect():
-            texts.append(t.encode())
+        for r in sorted((r for r in drawn if r["y"] == name), key=lambda r: r["h"] % slots)[:quota]:
+            texts.append(r["t"].encode())
             y.append(i)
     x, owner, _ = windows(texts, most=2)
     return ByteCNN(names).fit(x, np.array(y)[owner])
