@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .html_extract import extract_main_text
 from .language_id import fit_language_id, held_out, identify_language
 from .mixing import mix_sources
 from .packing import pack
@@ -17,6 +18,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_pack, op6_secrets, op7_exact_dedup, op9_language_id, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_html_extract, op4_mix_sources, op5_pack, op6_secrets, op7_exact_dedup, op9_language_id, op10_url_filter)}
 
 ORACLES = {
     "op7_exact_dedup": """
