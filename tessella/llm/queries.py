@@ -9,15 +9,21 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .language_id import fit_language_id, held_out, identify_language
 from .mixing import mix_sources
+from .near_dedup import near_dedup
 from .packing import pack
 from .secrets import scan_secrets
 from .url_filter import filter_urls
+from .vector_dedup import vector_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_read(spark, sf_dir, "pages"))
 
@@ -44,6 +50,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return identify_language(docs, fit_language_id(docs.filter(~held_out(F.col("doc_id")))))
@@ -53,7 +63,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op3_html_extract, op4_mix_sources, op5_pack, op6_secrets, op7_exact_dedup, op9_language_id, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_html_extract, op4_mix_sources, op5_pack, op6_secrets, op7_exact_dedup, op8_vector_dedup, op9_language_id, op10_url_filter)}
 
 ORACLES = {
     "op7_exact_dedup": """
