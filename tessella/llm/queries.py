@@ -11,6 +11,7 @@ from .language_id import fit_language_id, held_out, identify_language
 from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .packing import pack
+from .rnn_lm import lm_score
 from .secrets import scan_secrets
 from .url_filter import filter_urls
 from .vector_dedup import vector_dedup
@@ -20,6 +21,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_read(spark, sf_dir, "documents"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_read(spark, sf_dir, "documents"))
 
@@ -63,7 +68,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_html_extract, op4_mix_sources, op5_pack, op6_secrets, op7_exact_dedup, op8_vector_dedup, op9_language_id, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_html_extract, op4_mix_sources, op5_pack, op6_secrets, op7_exact_dedup, op8_vector_dedup, op9_language_id, op10_url_filter)}
 
 ORACLES = {
     "op7_exact_dedup": """
