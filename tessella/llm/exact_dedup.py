@@ -145,3 +145,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(F.col("g").isNull(), F.lit(True)).otherwise(last).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, all columns as they are; of rows equal in id and text one."""
+    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    made = exact_dedup(docs, id_col, text_col)
+    per = materialize(made.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__name"), "kept").groupBy("__id", "__name").agg(F.count("*").alias("rows"), F.max("kept").alias("stays")).filter("not stays or rows > 1"), "dedup-drops")
+    keyed = docs.withColumn("__sha", sha)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__name"))
+    small = per.count() <= BROADCAST
+    sized = lambda t: F.broadcast(t) if small else t
+    out = keyed.join(sized(per), same, "left_anti").drop("__sha")
+    again = per.filter("stays")
+    if again.limit(1).count():
+        out = out.unionByName(keyed.join(sized(again), same, "left_semi").drop("__sha").dropDuplicates([id_col, text_col]))
+    return out

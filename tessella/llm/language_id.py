@@ -21,6 +21,7 @@ from ._text import blocks
 WINDOW, WIDTHS, FILTERS = 256, (2, 4, 6), 10
 SAMPLE = 3000  # labelled documents that the fit reads at most
 EPOCHS, RATE = 8, 0.01
+STEPS = 500  # updates at least, so that a small sample is fitted as well
 UNKNOWN = "und"
 
 
@@ -51,7 +52,7 @@ class ByteCNN:
         r = np.random.default_rng(seed)
         params = [*self.tables, self.out, self.bias]
         m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-STEPS * batch // max(1, len(x))))):
             order = r.permutation(len(x))
             for s in range(0, len(x), batch):
                 rows = order[s : s + batch]
@@ -128,28 +129,45 @@ def fit_language_id(labelled: DataFrame, text_col: str = "text", label_col: str
     return ByteCNN(names).fit(x, np.array(y)[owner])
 
 
+def predict_texts(model: ByteCNN | None, pairs: list | None, texts: list[bytes], letters: list[bool]) -> tuple[list[str], np.ndarray]:
+    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    live = [i for i, ok in enumerate(letters) if ok] if model else []
+    for at, part in blocks([texts[i] for i in live], 1 << 17):
+        x, owner, weight = windows(part)
+        total = np.zeros((len(part), len(model.labels)))
+        for s in range(0, len(x), 512):  # one very long text is many windows
+            np.add.at(total, owner[s : s + 512], model.predict(x[s : s + 512], pairs) * weight[s : s + 512, None])
+        total /= total.sum(1, keepdims=True)
+        for j, best in enumerate(total.argmax(1)):
+            names[live[at + j]], scores[live[at + j]] = model.labels[best], min(1.0, total[j, best])
+    return names, scores
+
+
 def _apply(model: ByteCNN | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = model.pair_tables() if model else None
         for b in batches:
-            texts, n = b["text"].cast(pa.binary()).to_pylist(), b.num_rows
-            names, scores = [UNKNOWN] * n, np.zeros(n)
-            if model:
-                live = [i for i, ok in enumerate(b["letters"].to_pylist()) if ok]
-                for at, part in blocks([texts[i] for i in live], 1 << 17):
-                    x, owner, weight = windows(part)
-                    total = np.zeros((len(part), len(model.labels)))
-                    for s in range(0, len(x), 512):  # one very long text is many windows
-                        np.add.at(total, owner[s : s + 512], model.predict(x[s : s + 512], pairs) * weight[s : s + 512, None])
-                    total /= total.sum(1, keepdims=True)
-                    for j, best in enumerate(total.argmax(1)):
-                        names[live[at + j]], scores[live[at + j]] = model.labels[best], min(1.0, total[j, best])
-            keep = [b[c] for c in b.schema.names if c not in ("text", "letters")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(c for c in b.schema.names if c not in ("text", "letters")), "lang_pred", "score"])
+            names, scores = predict_texts(model, pairs, b["text"].cast(pa.binary()).to_pylist(), b["letters"].to_pylist())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
+def keep_known_language(docs: DataFrame, model: ByteCNN | None, text_col: str = "text", least: float = 0.35) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a letter and a language of score `least` or more.
+
+    Without a model every text with a letter stays; null and empty texts go.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = model.pair_tables() if model else None
+        for b in batches:
+            _, scores = predict_texts(model, pairs, b[text_col].cast(pa.binary()).to_pylist(), [True] * b.num_rows)
+            yield b.filter(pa.array(scores >= least)) if model else b
+
+    return docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
+
+
 def identify_language(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 

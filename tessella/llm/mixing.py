@@ -43,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, slopes: tuple = SLOPES, sort: bool = True) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, position, sorted by position.
+    """One row per document: doc_id, size, source_size, target, taken, position (of the first pass), positions, copies, text_hash, sorted by position.
 
     A source's documents follow each other in the order of a hash of their id,
     size and text hash, and the stream is read again from its start until the
@@ -58,9 +58,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a source, and then within a bucket.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("th"))
-    d = d.withColumn("hash", F.xxhash64("doc_id", "size", "th")).withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)))
-    d = materialize(d.select("doc_id", "source", "size", "hash", "bucket"), "mix-docs")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
+    d = d.withColumn("hash", F.xxhash64("doc_id", "size", "text_hash")).withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)))
+    d = materialize(d.select("doc_id", "source", "size", "text_hash", "hash", "bucket"), "mix-docs")
     buckets = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sizes = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
@@ -79,10 +79,25 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = sum((passed(n) for n in range(1, int(-(-cap // 1)))), passed(0))
     slope = F.element_at(F.array(*[F.lit(float(s)) for s in slopes]), (F.col("rank") % len(slopes) + 1).cast("int"))
     # D(t) = a t^2 + (1 - a) t = u, solved for t in [0, 1] in the form without cancellation
-    u = (F.col("start") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0))
-    u = F.least(u, F.lit(1.0))
-    t = 2 * u / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * u))
-    out = m.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, t))
+    def place(n: int):
+        u = F.least((F.col("start") + F.col("source_size") * n + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0))
+        return F.when(passed(n) > 0, 2 * u / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * u)))
+
+    passes = range(int(-(-cap // 1)))
+    out = m.withColumn("taken", taken.cast("long")).withColumn("positions", F.array(*[place(n) for n in passes])).withColumn("position", F.col("positions")[0])
+    out = out.withColumn("copies", sum((F.when(2 * passed(n) >= F.greatest(F.col("size"), F.lit(1)), 1).otherwise(0) for n in passes), F.lit(0)))
     if sort:
         out = out.orderBy(F.coalesce("position", 2.0 + F.pmod("hash", F.lit(1 << 20)) / float(1 << 20)), "hash", "doc_id")
-    return out.select("doc_id", "size", "source_size", "target", "taken", "position")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position", "positions", "copies", "text_hash")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The training stream: rows of docs as often as the mix takes them, range-sorted by position.
+
+    A pass that takes half of a document's words or more takes the document. Rows
+    must differ in id or text, as they do after exact dedup.
+    """
+    mix = mix_sources(docs, id_col, text_col, source_col, sort=False, **options)
+    mix = mix.filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), F.slice("positions", 1, F.col("copies")).alias("__at"))
+    keyed = docs.join(mix, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__th")))
+    return keyed.select(*docs.columns, F.explode("__at").alias("__at")).orderBy("__at", id_col).drop("__at")

@@ -211,3 +211,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = sig.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
     cid = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75, broadcast: int = 1 << 20) -> DataFrame:
+    """The rows of docs that near_dedup keeps, all columns as they are; rows of null id stay."""
+    drops = materialize(near_dedup(docs, id_col, text_col, share).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__drop")).distinct(), "near-drops")
+    sized = F.broadcast(drops) if drops.count() <= broadcast else drops
+    return docs.join(sized, F.col(id_col).cast("long") == F.col("__drop"), "left_anti")
