@@ -14,6 +14,20 @@ WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), q AS (SELECT item_id
              FROM qt JOIN tf ON qt.term = tf.term JOIN df ON tf.term = df.term JOIN len ON tf.doc_id = len.doc_id CROSS JOIN tot GROUP BY qt.item_id, tf.doc_id),
      top AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit)
 SELECT item_id, doc_id, round(score, 4) AS score, cast(rank AS bigint) AS rank FROM top WHERE rank <= 3"""
+# two fields, the better one's score and half the other's; the title is the first line
+_FIELDS = """
+WITH d AS (SELECT doc_id, 'text' AS field, lower(text) AS t FROM documents UNION ALL SELECT doc_id, 'title' AS field, lower(split_part(text, chr(10), 1)) AS t FROM documents), q AS (SELECT item_id, lower(text) AS t FROM benchmark),
+     tok AS (SELECT doc_id, field, term FROM (SELECT doc_id, field, @explode(@words(t, @ws)) AS term FROM d) a WHERE term <> ''),
+     qt AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, @explode(@words(t, @ws)) AS term FROM q) a WHERE term <> ''),
+     tf AS (SELECT doc_id, field, term, count(*) AS tf FROM tok GROUP BY doc_id, field, term),
+     len AS (SELECT doc_id, field, count(*) AS n FROM tok GROUP BY doc_id, field),
+     tot AS (SELECT field, count(*) AS docs, avg(n) AS mean FROM len GROUP BY field),
+     df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY field, term),
+     one AS (SELECT qt.item_id, tf.doc_id, tf.field, sum(ln(1 + (tot.docs - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * len.n / tot.mean))) AS score
+             FROM qt JOIN tf ON qt.term = tf.term JOIN df ON tf.term = df.term AND tf.field = df.field JOIN len ON tf.doc_id = len.doc_id AND tf.field = len.field JOIN tot ON tf.field = tot.field GROUP BY qt.item_id, tf.doc_id, tf.field),
+     hit AS (SELECT item_id, doc_id, round(max(score) + 0.5 * (sum(score) - max(score)), 6) AS score FROM one GROUP BY item_id, doc_id),
+     top AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit)
+SELECT item_id, doc_id, round(score, 4) AS score, cast(rank AS bigint) AS rank FROM top WHERE rank <= 3"""
 _DOT = {"s": "aggregate(zip_with(q.e, d.e, (x, y) -> cast(x AS double) * cast(y AS double)), cast(0 AS double), (a, x) -> a + x)", "d": "list_inner_product(cast(q.e AS double[]), cast(d.e AS double[]))"}
 _DENSE = """
 WITH q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT vec_id, embedding AS e FROM embeddings),
@@ -23,6 +37,7 @@ SELECT qid, vec_id, score, cast(rank AS bigint) AS rank FROM r WHERE rank <= 3""
 
 QUERIES = [
     ("bm25_top3", *pair(_BM25)),
+    ("bm25_two_fields", *pair(_FIELDS)),
     ("dense_top3", _DENSE.format(hint="", dot=_DOT["s"]), _DENSE.format(hint="", dot=_DOT["d"])),
     ("query_formulation_topk", *pair("""
         SELECT user_id, event_id, cast(pos AS bigint) AS pos FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos,

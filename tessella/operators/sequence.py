@@ -17,6 +17,17 @@ _SMOOTH = """,
      y AS (SELECT user_id, event_id, ts, a * s2 + (1 - a) * p AS trend FROM w)"""
 _SMOOTH_END = " SELECT user_id, event_id, round(trend, 3) AS trend FROM y"
 _TRIGGER = " SELECT user_id, event_id, round(trend, 3) AS trend FROM (SELECT user_id, event_id, trend, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM y WHERE trend > 100) q WHERE rn = 1"
+# a user's first signup and first error stay, and five others at evenly spaced ranks, halves to even
+_BUDGET = """
+WITH e AS (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+     a AS (SELECT user_id, event_id, ts, event_type IN ('signup', 'error') AND k = 1 AS anchor FROM e),
+     r AS (SELECT user_id, event_id, anchor, row_number() OVER (PARTITION BY user_id, anchor ORDER BY ts, event_id) - 1 AS rank, count(*) OVER (PARTITION BY user_id, anchor) - 1 AS top FROM a)
+SELECT user_id, event_id, anchor FROM r WHERE anchor OR rank IN (0, {even}(top / 4e0{to}), {even}(top / 2e0{to}), {even}(3 * top / 4e0{to}), top)"""
+# letters of step, query, retrieve, answer and final tags in order
+_TAGS = "CASE event_type WHEN 'signup' THEN 'S' WHEN 'view' THEN 'Q' WHEN 'click' THEN 'R' WHEN 'purchase' THEN 'A' ELSE 'F' END"
+_FORMAT = """
+SELECT user_id, trace, tags, CASE WHEN {like}(tags, '^(SQRSA)*SF$') THEN 1 ELSE -1 END AS reward FROM (
+  SELECT user_id, cast(floor(event_id / 200e0) AS bigint) AS trace, {join} AS tags FROM events GROUP BY user_id, cast(floor(event_id / 200e0) AS bigint)) q"""
 
 QUERIES = [
     ("entropy_trend", _TREND.format(**_S) + _END, _TREND.format(**_D) + _END),
@@ -30,4 +41,8 @@ QUERIES = [
         SELECT user_id, event_type, event_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bigint) - 1 AS checkpoint FROM (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) q WHERE rn = 1""")),
     ("counter_deltas", *pair("""
         SELECT user_id, event_id, round(value - lag(value, 1, cast(0 AS double)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS delta FROM events""")),
+    ("checkpoint_budget", _BUDGET.format(even="bround", to=""), _BUDGET.format(even="round_even", to=", 0")),
+    ("format_reward",
+     _FORMAT.format(like="regexp_like", join=f"array_join(transform(sort_array(collect_list(struct(ts, event_id, {_TAGS} AS tag))), x -> x.tag), '')"),
+     _FORMAT.format(like="regexp_matches", join=f"string_agg({_TAGS}, '' ORDER BY ts, event_id)")),
 ]
