@@ -182,7 +182,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(full)
     first = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialize(first, "near-pairs")
-    tried, links, turn = pairs, None, 0
+    tried, links, comp, turn = pairs, None, None, 0
     while pairs.limit(1).count():
         regs = reps.select("node", "regs")
         likely = pairs.join(regs.withColumnsRenamed({"node": "a", "regs": "ra"}), "a").join(regs.withColumnsRenamed({"node": "b", "regs": "rb"}), "b")
@@ -201,10 +201,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         offers = offers.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
         pairs = materialize(offers.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
         tried = tried.union(pairs)
-    if links is None:
+    if comp is None:
         comp = some.select("node", F.col("node").alias("comp")).limit(0)
-    else:
-        comp = components(links)
     named = reps.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = materialize(named.join(least, "comp").select("node", "component_id"), "near-ids")
