@@ -1,4 +1,4 @@
-"""Percentiles, group advantages, masked normalisation, hash bootstrap."""
+"""Percentiles, group advantages, masked normalisation."""
 
 from ._dialect import pair
 
