@@ -31,6 +31,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def tasks(spark: SparkSession, rows: int, each: int = 200_000, least: int = 8) -> int:
+    """How many tasks write a table of so many rows; never more than the shuffle has."""
+    return min(shuffles(spark), max(least, -(-rows // each)))
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by materialize() that nothing reads any more."""
     spark, path = df.sparkSession, getattr(df, "_shared_path", None)
@@ -58,14 +63,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     aggregates; each superstep is one table in the shared folder. Hub nodes are
     safe: minima combine before the shuffle, and AQE splits a skewed join side.
     """
-    both = materialize(links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(b, a)).distinct(), "cc-edges")
-    labels = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "node"), "cc-labels")
+    n = tasks(links.sparkSession, 2 * links.count())
+    both = materialize(links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(b, a)).distinct().coalesce(n), "cc-edges")
+    labels = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "node").coalesce(n), "cc-labels")
     while True:
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels.node == near.u).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("root"))
-        new = materialize(step.join(jump, "mid").select("node", "old", F.least("mid", "root").alias("comp")), "cc-labels")
-        moved = new.filter("comp <> old").limit(1).count()
+        new = materialize(step.join(jump, "mid").select("node", "old", F.least("mid", "root").alias("comp")).coalesce(n), "cc-labels")
+        moved = not new.filter("comp <> old").isEmpty()
         discard(labels)
         labels = new
         if not moved:

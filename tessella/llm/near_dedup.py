@@ -9,8 +9,10 @@ most false ones, and full shingle sets confirm the rest.
 
 Documents with equal sets are one node from the start, so copies cost nothing.
 Within a band's bucket, nodes are paired with one centre, never with each other;
-buckets whose members are still apart are dealt again with other centres, round
-after round, until no untried pair is offered or a round finds no link.
+buckets whose members are still apart are dealt again with other centres, whole and
+split by each of SPLITS registers of other bands (which parts members that only
+share a passage), with twice the centres in every round, until no untried pair is
+offered or a round finds no link.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import components, discard, materialize
+from ._tables import components, discard, materialize, tasks
 from ._text import blocks, mix, words
 
 WORDS, BUCKETS, MANTISSA, ROWS = 5, 256, 10, 6
 BANDS = BUCKETS // ROWS
-SURE_BELOW = 0.5  # an estimate below this is nine standard errors from 0.75
+SURE_BELOW = 0.6  # an estimate below this is over five standard errors from 0.75
+SPLITS = 4
 SALTS = 64
 
 _COEF = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -119,12 +122,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coef = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
+    band, split = np.arange(BANDS)[:, None], np.arange(SPLITS)[None, :]
+    other = (ROWS * (band + 1 + 9 * split) + split) % (BANDS * ROWS)  # a register of another band for each split
     for b in batches:
         for at in range(0, b.num_rows, 2048):
             c = b.slice(at, 2048)
             r = np.frombuffer(b"".join(c["regs"].to_pylist()), np.uint16).reshape(-1, BUCKETS)[:, : BANDS * ROWS]
             keys = mix((r.reshape(-1, BANDS, ROWS).astype(np.uint64) * coef).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64).ravel()), pa.array(np.repeat(c["node"].to_numpy(), BANDS))], names=["key", "node"])
+            subs = np.ascontiguousarray(r[:, other]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64).ravel()), pa.array(np.repeat(c["node"].to_numpy(), BANDS)), pa.array(subs.ravel())], names=["key", "node", "sub"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,17 +153,29 @@ def _confirm(pairs: DataFrame, texts: DataFrame, reps: DataFrame, share: int) ->
     """The pairs (a, b) whose full sets have 100 * intersection >= share * union."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = ends.join(reps.select("node", "rep"), "node")
-    sets = materialize(texts.join(wanted, texts.doc_id == wanted.rep).select("node", "text").mapInArrow(_sets, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s")), "near-sets")
+    n = tasks(pairs.sparkSession, pairs.count(), 20_000)
+    sets = materialize(texts.join(wanted, texts.doc_id == wanted.rep).select("node", "text").mapInArrow(_sets, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s")).coalesce(n), "near-sets")
     # a centre with very many pairs gets copies of its set under SALTS keys
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     centres = salted.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     both = salted.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(centres, ["a", "salt"])
     common = F.size(F.array_intersect("sa", "sb"))
-    out = materialize(both.filter(100 * common >= share * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "near-links")
+    out = materialize(both.filter(100 * common >= share * (F.size("sa") + F.size("sb") - common)).select("a", "b").coalesce(n), "near-links")
     discard(sets)
     return out
 
 
+def _offers(members: DataFrame, turn: int) -> DataFrame:
+    """Untested pairs (a < b): members of a bucket, or of a part of it, with the part's centre, where the components differ."""
+    split = F.expr(f"shiftright(sub, 16 * pmod(t, {SPLITS + 1})) & 65535")
+    part = F.xxhash64("key", "t", F.when(F.pmod("t", F.lit(SPLITS + 1)) < SPLITS, split))
+    draws = (SPLITS + 1) << turn
+    dealt = members.select("key", "sub", "node", "comp", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("t")).select(part.alias("part"), "node", "comp")
+    centres = dealt.groupBy("part").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(F.xxhash64("node", "part", F.lit(turn)).alias("h"), "node", "comp")).alias("centre")).filter("c0 <> c1")
+    offers = dealt.join(centres.select("part", "centre"), "part").filter(F.col("comp") != F.col("centre.comp"))
+    return offers.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -175,31 +193,34 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     sig = materialize(d.mapInArrow(_signatures, "doc_id long, n_shingles long, node long, regs binary"), "near-sig")
     some = sig.filter("node is not null")
-    reps = materialize(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), "near-nodes")
-    bands = reps.select("node", "regs").mapInArrow(_bands, "key long, node long")
+    n_docs = tasks(docs.sparkSession, sig.count(), 40_000)
+    reps = materialize(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")).coalesce(n_docs), "near-nodes")
+    bands = reps.select("node", "regs").mapInArrow(_bands, "key long, node long, sub long")
     full = materialize(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1").select("key", "centre"), "near-centres")
     members = materialize(bands.join(full, "key"), "near-members")  # of buckets with two nodes or more
     discard(full)
-    first = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialize(first, "near-pairs")
+    n = tasks(docs.sparkSession, members.count())
+    able = materialize(reps.join(members.select("node").distinct(), "node", "left_semi").coalesce(n_docs), "near-able")
+    regs = able.select("node", "regs")
+    pairs = materialize(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct().coalesce(n), "near-pairs")
     tried, links, comp, turn = pairs, None, None, 0
-    while pairs.limit(1).count():
-        regs = reps.select("node", "regs")
+    while not pairs.isEmpty():
         likely = pairs.join(regs.withColumnsRenamed({"node": "a", "regs": "ra"}), "a").join(regs.withColumnsRenamed({"node": "b", "regs": "rb"}), "b")
-        likely = materialize(likely.select("a", "b", "ra", "rb").mapInArrow(_likely, "a long, b long"), "near-likely")
-        new = _confirm(likely, d, reps, share)
+        likely = materialize(likely.select("a", "b", "ra", "rb").coalesce(n).mapInArrow(_likely, "a long, b long"), "near-likely")
+        new = _confirm(likely, d, able, share)
         discard(likely)
-        if links is not None and not new.limit(1).count():
+        if links is not None and new.isEmpty():
             break
-        links = new if links is None else materialize(links.union(new), "near-links")
-        comp = materialize(components(links), "near-comp")
-        # members with their component; a bucket in one piece is done
+        links = new if links is None else materialize(links.union(new).coalesce(n), "near-links")
+        comp = components(links)
         turn += 1
-        apart = members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        spread = apart.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "comp")).alias("centre")).filter("c0 <> c1")
-        offers = apart.join(materialize(spread, "near-spread"), "key").filter(F.col("comp") != F.col("centre.comp"))
-        offers = offers.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
-        pairs = materialize(offers.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
+        # members with their component; a bucket in one piece is done, and so is one of two, whose pair is tried
+        apart = members.select("key", "node", "sub").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        torn = apart.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1 and n > 2").select("key")
+        left = materialize(apart.join(torn, "key", "left_semi").drop("comp").coalesce(n), "near-members")
+        discard(members)
+        members = left
+        pairs = materialize(_offers(members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), turn).join(tried, ["a", "b"], "left_anti").coalesce(n), "near-pairs")
         tried = tried.union(pairs)
     if comp is None:
         comp = some.select("node", F.col("node").alias("comp")).limit(0)
