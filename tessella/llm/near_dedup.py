@@ -195,12 +195,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = sig.filter("node is not null")
     n_docs = tasks(docs.sparkSession, sig.count(), 40_000)
     reps = materialize(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")).coalesce(n_docs), "near-nodes")
+    told = materialize(sig.select("doc_id", "n_shingles", "node").coalesce(n_docs), "near-told")
+    discard(sig)
     bands = reps.select("node", "regs").mapInArrow(_bands, "key long, node long, sub long")
     full = materialize(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1").select("key", "centre"), "near-centres")
     members = materialize(bands.join(full, "key"), "near-members")  # of buckets with two nodes or more
     discard(full)
     n = tasks(docs.sparkSession, members.count())
     able = materialize(reps.join(members.select("node").distinct(), "node", "left_semi").coalesce(n_docs), "near-able")
+    names = materialize(reps.select("node", "rep").coalesce(n_docs), "near-names")
+    discard(reps)
     regs = able.select("node", "regs")
     pairs = materialize(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct().coalesce(n), "near-pairs")
     tried, links, comp, turn = pairs, None, None, 0
@@ -223,11 +227,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = materialize(_offers(members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), turn).join(tried, ["a", "b"], "left_anti").coalesce(n), "near-pairs")
         tried = tried.union(pairs)
     if comp is None:
-        comp = some.select("node", F.col("node").alias("comp")).limit(0)
-    named = reps.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
+        comp = names.select("node", F.col("node").alias("comp")).limit(0)
+    named = names.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = materialize(named.join(least, "comp").select("node", "component_id"), "near-ids")
-    out = sig.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
+    out = told.join(ids, "node", "left")
     cid = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(False)).alias("kept"))
 
