@@ -84,6 +84,52 @@ def test_near_dedup(spark):
     assert near_dedup(df.limit(0)).count() == 0
 
 
+def test_near_dedup_hot_bucket(spark):
+    """A passage makes all texts 0.747 alike, linked with none; two true pairs, at 0.757, are among them."""
+    from tessella.llm.near_dedup import near_dedup
+
+    r = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(140)]
+    tails = [[f"t{i}-{k}" for k in range(23)] for i in range(3000)]
+    hidden = [(40, 1500), (700, 2900)]
+    for i, j in hidden:
+        tails[j][0] = tails[i][0]
+    texts = [" ".join(passage + t) for t in tails]
+    ids = [int(x) for x in r.permutation(len(texts))]
+    seen, sizes, cells = {}, np.zeros(len(texts), int), []
+    for i, t in enumerate(texts):
+        w = t.split()
+        mine = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        sizes[i] = len(mine)
+        cells += [(i, seen.setdefault(x, len(seen))) for x in mine]
+    rows, cols = np.array(cells).T
+    often = np.flatnonzero(np.bincount(cols) > 1)
+    has = np.zeros((len(texts), len(often)), np.float32)
+    keep = np.isin(cols, often)
+    has[rows[keep], np.searchsorted(often, cols[keep])] = 1
+    common = (has @ has.T).astype(int)
+    links = [(i, j) for i, j in np.argwhere(100 * common >= 75 * (sizes[:, None] + sizes[None] - common)).tolist() if i < j]
+    assert links == hidden
+    want = dict(zip(ids, least_ids(ids, links), strict=True))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in near_dedup(df).collect()}
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+
+
+def test_overlaps():
+    from tessella.llm.near_dedup import estimate, estimate_all, overlaps, registers
+
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 300, int(n))) for n in r.integers(1, 200, 40)]
+    ends = np.cumsum([0] + [len(s) for s in sets])
+    one, two = np.arange(0, 25), np.arange(20, 40)
+    got = overlaps(np.concatenate(sets), ends, one, two, wide=64)
+    assert (got == [[len(np.intersect1d(sets[i], sets[j])) for j in two] for i in one]).all()
+    regs = registers([s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s in sets])
+    for a, b in ((regs[:9], regs[5:]), (np.repeat(regs, 3, 0), regs)):
+        assert np.allclose(estimate_all(a, b), [estimate(np.repeat(x[None], len(b), 0), b) for x in a])
+
+
 def test_vector_dedup(spark):
     from tessella.llm.vector_dedup import vector_dedup
 
