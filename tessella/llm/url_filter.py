@@ -2,8 +2,10 @@
 
 Per host, the segments of paths form a tree. A segment that is a number, a hex
 string or one of very many siblings becomes a wildcard; sibling branches of like
-shape and like labels merge. Templates are judged by the smoothed share of blocked
-URLs among the labelled ones, labels being the verdicts of the given rules.
+shape and like labels merge, and branches without labels join labelled ones of their
+shape. Templates are judged by the smoothed share of blocked URLs among the labelled
+ones, labels being the verdicts of the given rules; a template that has none by its
+host's share, less two standard errors.
 """
 
 from __future__ import annotations
@@ -74,7 +76,11 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         j = sib.join(wide, ["host", "tpl"])
         p = (F.col("pb") + 1) / (F.col("pm") + 2)
         far = F.abs(F.col("b") - F.col("m") * p) > 2 * F.sqrt(F.col("m") * p * (1 - p) + 0.25)
-        name = F.when(F.col("siblings") >= fan_out, F.lit("*")).when(F.col("seg").rlike(r"^\{.\}$"), F.col("seg")).when((F.col("m") > 0) & ~far, F.concat(F.lit("*:"), F.col("shape"))).otherwise(F.col("seg"))
+        like = (F.col("m") > 0) & ~far
+        # a branch without labels says nothing against the labelled ones of its shape
+        kin = j.groupBy("host", "tpl", "shape").agg(F.max(like).alias("kin"))
+        j = j.join(kin, ["host", "tpl", "shape"])
+        name = F.when(F.col("siblings") >= fan_out, F.lit("*")).when(F.col("seg").rlike(r"^\{.\}$"), F.col("seg")).when(like | ((F.col("m") == 0) & F.col("kin")), F.concat(F.lit("*:"), F.col("shape"))).otherwise(F.col("seg"))
         names = j.select("host", "tpl", "seg", name.alias("name"))
         keys = materialize(here.join(names, ["host", "tpl", "seg"], "left").withColumn("tpl", F.when(F.col("seg").isNull(), F.col("tpl")).otherwise(F.concat("tpl", F.array("name")))).drop("seg", "name"), "url-keys")
     leaf = keys.withColumn("template", F.concat(F.lit("/"), F.array_join("tpl", "/"), F.when(F.col("rest"), F.lit("/**")).otherwise("")))
@@ -82,7 +88,9 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     tpl = leaf.groupBy("host", "template").agg(F.sum("m").alias("m"), F.sum("b").alias("b")).join(hosts, "host")
     # a host without labels has no evidence: its share is nought
     purity = F.when(F.col("hm") == 0, F.lit(0.0)).otherwise((F.col("b") + strength * F.col("prior")) / (F.col("m") + strength))
-    judged = tpl.select("host", "template", F.when(F.col("m") > 0, purity).otherwise(purity * 0.5).alias("purity"))
+    # without labels of its own a template has its host's share, as far as the host's labels are sure of it
+    error = F.sqrt(F.col("prior") * (1 - F.col("prior")) / (F.col("hm") + 3))
+    judged = tpl.select("host", "template", F.when(F.col("m") > 0, purity).otherwise(F.greatest(F.lit(0.0), purity - 2 * error)).alias("purity"))
     per_key = leaf.join(judged, ["host", "template"]).select("host", F.col("own").alias("segs"), "rest", "template", "purity")
     salted = materialize(per_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "url-judged")
     mine = d.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))

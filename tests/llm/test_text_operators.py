@@ -191,3 +191,21 @@ def test_url_filter(spark):
         assert r.rule == (best and best[0] + best[1])
         assert r.verdict == (best[2] if best else "allow")
     assert filter_urls(df.limit(0)).count() == 0
+
+
+def test_url_filter_rejects_without_a_rule(spark):
+    from tessella.llm.url_filter import filter_urls
+
+    urls = {f"http://bad.com/en/{i}": "block" for i in range(40)}
+    urls |= {f"http://bad.com/fr/{i}": "block" for i in range(9)}  # no rule, of the labelled branch's shape
+    urls |= {"http://bad.com/about": "block"}  # no rule, another shape, but nearly all of the host is blocked
+    urls |= {f"http://good.example.com/en/7{i}": "allow" for i in range(40)} | {f"http://good.example.com/fr/{i}": "allow" for i in range(9)}
+    urls |= {f"http://both.example.com/en/7{i}": "allow" for i in range(30)} | {f"http://both.example.com/en/1{i}": "block" for i in range(10)}
+    urls |= {f"http://both.example.com/fr/{i}": "allow" for i in range(9)}
+    urls |= {"http://few.com/en/1": "block", "http://few.com/about": "allow"}  # one label is too little
+    urls |= {f"http://none.edu/fr/{i}": "allow" for i in range(9)}
+    names = list(urls)
+    df = spark.createDataFrame(list(enumerate(names)), "page_id long, url string")
+    got = {names[r.page_id]: (r.verdict, r.rule) for r in filter_urls(df).collect()}
+    assert {u: v for u, (v, _) in got.items()} == urls
+    assert got["http://bad.com/fr/1"][1] is None and got["http://bad.com/about"][1] is None
