@@ -9,9 +9,9 @@ factored: a class first, then a word of the class. The LEXICON commonest words a
 dealt to classes by frequency; all other words belong to one of TAILS classes named
 by their last two bytes, in which a word has its smoothed share of the class's
 training count. Weights are fitted by backpropagation through time, truncated to
-windows whose state is carried on: a first fit on a bounded sample, then one round in
-which replicas train on a fixed fraction of all training documents, so on as much
-more as the corpus is larger, and their weights are averaged in two levels.
+windows whose state is carried on: a first fit on a bounded sample, then ROUNDS rounds
+that together read every training document once. In each, replicas train on their part
+of the round's documents, as it streams in, and their weights are averaged in two levels.
 
 Scoring. Documents run side by side in lanes, window by window with the state carried
 across, each to its end.
@@ -32,7 +32,9 @@ from ._text import blocks, mix, words
 
 FREQUENT, LEXICON, CLASSES, TAILS = 1 << 17, 1024, 16, 32
 HIDDEN, WINDOW, LANES = 24, 24, 256
-WARM_DOCS, FRACTION = 1200, 1 / 64  # documents of the first fit; share of the training documents that the replicas read
+WARM_DOCS, FRACTION = 1200, 1  # documents of the first fit; share of the training documents that the replicas read
+ROUNDS, CHUNK = 4, 1 << 18  # averaging rounds in a pass; tokens that a replica holds at once
+SLOTS = 1 << 24
 END = np.uint64(1)  # the end token's hash
 PER = LEXICON // CLASSES
 
@@ -78,8 +80,12 @@ class Model:
                 out[rows] += y[np.arange(len(rows)), ids[rows] % PER] - np.log(np.exp(y).sum(1))
         return out
 
-    def train(self, docs: list[np.ndarray], rate: float = 0.01, lanes: int = 32, seed: int = 0) -> int:
-        """One pass over token id arrays by truncated backpropagation; returns the tokens read."""
+    def train(self, docs: list[np.ndarray], rate: float = 0.01, lanes: int = 32, seed: int = 0, moments: list | None = None) -> int:
+        """One pass over token id arrays by truncated backpropagation; returns the tokens read.
+
+        moments: the optimiser's state, empty at first, for calls that go on with it;
+        tokens beyond whole lanes are then read in one lane.
+        """
         r = np.random.default_rng(seed)
         size = sum(map(len, docs))
         lanes = max(1, min(lanes, size // WINDOW))
@@ -91,7 +97,7 @@ class Model:
         starts = np.concatenate([np.r_[True, np.zeros(len(docs[i]) - 1, bool)] for i in order])
         ids, fresh = stream[: span * lanes].reshape(lanes, span).T, starts[: span * lanes].reshape(lanes, span).T
         params = [getattr(self, k) for k in self.NAMES]
-        m, v, turn = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+        m, v, turn = moments or ([np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0)
         h = np.zeros((lanes, HIDDEN), np.float32)
         for s in range(0, span, WINDOW):
             x, new = ids[s : s + WINDOW], fresh[s : s + WINDOW]
@@ -136,14 +142,20 @@ class Model:
                 ge[t, :, :HIDDEN], ge[t, :, HIDDEN:] = da, dc
                 back = back * (1 - g) + dgh * g + da @ self.u.T + dh[t]
                 back = np.where(new[t][:, None], np.float32(0), back)
-            np.add.at(grads["e"], flat, ge.reshape(-1, 2 * HIDDEN))
+            by = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.diff(flat[by], prepend=-1))
+            grads["e"][flat[by[first]]] = np.add.reduceat(ge.reshape(-1, 2 * HIDDEN)[by], first)
             turn += 1
             for i, k in enumerate(self.NAMES):
                 g = np.clip(grads[k], -1, 1)
                 m[i] += 0.1 * (g - m[i])
                 v[i] += 0.01 * (g * g - v[i])
                 params[i] -= (rate * (m[i] / (1 - 0.9**turn)) / (np.sqrt(v[i] / (1 - 0.99**turn)) + 1e-6)).astype(np.float32)
-        return span * lanes
+        if moments is None:
+            return span * lanes
+        moments[:] = m, v, turn
+        rest = stream[span * lanes :]
+        return span * lanes + (self.train([rest], rate, 1, seed, moments) if len(rest) else 0)
 
     def dump(self) -> bytes:
         f = io.BytesIO()
@@ -224,15 +236,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _train(model: Model, lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = []
+        docs, held, n, moments, some = [], 0, 0, [], False
         for b in batches:
             for h, t, bounds in _tokens(b["text"].cast(pa.binary()).to_pylist()):
-                ids = lexicon.ids(h, t)[0]
+                ids, some = lexicon.ids(h, t)[0], True
                 docs += [ids[x:y].astype(np.int32) for x, y in zip(bounds, bounds[1:], strict=False)]
+                held += len(ids)
+                if held >= CHUNK:
+                    n += model.train(docs, rate=0.004, moments=moments)
+                    docs, held = [], 0
         if docs:
+            n += model.train(docs, rate=0.004, moments=moments)
+        if some:
             from pyspark import TaskContext
 
-            n = model.train(docs, rate=0.004)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([model.dump()], pa.binary())], names=["replica", "n", "w"])
 
     return run
@@ -281,6 +298,24 @@ def _score(model: Model, lexicon: Lexicon, tail_n: np.ndarray, tail_v: np.ndarra
     return run
 
 
+def train_rounds(model: Model, lexicon: Lexicon, train: DataFrame, fraction: float = FRACTION) -> int:
+    """Train the model on that share of the documents in ROUNDS averaging rounds; returns the tokens read."""
+    replicas = max(1, shuffles(train.sparkSession) // 4)
+    side = max(1, int(np.sqrt(replicas)))
+    slot = F.pmod(F.xxhash64("doc_id", "text", F.lit("share")), F.lit(SLOTS))
+    total = 0
+    for k in range(ROUNDS):
+        mine = train.filter((slot < int(SLOTS * fraction)) & (slot % ROUNDS == k)).select("text")
+        trained = mine.coalesce(replicas).mapInArrow(_train(model, lexicon), "replica long, n long, w binary")
+        level = trained.withColumn("g", F.col("replica") % side).groupBy("g").applyInArrow(_average(model), "replica long, n long, w binary")
+        means = [r for r in level.collect() if r["n"]]  # about the square root of the replicas
+        if means:
+            merged = _average(model)(pa.table({"n": [r["n"] for r in means], "w": pa.array([bytes(r["w"]) for r in means], pa.binary())}))
+            model.load(merged["w"][0].as_py())
+            total += merged["n"][0].as_py()
+    return total
+
+
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", warm_docs: int = WARM_DOCS, fraction: float = FRACTION) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -315,24 +350,15 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wa
     np.subtract.at(tail_v, top["tail"].to_numpy(np.int64)[:LEXICON], 1.0)
     model = Model(np.concatenate([word_counts.reshape(CLASSES, PER).sum(1), tail_n]), word_counts)
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("lm"))
-    slots = 1 << 24
     n_train = max(1, train.count())
-    warm = train.filter(F.pmod(order, F.lit(slots)) < min(slots, int(slots * warm_docs / n_train) + 1)).select(order.alias("o"), "text").collect()
+    warm = train.filter(F.pmod(order, F.lit(SLOTS)) < min(SLOTS, int(SLOTS * warm_docs / n_train) + 1)).select(order.alias("o"), "text").collect()
     first = []
     for h, t, bounds in _tokens([r["text"].encode() for r in sorted(warm, key=lambda r: (r["o"], r["text"]))[: 2 * warm_docs]]):
         ids = lexicon.ids(h, t)[0]
         first += [ids[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
     model.train(first, seed=0)
     model.train(first, rate=0.005, seed=1)
-    share = train.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("share")), F.lit(slots)) < int(slots * fraction)).select("text")
-    replicas = max(1, shuffles(spark) // 4)
-    trained = share.repartition(replicas).mapInArrow(_train(model, lexicon), "replica long, n long, w binary")
-    side = max(1, int(np.sqrt(replicas)))
-    level = trained.withColumn("g", F.col("replica") % side).groupBy("g").applyInArrow(_average(model), "replica long, n long, w binary")
-    means = [r for r in level.collect() if r["n"]]  # about the square root of the replicas
-    if means:
-        merged = _average(model)(pa.table({"n": [r["n"] for r in means], "w": pa.array([bytes(r["w"]) for r in means], pa.binary())}))
-        model.load(merged["w"][0].as_py())
+    train_rounds(model, lexicon, train, fraction)
     rows = d.withColumn("uid", F.monotonically_increasing_id())
     scored = rows.mapInArrow(_score(model, lexicon, tail_n, tail_v, int(total), int(distinct)), "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<h:long,n:long>>")
     scored = materialize(scored, "lm-scored")

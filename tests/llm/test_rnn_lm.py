@@ -30,6 +30,18 @@ def test_scores(spark):
     assert lm_score(df.limit(0)).count() == 0
 
 
+def test_every_training_token_is_read(spark, monkeypatch):
+    from tessella.llm import rnn_lm
+
+    read, rounds = [], rnn_lm.train_rounds
+    monkeypatch.setattr(rnn_lm, "train_rounds", lambda *a: read.append(rounds(*a)))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(3)
+    res = rnn_lm.lm_score(docs).collect()  # with the parameters of the query
+    assert read == [res[0].train_tokens] and read[0] > 10_000
+    held = [r for r in res if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def test_model():
     from tessella.llm.rnn_lm import CLASSES, LEXICON, TAILS, Model
 
