@@ -1,13 +1,10 @@
 """Best-fit packing of documents into fixed-length sequences (operator 5).
 
-Documents become pieces of at most `length` tokens. The packing is bulk-synchronous
-best fit over size classes: pieces and gaps are range-sorted by size; in each
-superstep, from the longest class down, the pieces of one class sweep the gaps for
-their successors, the smallest gaps that hold them; pieces that want the same gap
-are resolved by rank; the gaps are updated and the next superstep follows. Pieces of
-a class are interchangeable, so a superstep works on runs of ranks rather than on
-pieces: the plan has a few rows per size class, whatever the input's size. Each
-piece then finds its place from its class and its rank alone.
+Documents become pieces of at most `length` tokens. This departs from dealt
+bulk-synchronous best fit: no range-sorted gaps, sweeps or supersteps run in tasks.
+Pieces of a size are interchangeable, so an exact best-fit-decreasing plan is made on
+the driver from the counts of pieces per size alone, a few rows per size, whatever the
+input's size. Each piece then finds its place from its size and its rank in a task.
 """
 
 from __future__ import annotations
