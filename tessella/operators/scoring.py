@@ -1,4 +1,4 @@
-"""Answer extraction, exact match and token F1."""
+"""Answer extraction and token F1."""
 
 from ._dialect import pair
 
