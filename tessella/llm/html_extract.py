@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ GOOD = set("article articlebody body content entry main maincontent page post st
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S)
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_END = {t: re.compile(f"</{t}", re.I) for t in RAW}
 _GROUP = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 
 
@@ -57,7 +59,7 @@ class Page:
                 run.clear()
             link = 0
 
-        at, low = 0, None
+        at, opened = 0, Counter()  # opened: how many of each tag are on the stack
         while True:
             m = _TAG.search(source, at)
             piece = source[at : m.start() if m else len(source)]
@@ -74,9 +76,8 @@ class Page:
             tag = tag.lower()
             if tag in RAW:
                 if not closing and not attrs.endswith("/"):
-                    low = low if low is not None else source.lower()
-                    end = low.find(f"</{tag}", at)
-                    gt = source.find(">", end) if end >= 0 else -1
+                    end = _END[tag].search(source, at)
+                    gt = source.find(">", end.start()) if end else -1
                     at = gt + 1 if gt >= 0 else len(source)
                 if tag not in ("option",):
                     run.append(" ")
@@ -91,23 +92,27 @@ class Page:
                 continue
             flush()
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        head -= sum(t == "head" for t, _ in stack[i:])
-                        del stack[i:]
-                        in_a = 0
-                        break
+                if opened[tag]:  # else nothing to close, and no need to look through the stack
+                    in_a = 0
+                    while True:
+                        last, _ = stack.pop()
+                        opened[last] -= 1
+                        head -= last == "head"
+                        if last == tag:
+                            break
                 continue
             ends = SAME.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
             while ends and stack[-1][0] in ends:
-                head -= stack[-1][0] == "head"
-                stack.pop()
+                last, _ = stack.pop()
+                opened[last] -= 1
+                head -= last == "head"
             if tag in VOID:
                 continue
             names = set(_WORD.findall(" ".join(a or b or c for a, b, c in _ATTR.findall(attrs)).lower())) if attrs and "=" in attrs else ()
             up = stack[-1][1]
             me = self._node(_GROUP.get(tag, len(GROUPS)), up, self.depth[up] + 1, len(BOILER.intersection(names)), len(GOOD.intersection(names)))
             stack.append((tag, me))
+            opened[tag] += 1
             head += tag == "head"
         flush()
 

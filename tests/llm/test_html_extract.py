@@ -1,6 +1,7 @@
 """Operator 3: labelled generated pages, decoding against brute force, odd inputs."""
 
 import itertools
+import time
 
 import numpy as np
 from tessella.llm.html_extract import MARK, Page, decode, features, main_text_model, main_texts, sample_page
@@ -50,3 +51,25 @@ def test_pages(spark):
 def test_truncation_never_fails():
     m = main_text_model()
     assert len(main_texts([PAGE[:k] for k in range(len(PAGE))], m)) == len(PAGE)
+
+
+def test_letters_that_grow_in_lower_case_lose_no_text():
+    m = main_text_model()
+    page = PAGE.replace("First", "\u0130" * 40 + "First").replace("<p>Second", "<SCRIPT>x = 1;</Script><p>Second")
+    assert main_texts([page], m) == ["Title & more " + "\u0130" * 40 + "First line. Second é line of text, with words. Third line goes on and on, here."]
+
+
+def test_unclosed_and_stray_tags_cost_linear_time():
+    began = time.perf_counter()
+    p = Page("<div>" * 100_000 + "x" + "</section>" * 100_000)
+    assert len(p.group) == 100_002 and time.perf_counter() - began < 20
+
+
+def test_text_of_generated_pages_equals_the_marked_runs():
+    """Pages that the decoder labels rightly give exactly the marked blocks, in page order."""
+    r, m, whole = np.random.default_rng(77), main_text_model(), 0
+    for _ in range(60):
+        source = sample_page(r)
+        got = main_texts([source], m)[0]
+        whole += got == " ".join(t for t in Page(source).text if MARK in t)
+    assert whole >= 50
