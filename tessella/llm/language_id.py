@@ -16,23 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import blocks
+from ._text import blocks, mix
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 4, 6), 10
-SAMPLE = 3000  # labelled documents that the fit reads at most
-EPOCHS, RATE = 8, 0.01
+SAMPLE = 3000  # labelled documents that the fit reads, about
+MOST_WINDOWS = 40_000  # windows of theirs that the driver holds, about
+EPOCHS, RATE = 2, 0.01
 STEPS = 500  # updates at least, so that a small sample is fitted as well
 UNKNOWN = "und"
 
 
-def windows(texts: list[bytes], size: int = WINDOW, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, text, weight): zero-padded windows that cover each text; most: only so many, evenly spaced, for training."""
+def windows(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, text, weight): zero-padded windows that cover each text."""
     data, owner, weight = [], [], []
     for i, t in enumerate(texts):
-        starts = range(0, len(t), size)
-        if most and len(starts) > most:
-            starts = starts[:: -(-len(starts) // most)]
-        for s in starts:
+        for s in range(0, len(t), size):
             w = t[s : s + size]
             data.append(w.ljust(size, b"\0"))
             owner.append(i)
@@ -40,6 +38,16 @@ def windows(texts: list[bytes], size: int = WINDOW, most: int | None = None) ->
     return np.frombuffer(b"".join(data), np.uint8).reshape(-1, size), np.array(owner, np.int64), np.array(weight, np.float64)
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, h, at, w): the windows of sampled texts, each with a hash of its own."""
+    for b in batches:
+        for y, h, t in zip(b["y"].to_pylist(), b["h"].to_pylist(), b["t"].cast(pa.binary()).to_pylist(), strict=True):
+            x = windows([t])[0]
+            at = np.arange(len(x), dtype=np.int64)
+            own = mix(np.full(len(x), h, np.int64).view(np.uint64) + mix(at.view(np.uint64) + np.uint64(1)))
+            yield pa.RecordBatch.from_arrays([pa.array([y] * len(x), pa.string()), pa.array((own >> np.uint64(40)).astype(np.int64)), pa.array(at), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "own", "at", "w"])
+
+
 class ByteCNN:
     def __init__(self, labels: list[str], seed: int = 7):
         r = np.random.default_rng(seed)
@@ -104,29 +112,34 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit_language_id(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> ByteCNN | None:
-    """A network from at most `sample` labelled texts, those with the least hash; None without any.
+def fit_language_id(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, most_windows: int = MOST_WINDOWS) -> ByteCNN | None:
+    """A network from all windows of about `sample` labelled texts; None without any.
 
     The sample is the bound of a classifier's training data, the one place where
-    rows are not all used; it is drawn evenly over labels by the hash of ids.
+    rows are not all used; it is drawn evenly over labels by a hash of ids. Windows
+    are cut where the texts lie. If the sampled texts have more than most_windows,
+    those with the least hashes are taken, about as many, so that long texts can't
+    fill the driver.
     """
+    slots = 1 << 24
     h = F.xxhash64(F.col(id_col).cast("string"), F.lit("cnn"))
     rows = labelled.filter(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).cast("string").alias("y"), h.alias("h"), F.col(text_col).alias("t"))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    sizes = {r["y"]: (r["n"], r["b"]) for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.ceil(F.octet_length("t") / WINDOW)).alias("b")).collect()}
+    if not sizes:
         return None
-    names, quota = sorted(counts), max(1, sample // len(counts))
-    # a hash threshold per label, so that what comes to the driver doesn't grow with the table
-    slots = 1 << 24
-    limits = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(slots, slots * (quota + 20) * 5 // (4 * counts[k]) + 1)))])
-    drawn = rows.filter(F.pmod("h", F.lit(slots)) < limits[F.col("y")]).collect()
-    texts, y = [], []
-    for i, name in enumerate(names):
-        for r in sorted((r for r in drawn if r["y"] == name), key=lambda r: r["h"] % slots)[:quota]:
-            texts.append(r["t"].encode())
-            y.append(i)
-    x, owner, _ = windows(texts, most=2)
-    return ByteCNN(names).fit(x, np.array(y)[owner])
+    names, quota = sorted(sizes), max(1, sample // len(sizes))
+    # hash thresholds, so that what comes to the driver doesn't grow with the table
+    share = {k: min(1.0, quota / n) for k, (n, _) in sizes.items()}
+    limits = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(int(slots * share[k]) + 1))])
+    drawn = rows.filter(F.pmod("h", F.lit(slots)) < limits[F.col("y")]).mapInArrow(_cut, "y string, own long, at long, w binary")
+    expected = sum(share[k] * b for k, (_, b) in sizes.items())
+    if expected > most_windows:
+        drawn = drawn.filter(F.col("own") < int(slots * most_windows / expected))
+    got = sorted((r["own"], r["at"], r["y"], bytes(r["w"])) for r in drawn.collect())
+    if not got:
+        return None
+    x = np.frombuffer(b"".join(r[3] for r in got), np.uint8).reshape(-1, WINDOW)
+    return ByteCNN(names).fit(x, np.searchsorted(names, [r[2] for r in got]))
 
 
 def predict_texts(model: ByteCNN | None, pairs: list | None, texts: list[bytes], letters: list[bool]) -> tuple[list[str], np.ndarray]:
