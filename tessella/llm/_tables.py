@@ -13,14 +13,41 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of this process where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one where none is set and Spark runs in this process alone (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def tables_made() -> int:
+    """A mark for discard_since()."""
+    return len(_made)
+
+
+def discard_since(spark: SparkSession, mark: int) -> None:
+    """Delete the tables written by materialize() after the mark; nothing may read them any more."""
+    for path in _made[mark:]:
+        _delete(spark, path)
+    del _made[mark:]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives a lost executor."""
     spark = df.sparkSession
@@ -28,6 +55,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
+    _made.append(path)
     return out
 
 
@@ -38,10 +66,35 @@ def tasks(spark: SparkSession, rows: int, each: int = 200_000, least: int = 8) -
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by materialize() that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_shared_path", None)
+    path = getattr(df, "_shared_path", None)
     if path:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+HOT = 1000  # rows of one key that one task may meet at any size of table
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows join facts on keys, null-safe for none: facts has one row a key, and in n how many rows hold it.
+
+    Keys of more than HOT rows, or a 2^16th of all, can't be more than 2^16; they go
+    to every executor, so their rows stay where they are. The others are met by a
+    shuffle in which no key is hot. total: the rows, or more.
+    """
+    hot = max(HOT, total >> 16)
+    many = facts.filter(F.col(n) > hot)
+    marked = rows.join(F.broadcast(many.withColumn("hot", F.lit(True))), keys, "left")
+    here = marked.filter("hot").drop("hot")
+    away = rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(facts.filter(F.col(n) <= hot), keys, how)
+    return here.unionByName(away)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name like base that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def shuffles(spark: SparkSession) -> int:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import materialize, shuffles
+from ._tables import free_name, join_counted, materialize, shuffles
 
 BITS = 48
 SALTS = 8
@@ -136,28 +136,36 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified = suspect_texts.groupBy("sha", "text").agg(F.count("*").alias("copies")).filter("copies > 1").select("sha", "copies")
     top = suspects.groupBy("sha").agg(F.max(F.struct("doc_id", "part", "idx")).alias("top"))
     groups = materialize(top.join(verified, "sha").select(F.col("sha").alias("g"), "copies", "top"), "dedup-groups")
-    mine = rows.join(groups, rows.sha == groups.g, "left")
+    mine = join_counted(rows, groups.withColumnRenamed("g", "sha"), ["sha"], "copies", slim.count(), "left")
     last = (F.col("top.part") == F.col("part")) & (F.col("top.idx") == F.col("idx"))
+    alone = F.col("copies").isNull()
     return mine.select(
         "doc_id",
-        F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("g").isNull(), F.lit(True)).otherwise(last).alias("kept"),
+        F.when(alone, F.lit(True)).otherwise(last).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, all columns as they are; of rows equal in id and text one."""
-    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    """The rows of docs that exact_dedup keeps, all columns as they are, whatever their names.
+
+    Of rows equal in id and text (null is the empty text) one stays: the first by the
+    JSON of all its columns, a null text before an empty one.
+    """
+    row, name = free_name(docs, "row"), free_name(docs, "name")
     made = exact_dedup(docs, id_col, text_col)
-    per = materialize(made.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__name"), "kept").groupBy("__id", "__name").agg(F.count("*").alias("rows"), F.max("kept").alias("stays")).filter("not stays or rows > 1"), "dedup-drops")
-    keyed = docs.withColumn("__sha", sha)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__name"))
+    per = made.groupBy(F.col("doc_id").alias("drop_id"), F.col("text_sha256").alias("drop_name")).agg(F.count("*").alias("rows"), F.max("kept").alias("stays")).filter("not stays or rows > 1")
+    per = materialize(per, "dedup-drops")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.select(F.struct("*").alias(row), F.col(id_col).cast("long").alias("at_id"), F.sha2(text, 256).alias(name))
+    same = F.col("at_id").eqNullSafe(F.col("drop_id")) & (F.col(name) == F.col("drop_name"))
     small = per.count() <= BROADCAST
     sized = lambda t: F.broadcast(t) if small else t
-    out = keyed.join(sized(per), same, "left_anti").drop("__sha")
+    out = keyed.join(sized(per), same, "left_anti").select(f"{row}.*")
     again = per.filter("stays")
-    if again.limit(1).count():
-        out = out.unionByName(keyed.join(sized(again), same, "left_semi").drop("__sha").dropDuplicates([id_col, text_col]))
-    return out
+    if again.isEmpty():
+        return out
+    pick = keyed.join(sized(again), same, "left_semi").groupBy("at_id", name).agg(F.min_by(row, F.struct(F.col(f"{row}.{text_col}").isNotNull(), F.to_json(row))).alias(row))
+    return out.unionByName(pick.select(f"{row}.*"))

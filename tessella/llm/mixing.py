@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import WORD, column_or_null, materialize
+from ._tables import WORD, materialize
 
 WEIGHTS = (3, 1, 2)
 SLOPES = (-0.5, 0.0, 0.5)
@@ -95,9 +95,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The training stream: rows of docs as often as the mix takes them, range-sorted by position.
 
     A pass that takes half of a document's words or more takes the document. Rows
-    must differ in id or text, as they do after exact dedup.
+    must differ in id or text, null being the empty text, as they do after exact
+    dedup. All columns stay as they are, whatever their names; a document without
+    words is taken by no pass. An empty table gives no rows.
     """
     mix = mix_sources(docs, id_col, text_col, source_col, sort=False, **options)
-    mix = mix.filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), F.slice("positions", 1, F.col("copies")).alias("__at"))
-    keyed = docs.join(mix, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__th")))
-    return keyed.select(*docs.columns, F.explode("__at").alias("__at")).orderBy("__at", id_col).drop("__at")
+    mix = mix.filter("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash"), F.slice("positions", 1, F.col("copies")).alias("at"))
+    # one struct a row, so that no column's name can clash
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"))
+    taken = rows.join(mix, F.col("id").eqNullSafe(F.col("mix_id")) & (F.col("hash") == F.col("mix_hash")))
+    return taken.select("doc", "id", F.explode("at").alias("at")).orderBy("at", "id").select("doc.*")

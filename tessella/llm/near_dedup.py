@@ -7,7 +7,8 @@ BANDS bands of ROWS registers give candidate pairs, an estimate of the Jaccard
 similarity from equal registers, corrected for registers equal by chance, sorts out
 most false ones, and full shingle sets confirm the rest.
 
-Documents with equal sets are one node from the start, so copies cost nothing.
+Documents with equal sets, told by 128 bits, are one node from the start, so copies
+cost nothing.
 Within a band's bucket, nodes are first paired with one centre, which joins groups of
 near copies at the price of a pair per member. Buckets whose members are still apart
 are finished exactly: cut into blocks of about BLOCK nodes, every block meets every
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import components, discard, materialize, tasks
+from ._tables import components, discard, free_name, materialize, tasks
 from ._text import blocks, mix, words
 
 WORDS, BUCKETS, MANTISSA, ROWS = 5, 256, 10, 6
@@ -131,7 +132,7 @@ def _corrected(same: np.ndarray) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b["text"].cast(pa.binary()).to_pylist()
-        n, node, regs, some = [], [], [], []
+        n, node, check, regs, some = [], [], [], [], []
 
         def flush(some=some, regs=regs) -> None:
             regs += [r.tobytes() for r in registers(some)] if some else []
@@ -142,14 +143,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(s):
                 flush()
                 node.append(None)
+                check.append(None)
                 regs.append(None)
                 continue
             node.append(int(mix(s + np.uint64(len(s))).sum(dtype=np.uint64).astype(np.int64)))
+            check.append(int(mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).astype(np.int64)))
             some.append(s)
             if len(some) == 512:
                 flush()
         flush()
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "node", "regs"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "node", "check", "regs"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,6 +303,15 @@ def _finish(members: DataFrame, comp: DataFrame, texts: DataFrame, able: DataFra
     return out
 
 
+def _named_apart(sig: DataFrame) -> DataFrame:
+    """sig with another node name for sets that share a 64-bit name and differ in their 128 bits, expected from 10^10 sets on."""
+    shared = sig.filter("node is not null").groupBy("node").agg(F.min("check").alias("c0"), F.max("check").alias("c1")).filter("c0 <> c1")
+    if shared.isEmpty():
+        return sig
+    own = F.when(F.col("check") != F.col("c0"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return sig.join(shared, "node", "left").withColumn("node", own).drop("c0", "c1")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -316,7 +328,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    sig = materialize(d.mapInArrow(_signatures, "doc_id long, n_shingles long, node long, regs binary"), "near-sig")
+    sig = materialize(d.mapInArrow(_signatures, "doc_id long, n_shingles long, node long, check long, regs binary"), "near-sig")
+    sig = _named_apart(sig)
     some = sig.filter("node is not null")
     n_docs = tasks(docs.sparkSession, sig.count(), 40_000)
     reps = materialize(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")).coalesce(n_docs), "near-nodes")
@@ -353,6 +366,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75, broadcast: int = 1 << 20) -> DataFrame:
     """The rows of docs that near_dedup keeps, all columns as they are; rows of null id stay."""
-    drops = materialize(near_dedup(docs, id_col, text_col, share).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__drop")).distinct(), "near-drops")
+    drops = materialize(near_dedup(docs, id_col, text_col, share).filter("not kept and doc_id is not null").select("doc_id").distinct(), "near-drops")
+    drop = free_name(docs, "drop_id")
+    drops = drops.withColumnRenamed("doc_id", drop)
     sized = F.broadcast(drops) if drops.count() <= broadcast else drops
-    return docs.join(sized, F.col(id_col).cast("long") == F.col("__drop"), "left_anti")
+    return docs.join(sized, F.col(id_col).cast("long") == F.col(drop), "left_anti")

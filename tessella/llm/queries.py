@@ -34,7 +34,7 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
 
 
 def tokenizer_path() -> str:
@@ -48,7 +48,9 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(_read(spark, sf_dir, "documents"))
+    """The tables name no repository: a source's documents of one language stand for one."""
+    docs = _read(spark, sf_dir, "documents")
+    return scan_secrets(docs.withColumn("repo", F.concat_ws("/", "source", "lang")), repo_col="repo")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

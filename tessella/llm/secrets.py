@@ -2,8 +2,8 @@
 
 Texts are scanned where they lie. Candidates go on as hashes: for each hash the
 distinct repositories and owners that hold it are counted over the corpus. A hash
-held by many owners is a copied example; one of a single owner, varied enough to be
-random, looks live.
+held by many owners, or in many repositories of few, is a copied example; one held
+by few, varied enough to be random, looks live.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import column_or_null, materialize
+from ._tables import column_or_null, join_counted, materialize
 
 # The base kinds in their order, then the kinds the method adds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -32,7 +32,7 @@ ADDED = (
 )
 KINDS = ("assign", "access", "hex", *(k for k, _, _ in ADDED))
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-EXAMPLE_OWNERS, LIVE_BITS = 3, 2.5
+EXAMPLE_OWNERS, EXAMPLE_REPOS, LIVE_BITS = 3, 6, 2.5
 
 
 def scan(text: str) -> list[tuple[int, int, int, str]]:
@@ -85,15 +85,16 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done += n
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, example_owners: int = EXAMPLE_OWNERS, live_bits: float = LIVE_BITS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS, live_bits: float = LIVE_BITS) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
     A null text counts as empty. Rows with a null owner belong to one owner of
     their own, likewise null repositories; without repo_col the owner is the
     repository. Repeated rows are scanned one by one, and their secrets counted
     once per owner. A missing owner column counts as null. An empty table gives no
-    rows. n_live counts secrets of fewer than example_owners owners whose
-    characters hold live_bits bits each; n_example those of more owners.
+    rows. n_live counts secrets whose characters hold live_bits bits each and that
+    fewer than example_owners owners hold in fewer than example_repos repositories
+    in all; n_example those that reach either number.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     owner = F.coalesce(column_or_null(docs, owner_col, "string"), F.lit("\0"))
@@ -102,12 +103,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = materialize(d.mapInArrow(_run, _DDL), "secrets")
     each = d.select("part", "idx", "owner", "repo", F.explode("secrets").alias("s")).select("part", "idx", "owner", "repo", "s.h", "s.bits")
     # distinct owners and repositories first, so that a hash copied everywhere combines before the shuffle
-    held = each.groupBy("h", "owner", "repo").agg(F.count("*").alias("n")).groupBy("h", "owner").agg(F.count("*").alias("repos"))
-    wide = materialize(held.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")), "secret-owners")
-    known = each.join(wide, "h")
+    held = each.groupBy("h", "owner", "repo").agg(F.count("*").alias("n")).groupBy("h", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    wide = materialize(held.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("held")), "secret-owners")
+    total = wide.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    known = join_counted(each, wide, ["h"], "held", int(total))
+    example = (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)
     verdicts = known.groupBy("part", "idx").agg(
-        F.sum(F.when((F.col("owners") < example_owners) & (F.col("bits") >= live_bits), 1).otherwise(0)).alias("n_live"),
-        F.sum(F.when(F.col("owners") >= example_owners, 1).otherwise(0)).alias("n_example"),
+        F.sum(F.when(~example & (F.col("bits") >= live_bits), 1).otherwise(0)).alias("n_live"),
+        F.sum(F.when(example, 1).otherwise(0)).alias("n_example"),
     )
     out = d.drop("secrets", "owner", "repo").join(verdicts, ["part", "idx"], "left")
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"))
