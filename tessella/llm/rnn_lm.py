@@ -19,6 +19,7 @@ across, each to its end.
 
 from __future__ import annotations
 
+import copy
 import io
 from collections.abc import Iterator
 
@@ -27,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import materialize, shuffles
+from ._tables import materialize
 from ._text import blocks, mix, words
 
 FREQUENT, LEXICON, CLASSES, TAILS = 1 << 17, 1024, 16, 32
-HIDDEN, WINDOW, LANES = 24, 24, 256
-WARM_DOCS, FRACTION = 1200, 1  # documents of the first fit; share of the training documents that the replicas read
+HIDDEN, WINDOW, LANES = 24, 24, 224
+WARM_DOCS, RATE = 1200, 0.006  # documents of the first fit; the replicas' step
 ROUNDS, CHUNK = 4, 1 << 18  # averaging rounds in a pass; tokens that a replica holds at once
+SHARE, MOST_REPLICAS = 1 << 20, 1 << 14  # tokens that a replica reads in a round; most replicas, each then reads more
 SLOTS = 1 << 24
 END = np.uint64(1)  # the end token's hash
 PER = LEXICON // CLASSES
@@ -44,6 +46,18 @@ def tail_class(start: np.ndarray, end: np.ndarray, buf: np.ndarray) -> np.ndarra
     return (mix(last * np.uint64(256) + before) % np.uint64(TAILS)).astype(np.int64)
 
 
+def class_of(ids: np.ndarray) -> np.ndarray:
+    return np.where(ids < LEXICON, ids // PER, ids - LEXICON + CLASSES).astype(np.uint8)
+
+
+def by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, its rows) for the lexicon's classes."""
+    order = np.argsort(cls, kind="stable")
+    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    for k in range(CLASSES):
+        yield k, order[cuts[k] : cuts[k + 1]]
+
+
 class Model:
     """Weights: e (input tables of both gates), u, v (recurrent), wc, bc (classes), wo, bo (words by class)."""
 
@@ -68,18 +82,72 @@ class Model:
         z = h @ self.wc + self.bc
         top = z.max(1, keepdims=True)
         z -= top
-        cls = np.where(ids < LEXICON, ids // PER, ids - LEXICON + CLASSES)
+        cls = class_of(ids)
         out = z[np.arange(len(ids)), cls] - np.log(np.exp(z).sum(1))
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            rows = order[cuts[k] : cuts[k + 1]]
+        for k, rows in by_class(cls):
             if len(rows):
                 y = h[rows] @ self.wo[k] + self.bo[k]
                 y -= y.max(1, keepdims=True)
                 out[rows] += y[np.arange(len(rows)), ids[rows] % PER] - np.log(np.exp(y).sum(1))
         return out
 
+    def gradients(self, x: np.ndarray, new: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """(gradients of the window's mean loss, last state) for ids x [time, lanes]; new: a document starts; h: carried states."""
+        t_n, lanes = x.shape
+        before, inner, gates, cands = (np.empty((t_n, lanes, HIDDEN), h.dtype) for _ in range(4))
+        starts = new.any(1)
+        for t in range(t_n):
+            if starts[t]:
+                h = np.where(new[t][:, None], h.dtype.type(0), h)  # a document starts from nothing
+            before[t] = h
+            h, gates[t], cands[t] = self.step(x[t], h)
+            inner[t] = h
+        hs, flat = before.reshape(-1, HIDDEN), x.ravel()
+        grads = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
+        p = hs @ self.wc
+        p += self.bc
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        cls = class_of(flat)
+        p[np.arange(len(flat)), cls] -= 1
+        p /= len(flat)
+        grads["wc"], grads["bc"], dh = hs.T @ p, p.sum(0), p @ self.wc.T
+        for k, rows in by_class(cls):
+            if len(rows):
+                states = hs[rows]
+                q = states @ self.wo[k]
+                q += self.bo[k]
+                q -= q.max(1, keepdims=True)
+                np.exp(q, out=q)
+                q /= q.sum(1, keepdims=True)
+                q[np.arange(len(rows)), flat[rows] % PER] -= 1
+                q /= len(flat)
+                grads["wo"][k], grads["bo"][k] = states.T @ q, q.sum(0)
+                dh[rows] += q @ self.wo[k].T
+        dh = dh.reshape(t_n, lanes, HIDDEN)
+        back = np.zeros((lanes, HIDDEN), h.dtype)
+        ge = np.empty((t_n, lanes, 2 * HIDDEN), h.dtype)
+        for t in range(t_n - 1, -1, -1):
+            back += dh[t]  # by the state before token t, of the losses of t and all later ones
+            if t:
+                carried = np.where(new[t][:, None], h.dtype.type(0), back) if starts[t] else back
+                old, g, c = before[t - 1], gates[t - 1], cands[t - 1]
+                dc = carried * g * (1 - c * c)
+                dgh = dc @ self.v.T
+                da = (carried * (c - old) + dgh * old) * g * (1 - g)
+                ge[t - 1, :, :HIDDEN], ge[t - 1, :, HIDDEN:] = da, dc
+                back = carried * (1 - g) + dgh * g + da @ self.u.T
+        ge[t_n - 1] = 0  # the last state is carried on, and its gradient ends here
+        da, dc = ge[:, :, :HIDDEN].reshape(-1, HIDDEN), ge[:, :, HIDDEN:].reshape(-1, HIDDEN)
+        grads["v"] = (gates.reshape(-1, HIDDEN) * hs).T @ dc
+        grads["u"] = hs.T @ da
+        by = np.argsort(flat.astype(np.uint16), kind="stable")
+        ordered = flat[by]
+        first = np.flatnonzero(np.diff(ordered, prepend=-1))
+        grads["e"][ordered[first]] = np.add.reduceat(ge.reshape(-1, 2 * HIDDEN)[by], first)
+        return grads, h
+
     def train(self, docs: list[np.ndarray], rate: float = 0.01, lanes: int = 32, seed: int = 0, moments: list | None = None) -> int:
         """One pass over token id arrays by truncated backpropagation; returns the tokens read.
 
@@ -94,57 +162,14 @@ class Model:
             return 0
         order = r.permutation(len(docs))
         stream = np.concatenate([docs[i] for i in order])
-        starts = np.concatenate([np.r_[True, np.zeros(len(docs[i]) - 1, bool)] for i in order])
-        ids, fresh = stream[: span * lanes].reshape(lanes, span).T, starts[: span * lanes].reshape(lanes, span).T
+        starts = np.zeros(size, bool)
+        starts[np.cumsum([0, *(len(docs[i]) for i in order[:-1])])] = True
+        ids, fresh = (np.ascontiguousarray(a[: span * lanes].reshape(lanes, span).T) for a in (stream, starts))
         params = [getattr(self, k) for k in self.NAMES]
         m, v, turn = moments or ([np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0)
         h = np.zeros((lanes, HIDDEN), np.float32)
         for s in range(0, span, WINDOW):
-            x, new = ids[s : s + WINDOW], fresh[s : s + WINDOW]
-            t_n = len(x)
-            before, inner, gates, cands = [], [], [], []
-            for t in range(t_n):
-                h = np.where(new[t][:, None], np.float32(0), h)  # a document starts from nothing
-                before.append(h)
-                h, g, c = self.step(x[t], h)
-                inner.append(h)
-                gates.append(g)
-                cands.append(c)
-            hs, flat = np.concatenate(before), x.ravel()
-            grads = {k: np.zeros_like(p) for k, p in zip(self.NAMES, params, strict=True)}
-            z = hs @ self.wc + self.bc
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            cls = np.where(flat < LEXICON, flat // PER, flat - LEXICON + CLASSES)
-            p[np.arange(len(flat)), cls] -= 1
-            p /= len(flat)
-            grads["wc"], grads["bc"], dh = hs.T @ p, p.sum(0), p @ self.wc.T
-            for k in range(CLASSES):
-                rows = np.flatnonzero(cls == k)
-                if len(rows):
-                    y = hs[rows] @ self.wo[k] + self.bo[k]
-                    q = np.exp(y - y.max(1, keepdims=True))
-                    q /= q.sum(1, keepdims=True)
-                    q[np.arange(len(rows)), flat[rows] % PER] -= 1
-                    q /= len(flat)
-                    grads["wo"][k], grads["bo"][k] = hs[rows].T @ q, q.sum(0)
-                    dh[rows] += q @ self.wo[k].T
-            dh = dh.reshape(t_n, lanes, HIDDEN)
-            back = np.zeros((lanes, HIDDEN), np.float32)
-            ge = np.zeros((t_n, lanes, 2 * HIDDEN), np.float32)
-            for t in range(t_n - 1, -1, -1):
-                old, g, c = before[t], gates[t], cands[t]
-                dc = back * g * (1 - c * c)
-                dgh = dc @ self.v.T
-                da = (back * (c - old) + dgh * old) * g * (1 - g)
-                grads["v"] += (g * old).T @ dc
-                grads["u"] += old.T @ da
-                ge[t, :, :HIDDEN], ge[t, :, HIDDEN:] = da, dc
-                back = back * (1 - g) + dgh * g + da @ self.u.T + dh[t]
-                back = np.where(new[t][:, None], np.float32(0), back)
-            by = np.argsort(flat, kind="stable")
-            first = np.flatnonzero(np.diff(flat[by], prepend=-1))
-            grads["e"][flat[by[first]]] = np.add.reduceat(ge.reshape(-1, 2 * HIDDEN)[by], first)
+            grads, h = self.gradients(ids[s : s + WINDOW], fresh[s : s + WINDOW], h)
             turn += 1
             for i, k in enumerate(self.NAMES):
                 g = np.clip(grads[k], -1, 1)
@@ -234,38 +259,53 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.concatenate(ts)[first]), pa.array(n)], names=["h", "tail", "n"])
 
 
-def _train(model: Model, lexicon: Lexicon):
+def _train(start: Model, lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, held, n, moments, some = [], 0, 0, [], False
-        for b in batches:
-            for h, t, bounds in _tokens(b["text"].cast(pa.binary()).to_pylist()):
-                ids, some = lexicon.ids(h, t)[0], True
-                docs += [ids[x:y].astype(np.int32) for x, y in zip(bounds, bounds[1:], strict=False)]
-                held += len(ids)
-                if held >= CHUNK:
-                    n += model.train(docs, rate=0.004, moments=moments)
-                    docs, held = [], 0
-        if docs:
-            n += model.train(docs, rate=0.004, moments=moments)
-        if some:
-            from pyspark import TaskContext
-
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([model.dump()], pa.binary())], names=["replica", "n", "w"])
+        def parts() -> Iterator[tuple[int, list[bytes]]]:
+            for b in batches:
+                who, texts = b["replica"].to_numpy(), b["text"].cast(pa.binary())
+                cuts = [0, *(np.flatnonzero(np.diff(who)) + 1), b.num_rows]
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    if y > x:
+                        yield int(who[x]), texts.slice(x, y - x).to_pylist()
+
+        now, model, docs, held, n, moments = None, None, [], 0, 0, []
+
+        def done() -> pa.RecordBatch:
+            more = model.train(docs, rate=RATE, lanes=LANES, moments=moments) if docs else 0
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([n + more], pa.int64()), pa.array([model.dump()], pa.binary())], names=["replica", "n", "w"])
+
+        for who, texts in parts():
+            if who != now:  # the next replica in this task starts from the round's weights
+                if now is not None:
+                    yield done()
+                now, model, docs, held, n, moments = who, copy.deepcopy(start), [], 0, 0, []
+            for h, t, bounds in _tokens(texts):
+                ids = lexicon.ids(h, t)[0].astype(np.int32)
+                for d in np.split(ids, bounds[1:-1]):  # chunks are cut by documents alone, whatever the batches
+                    docs.append(d)
+                    held += len(d)
+                    if held >= CHUNK:
+                        n += model.train(docs, rate=RATE, lanes=LANES, moments=moments)
+                        docs, held = [], 0
+        if now is not None:
+            yield done()
 
     return run
 
 
-def _average(model: Model):
+def _average(shape: Model):
     def run(t: pa.Table) -> pa.Table:
-        total, sums = 0, {k: 0.0 for k in Model.NAMES}
-        for n, w in zip(t["n"].to_pylist(), t["w"].to_pylist(), strict=True):
+        model, total, sums = copy.deepcopy(shape), 0, {k: 0.0 for k in Model.NAMES}
+        rows = sorted(zip(t["replica"].to_pylist(), t["n"].to_pylist(), t["w"].to_pylist(), strict=True))
+        for _, n, w in rows:
             m = model.load(w)
             total += n
             for k in sums:
                 sums[k] = sums[k] + n * getattr(m, k).astype(np.float64)
         for k in sums:
             setattr(model, k, (sums[k] / max(1, total)).astype(np.float32))
-        return pa.table({"replica": pa.array([0], pa.int64()), "n": pa.array([total], pa.int64()), "w": pa.array([model.dump()], pa.binary())})
+        return pa.table({"replica": pa.array([rows[0][0]], pa.int64()), "n": pa.array([total], pa.int64()), "w": pa.array([model.dump()], pa.binary())})
 
     return run
 
@@ -274,49 +314,66 @@ def _score(model: Model, lexicon: Lexicon, tail_n: np.ndarray, tail_v: np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floor = np.log10(total + 0.5 * (distinct + 1))
         share = np.log10(tail_n + 0.5 * (tail_v + 1))
+        counted = np.log10(np.r_[lexicon.counts, 0.0][: max(1, len(lexicon.counts))] + 0.5)
         for b in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
             texts = b["text"].cast(pa.binary()).to_pylist()
-            n, known, base, score, rare = [], [], [], [], []
+            n, known, base, score = [], [], [], []
             docs: list[np.ndarray] = []
+            rare: tuple[list, ...] = ([], [], [])  # words, their counts, how many of each document
             for h, t, bounds in _tokens(texts):
                 ids, at, ok = lexicon.ids(h, t)
-                logs = np.where(ok, np.log10((lexicon.counts[at] if len(lexicon.counts) else 0) + 0.5), 0.0)
+                logs = np.where(ok, counted[at], 0.0)
                 in_tail = ids >= LEXICON
-                word = np.where(in_tail, np.where(ok, logs, 0.0) - share[np.where(in_tail, ids - LEXICON, 0)], 0.0)
-                for x, y in zip(bounds, bounds[1:], strict=False):
-                    n.append(y - x)
-                    known.append(int(ok[x:y].sum()))
-                    base.append(float(logs[x:y].sum()) - floor * (y - x))
-                    score.append(float(word[x:y].sum()))
-                    docs.append(ids[x:y].astype(np.int32))
-                    r, c = np.unique(h[x:y][~ok[x:y]], return_counts=True)
-                    rare.append([{"h": int(a), "n": int(k)} for a, k in zip(r.view(np.int64), c, strict=True)])
-            score = np.array(score) + model.score(docs) / np.log(10) if docs else np.zeros(0)
-            kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b["uid"], b["doc_id"], b["held_out"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, kind)], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+                word = np.where(in_tail, logs - share[np.where(in_tail, ids - LEXICON, 0)], 0.0)
+                size, first = np.diff(bounds), bounds[:-1]  # a text has one token at least
+                n.append(size)
+                known.append(np.add.reduceat(ok.astype(np.int64), first))
+                base.append(np.add.reduceat(logs, first) - floor * size)
+                score.append(np.add.reduceat(word, first))
+                docs += np.split(ids.astype(np.int32), bounds[1:-1])
+                new = np.flatnonzero(~ok)
+                owner, name = np.searchsorted(bounds, new, "right") - 1, h[new]
+                by = np.lexsort((name, owner))
+                owner, name = owner[by], name[by]
+                start = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(name, prepend=name[:1]) != 0)) if len(new) else new
+                for out, v in zip(rare, (name[start].view(np.int64), np.diff(start, append=len(new)), np.bincount(owner[start], minlength=len(size))), strict=True):
+                    out.append(v)
+            if not docs:
+                continue
+            n, known, base, score = (np.concatenate(x) for x in (n, known, base, score))
+            score = score + model.score(docs) / np.log(10)
+            names, times, each = (np.concatenate(x) for x in rare)
+            listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)], pa.int32()), pa.StructArray.from_arrays([pa.array(names), pa.array(times)], ["h", "n"]))
+            yield pa.RecordBatch.from_arrays([b["uid"], b["doc_id"], b["held_out"], *map(pa.array, (n, known, base, score)), listed], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
     return run
 
 
-def train_rounds(model: Model, lexicon: Lexicon, train: DataFrame, fraction: float = FRACTION) -> int:
-    """Train the model on that share of the documents in ROUNDS averaging rounds; returns the tokens read."""
-    replicas = max(1, shuffles(train.sparkSession) // 4)
+def train_rounds(model: Model, lexicon: Lexicon, train: DataFrame, tokens: int) -> int:
+    """Train the model on all documents in ROUNDS averaging rounds; returns the tokens read.
+
+    A document's hash deals it to a round and a replica, which reads its documents in
+    the order of their hashes. The number of replicas follows from the tokens alone, so
+    the weights don't depend on Spark's settings or on how the table is cut.
+    """
+    replicas = min(MOST_REPLICAS, max(1, -(-tokens // (ROUNDS * SHARE))))
     side = max(1, int(np.sqrt(replicas)))
-    slot = F.pmod(F.xxhash64("doc_id", "text", F.lit("share")), F.lit(SLOTS))
+    dealt = train.select("text", F.xxhash64("doc_id", "text", F.lit("share")).alias("slot"))
+    dealt = dealt.withColumn("replica", F.pmod(F.shiftright("slot", 8), F.lit(replicas)).cast("long"))
     total = 0
     for k in range(ROUNDS):
-        mine = train.filter((slot < int(SLOTS * fraction)) & (slot % ROUNDS == k)).select("text")
-        trained = mine.coalesce(replicas).mapInArrow(_train(model, lexicon), "replica long, n long, w binary")
+        mine = dealt.filter(F.pmod("slot", F.lit(ROUNDS)) == k).repartition(replicas, "replica").sortWithinPartitions("replica", "slot", "text")
+        trained = mine.select("replica", "text").mapInArrow(_train(model, lexicon), "replica long, n long, w binary")
         level = trained.withColumn("g", F.col("replica") % side).groupBy("g").applyInArrow(_average(model), "replica long, n long, w binary")
-        means = [r for r in level.collect() if r["n"]]  # about the square root of the replicas
+        means = sorted((r for r in level.collect() if r["n"]), key=lambda r: r["replica"])  # about the square root of the replicas
         if means:
-            merged = _average(model)(pa.table({"n": [r["n"] for r in means], "w": pa.array([bytes(r["w"]) for r in means], pa.binary())}))
+            merged = _average(model)(pa.table({"replica": [r["replica"] for r in means], "n": [r["n"] for r in means], "w": pa.array([bytes(r["w"]) for r in means], pa.binary())}))
             model.load(merged["w"][0].as_py())
             total += merged["n"][0].as_py()
     return total
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", warm_docs: int = WARM_DOCS, fraction: float = FRACTION) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", warm_docs: int = WARM_DOCS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held_out: crc32 of the id's text mod 5 is 1; a null id is not held out. A null
@@ -358,7 +415,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wa
         first += [ids[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
     model.train(first, seed=0)
     model.train(first, rate=0.005, seed=1)
-    train_rounds(model, lexicon, train, fraction)
+    train_rounds(model, lexicon, train, int(total))
     rows = d.withColumn("uid", F.monotonically_increasing_id())
     scored = rows.mapInArrow(_score(model, lexicon, tail_n, tail_v, int(total), int(distinct)), "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<h:long,n:long>>")
     scored = materialize(scored, "lm-scored")

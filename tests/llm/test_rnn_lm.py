@@ -19,7 +19,7 @@ def test_scores(spark):
     c = Counter(w for r in rows if not out(r.doc_id) for w in tok(r.text))
     total = sum(c.values())
     want = sorted((str(r.doc_id), out(r.doc_id), len(tok(r.text)), sum(c[w] > 0 for w in tok(r.text)), total, round(sum(math.log10((c[w] + 0.5) / (total + 0.5 * (len(c) + 1))) for w in tok(r.text)), 5)) for r in rows)
-    res = lm_score(df, warm_docs=120, fraction=0.5).collect()
+    res = lm_score(df, warm_docs=120).collect()
     got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in res)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert all(abs(g[5] - w[5]) < 1e-4 for g, w in zip(got, want, strict=True))
@@ -67,3 +67,52 @@ def test_model():
     assert m.score(docs).sum() > before
     copy = Model(np.ones(CLASSES + TAILS), np.ones(LEXICON)).load(m.dump())
     assert np.allclose(copy.score(docs), m.score(docs))
+
+
+def test_gradients_equal_finite_differences():
+    from tessella.llm.rnn_lm import CLASSES, LEXICON, TAILS, Model
+
+    r = np.random.default_rng(0)
+    m = Model(np.ones(CLASSES + TAILS), np.ones(LEXICON))
+    for k in m.NAMES:
+        setattr(m, k, getattr(m, k).astype(np.float64) + r.normal(0, 0.1, getattr(m, k).shape))
+    x, new, start = r.integers(0, 40, (5, 3)), r.random((5, 3)) < 0.3, r.normal(0, 0.5, (3, m.u.shape[0]))
+    x[2] = LEXICON + 3
+
+    def loss():
+        total, h = 0.0, start
+        for t in range(5):
+            h = np.where(new[t][:, None], 0, h)
+            total -= m.log_prob(h, x[t]).sum()
+            h = m.step(x[t], h)[0]
+        return total / x.size
+
+    grads, _ = m.gradients(x, new, start)
+    for k in m.NAMES:
+        a = getattr(m, k)
+        for i in range(10):
+            at = np.unravel_index(np.argmax(np.abs(grads[k])) if not i else r.integers(a.size), a.shape)
+            old, sides = a[at], []
+            for e in (1e-5, -1e-5):
+                a[at] = old + e
+                sides.append(loss())
+            a[at] = old
+            assert abs((sides[0] - sides[1]) / 2e-5 - grads[k][at]) < 1e-7
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Clashing columns, repeated rows and a very long text in a table cut and shuffled in two ways."""
+    from tessella.llm import rnn_lm
+
+    monkeypatch.setattr(rnn_lm, "SHARE", 1 << 12)  # several replicas
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(100001, "wort " * 200_000), (100002, "a b"), (100002, "a b")], "doc_id long, text string")
+    df = docs.union(odd).selectExpr("*", "1 AS slot", "2 AS replica", "'x' AS uid", "3 AS h", "4 AS n", "true AS held_out")
+    got, old = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, shuffle in ((2, "3"), (7, "8")):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+            got.append(sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 3), round(r.score, 3)) for r in rnn_lm.lm_score(df.repartition(parts)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got[0] == got[1] and (100001, 200_001) in {x[:2] for x in got[0]}
