@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -24,6 +27,29 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POW
 
 
+def lean(run: Callable) -> Callable:
+    """run, a generator function, that gives freed memory back to the system at its end: idle workers stay small."""
+
+    @functools.wraps(run)
+    def leaner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return leaner
+
+
+def slices(batches: Iterator, rows: int = 1000) -> Iterator:
+    """The batches in pieces of so many rows, so that few texts are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -31,7 +57,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def blocks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def blocks(texts: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, texts) in blocks of about limit bytes; a longer text is a block of its own."""
     start, size = 0, 0
     for i, t in enumerate(texts):

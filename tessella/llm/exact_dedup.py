@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import free_name, join_counted, materialize, shuffles
+from ._text import lean
 
 BITS = 48
 SALTS = 8
@@ -55,6 +56,7 @@ def golomb_decode(data: bytes, k: int, n: int) -> np.ndarray:
 def _send(owners: int):
     span = (1 << BITS) // owners + 1
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

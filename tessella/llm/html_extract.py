@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import lean
+
 # HTML's element names by their part in layout.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input picture source ruby rt rp".split())
 RAW = set("script style textarea title noscript template iframe xmp noembed noframes select option button svg object math canvas".split())
@@ -336,6 +338,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """
     model = model or main_text_model()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sources, texts, some, held = b["html"].to_pylist(), [], [], 0

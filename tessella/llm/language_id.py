@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import blocks, mix
+from ._text import blocks, lean, mix, slices
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 4, 6), 10
 SAMPLE = 3000  # labelled documents that the fit reads, about
@@ -38,6 +38,7 @@ def windows(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndar
     return np.frombuffer(b"".join(data), np.uint8).reshape(-1, size), np.array(owner, np.int64), np.array(weight, np.float64)
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(y, h, at, w): the windows of sampled texts, each with a hash of its own."""
     for b in batches:
@@ -157,9 +158,10 @@ def predict_texts(model: ByteCNN | None, pairs: list | None, texts: list[bytes],
 
 
 def _apply(model: ByteCNN | None):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = model.pair_tables() if model else None
-        for b in batches:
+        for b in slices(batches):
             names, scores = predict_texts(model, pairs, b["text"].cast(pa.binary()).to_pylist(), b["letters"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -172,9 +174,10 @@ def keep_known_language(docs: DataFrame, model: ByteCNN | None, text_col: str =
     Without a model every text with a letter stays; null and empty texts go.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = model.pair_tables() if model else None
-        for b in batches:
+        for b in slices(batches):
             _, scores = predict_texts(model, pairs, b[text_col].cast(pa.binary()).to_pylist(), [True] * b.num_rows)
             yield b.filter(pa.array(scores >= least)) if model else b
 

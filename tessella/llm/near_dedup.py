@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import components, discard, free_name, materialize, tasks
-from ._text import blocks, mix, words
+from ._text import blocks, lean, mix, slices, words
 
 WORDS, BUCKETS, MANTISSA, ROWS = 5, 256, 10, 6
 BANDS = BUCKETS // ROWS
@@ -129,8 +129,9 @@ def _corrected(same: np.ndarray) -> np.ndarray:
     return (same - chance) / (1 - chance)
 
 
+@lean
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         texts = b["text"].cast(pa.binary()).to_pylist()
         n, node, check, regs, some = [], [], [], [], []
 
@@ -155,6 +156,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "node", "check", "regs"])
 
 
+@lean
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coef = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
     for b in batches:
@@ -165,6 +167,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64).ravel()), pa.array(np.repeat(c["node"].to_numpy(), BANDS))], names=["key", "node"])
 
 
+@lean
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -173,6 +176,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.select(["a", "b"]).take(pa.array(keep))
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 256):
@@ -231,6 +235,7 @@ def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, two if len(two) else one
 
 
+@lean
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each unit, the nodes with a likely partner in another component; units left with the same nodes get one name."""
     for t, bounds in _whole_units(batches):
@@ -255,6 +260,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _joined(share: int):
     """Of each unit, pairs of nodes that meet the threshold and join its components; none that others already imply."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in _whole_units(batches):
             node, comp, side = (t[c].to_numpy() for c in ("node", "comp", "side"))

@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._tables import materialize
+from ._text import lean, slices
 
 LENGTH, BUCKETS = 2048, 64
-CACHE = 400_000  # distinct words a worker remembers
+CACHE = 300_000  # distinct words a worker remembers
 # Fixed value: the pre-tokenisation pattern of the byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -76,9 +77,10 @@ class Tokens:
 
 
 def _pieces(path: str, length: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(path)
-        for b in batches:
+        for b in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 ids = tokens(text) + b"\0\0\0\0"

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import materialize
-from ._text import blocks, mix, words
+from ._text import blocks, lean, mix, words
 
 FREQUENT, LEXICON, CLASSES, TAILS = 1 << 17, 1024, 16, 32
 HIDDEN, WINDOW, LANES = 24, 24, 224
@@ -248,6 +248,7 @@ def _tokens(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield np.insert(h, bounds[1:], END), np.insert(tails, bounds[1:], 0), bounds + np.arange(len(bounds))
 
 
+@lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         hs, ts = [], []
@@ -260,6 +261,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _train(start: Model, lexicon: Lexicon):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple[int, list[bytes]]]:
             for b in batches:
@@ -311,6 +313,7 @@ def _average(shape: Model):
 
 
 def _score(model: Model, lexicon: Lexicon, tail_n: np.ndarray, tail_v: np.ndarray, total: int, distinct: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floor = np.log10(total + 0.5 * (distinct + 1))
         share = np.log10(tail_n + 0.5 * (tail_v + 1))

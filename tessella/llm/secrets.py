@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import column_or_null, join_counted, materialize
+from ._text import lean
 
 # The base kinds in their order, then the kinds the method adds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -62,6 +63,7 @@ def _spans(found: list) -> str:
 _DDL = "doc_id long, owner string, repo string, part long, idx long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, secrets array<struct<h:string,bits:double>>"
 
 
+@lean
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 

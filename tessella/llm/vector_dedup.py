@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import components, materialize, shuffles
-from ._text import mix
+from ._text import lean, mix
 
 TABLES, BLOCKS, THRESHOLD = 10, 2, 0.98
 SPREAD = 0.28  # mean distance at the threshold in a projected space, where lattice points are sqrt(2) apart
@@ -97,6 +97,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
 
 
+@lean
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         dims = b["dim"].to_numpy()
@@ -147,6 +148,7 @@ def _compare(t: int, a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np
 
 
 def _verify(threshold: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[pa.Table]:
             held: list[pa.RecordBatch] = []
