@@ -1,4 +1,4 @@
-"""Answer extraction and token F1."""
+"""Token F1 of neighbouring turns, action classes and buckets."""
 
 from ._dialect import pair
 
@@ -9,17 +9,10 @@ WITH t AS (SELECT conv_id, turn, lower(text) AS text, lead(lower(text)) OVER (PA
      b AS (SELECT conv_id, turn, w, count(*) AS c FROM (SELECT conv_id, turn, @explode(@words(nxt, @ws)) AS w FROM n) x WHERE w <> '' GROUP BY conv_id, turn, w),
      sa AS (SELECT conv_id, turn, sum(c) AS s FROM a GROUP BY conv_id, turn), sb AS (SELECT conv_id, turn, sum(c) AS s FROM b GROUP BY conv_id, turn),
      k AS (SELECT a.conv_id, a.turn, sum(least(a.c, b.c)) AS k FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.w = b.w GROUP BY a.conv_id, a.turn)
-SELECT sa.conv_id, sa.turn, round(coalesce(2.0 * k.k / (sa.s + sb.s), 0.0) * 1.0, 6) + 0.0 AS f1 FROM sa JOIN sb ON sa.conv_id = sb.conv_id AND sa.turn = sb.turn LEFT JOIN k ON sa.conv_id = k.conv_id AND sa.turn = k.turn"""
+SELECT sa.conv_id, sa.turn, round(coalesce(cast(2 * k.k AS double) / cast(sa.s + sb.s AS double), cast(0 AS double)), 6) AS f1 FROM sa JOIN sb ON sa.conv_id = sb.conv_id AND sa.turn = sb.turn LEFT JOIN k ON sa.conv_id = k.conv_id AND sa.turn = k.turn"""
 
 QUERIES = [
-    ("token_f1_turns", *(x.replace("round(coalesce(2.0 * k.k / (sa.s + sb.s), 0.0) * 1.0, 6) + 0.0", "round(coalesce(cast(2 * k.k AS double) / cast(sa.s + sb.s AS double), cast(0 AS double)), 6)") for x in pair(_F1))),
-    ("extract_yes_no", *pair("""
-        SELECT doc_id, CASE WHEN p = 0 THEN '' WHEN substr(t, p + 14, 3) = 'yes' THEN 'yes' ELSE 'no' END AS answer
-        FROM (SELECT doc_id, t, instr(t, 'the answer is') AS p FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(substr(text, 1, 40), ' the answer is yes.') WHEN doc_id % 3 = 1 THEN concat('the answer is no ', substr(text, 1, 40)) ELSE text END AS t FROM documents) d) q""")),
-    ("strip_generation_tail", *pair("""
-        SELECT doc_id, CASE WHEN instr(b, 'Note:') > 1 THEN substr(b, 1, instr(b, 'Note:') - 1) ELSE b END AS answer FROM
-          (SELECT doc_id, CASE WHEN instr(a, 'Question:') > 1 THEN substr(a, 1, instr(a, 'Question:') - 1) ELSE a END AS b FROM
-            (SELECT doc_id, concat(substr(text, 1, 60), CASE WHEN doc_id % 2 = 0 THEN ' Question: next' ELSE ' Note: x' END) AS a FROM documents) d) e""")),
+    ("token_f1_turns", *pair(_F1)),
     ("action_class", *pair("""
         SELECT conv_id, turn, CASE WHEN x LIKE '%<query>%' THEN 'Query' WHEN x LIKE '%<evidence>%' THEN 'Evidence' WHEN x LIKE '%<answer>%' THEN 'Answer' ELSE 'Other' END AS action
         FROM (SELECT conv_id, turn, concat(text, CASE turn % 4 WHEN 0 THEN '<query>q</query>' WHEN 1 THEN '<answer>a</answer>' WHEN 2 THEN '<evidence>e</evidence>' ELSE '' END) AS x FROM conversations) c""")),
