@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import string
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 # Fixed value: what counts as white space when an answer is trimmed or split.
 SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -39,18 +41,33 @@ def _folded(values: pd.Series) -> pd.Series:
     return values.fillna("").map(lambda v: unicodedata.normalize("NFKC", v).replace("_", " ").casefold())
 
 
-@pandas_udf("string")
-def normalize_title(values: pd.Series) -> pd.Series:
+def folded_title(values: pd.Series) -> pd.Series:
     """NFKC, underscores as spaces, full case folding, single spaces; punctuation stays."""
     return _folded(values).map(lambda v: " ".join(v.split()))
 
 
-@pandas_udf("string")
-def normalize_text(values: pd.Series) -> pd.Series:
-    """As normalize_title, with everything but word characters as spaces."""
+def folded_text(values: pd.Series) -> pd.Series:
+    """As folded_title, with everything but word characters as spaces."""
     return _folded(values).str.replace(r"[^\w\s]", " ", regex=True).map(lambda v: " ".join(v.split()))
 
 
+def _each(fold: Callable[[pd.Series], pd.Series]) -> Callable:
+    """fold for arrays of strings, all of a batch at once."""
+
+    @pandas_udf(ArrayType(StringType()))
+    def run(values: pd.Series) -> pd.Series:
+        lengths = values.map(lambda v: 0 if v is None else len(v)).astype(int)
+        flat = fold(pd.Series([x for v in values if v is not None for x in v], dtype=object)).tolist()
+        return pd.Series([None if v is None else flat[e - n : e] for v, n, e in zip(values, lengths, lengths.cumsum(), strict=True)], dtype=object)
+
+    return run
+
+
+# Column functions: a title and a text, and arrays of them.
+normalize_title, normalize_text = (pandas_udf(f, StringType()) for f in (folded_title, folded_text))
+normalize_titles, normalize_texts = _each(folded_title), _each(folded_text)
+
+
 def stable_id(namespace: str, payload: dict[str, Column]) -> Column:
     """namespace_ and 20 hex digits of the SHA-256 of the payload's JSON with sorted keys; the order of keys doesn't matter."""
     canonical = F.to_json(F.struct(*[payload[k].alias(k) for k in sorted(payload)]), {"ignoreNullFields": "false"})

@@ -20,6 +20,4 @@ QUERIES = [
         SELECT c.c_custkey, CASE WHEN o.n IS NULL THEN 'missing' WHEN o.n < 5 THEN 'short' ELSE 'complete' END AS status, cast(coalesce(o.n, 0) AS bigint) AS n FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey""")),
     ("intervention_best_ties", *pair("""
         SELECT operator, count(*) AS best FROM (SELECT l_orderkey, operator, score, max(score) OVER (PARTITION BY l_orderkey) AS top FROM (SELECT l_orderkey, l_returnflag AS operator, max(l_quantity) AS score FROM lineitem GROUP BY l_orderkey, l_returnflag) q) r WHERE score = top GROUP BY operator""")),
-    ("evidence_hits", *pair("""
-        SELECT l_returnflag AS bucket, count(*) AS actions, count(DISTINCT l_orderkey) AS samples, round(avg(l_discount), 9) AS mean_f1 FROM lineitem GROUP BY l_returnflag""")),
 ]

@@ -1,47 +1,187 @@
-"""Lexical and dense top-k retrieval and its diagnostics."""
+"""Lexical and dense top-k retrieval, its dispatch, candidates and reranking."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessella.functions import text as T
 
 from ._dialect import pair
 
+K1, B = 1.2, 0.75
+BROADCAST = 1 << 20  # query terms that go to every executor
+BLOCK = 4096  # query vectors that meet all vectors in one pass
+EXACT = "decimal(28,9)"  # sums of it don't depend on order
+
+
+def terms(c: Column) -> Column:
+    return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+
+
+def bm25(queries: DataFrame, docs: DataFrame, fields: dict[str, Column], k: int, skip: int = 0, tie: float = 0.5, query_id: str = "item_id", query: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """query id, doc id, score, rank from skip + 1: the best k documents behind the first skip ones.
+
+    A document's score is its best field's and tie times the others'. Document
+    frequencies and mean lengths are the whole corpus's. Only words of the queries
+    leave the scan: a document is cut into words once, its length counted in place.
+    Equal scores to six decimals rank by doc id.
+    """
+    if k < 1 or skip < 0:
+        raise ValueError("k must be positive and skip not negative")
+    asked = queries.select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
+    wanted = asked.select("term").distinct()
+    small = wanted.limit(BROADCAST + 1).count() <= BROADCAST
+    cut = docs.select(F.col(doc_id).alias("did"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(c).alias("ws")) for f, c in fields.items()])).alias("x")).select("did", "x.field", "x.ws")
+    sizes = cut.filter(F.size("ws") > 0).groupBy("field").agg(F.count("*").alias("docs"), F.avg(F.size("ws").cast("double")).alias("mean"))  # a row a field
+    posts = cut.select("did", "field", F.size("ws").alias("len"), F.explode("ws").alias("term")).join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+    posts = posts.groupBy("did", "field", "len", "term").agg(F.count("*").alias("tf"))
+    df = posts.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "field")
+    weight = df.select("field", "term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
+    known = asked.join(weight, "term")
+    tf = F.col("tf").cast("double")
+    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    met = posts.join(F.broadcast(known) if small else known, ["field", "term"]).select("qid", "did", "field", part.cast(EXACT).alias("part"))
+    one = met.groupBy("qid", "did", "field").agg(F.sum("part").cast("double").alias("s"))
+    hit = one.groupBy("qid", "did").agg(F.round(F.max("s") + tie * (F.sum(F.col("s").cast(EXACT)).cast("double") - F.max("s")), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "did"))
+    top = hit.withColumn("rank", rank).filter((F.col("rank") > skip) & (F.col("rank") <= skip + k))
+    return top.select(F.col("qid").alias(query_id), F.col("did").alias(doc_id), "score", F.col("rank").cast("long").alias("rank"))
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "vec_id", vector_id: str = "vec_id", column: str = "embedding", normalise: bool = False, apart: bool = True) -> DataFrame:
+    """qid, vec_id, score, rank: the k vectors of the greatest inner products, in double precision, to six decimals.
+
+    BLOCK queries at a time go to all vectors, which are read where they lie and met by
+    matrix products; a batch gives its best k for each query. normalise: vectors of
+    length one; apart: a vector isn't its own answer. Null vectors have no answers.
+    """
+    ids = sorted((r[0], r[1]) for r in queries.filter(F.col(column).isNotNull()).select(F.col(query_id).cast("long"), F.col(column).cast("array<double>")).collect()) if queries.limit(BLOCK + 1).count() <= BLOCK else None
+    if ids is None:  # more than a block: each pass takes those of one hash
+        passes = -(-queries.count() // (BLOCK // 2))
+        parts = [dense(queries.filter(F.pmod(F.xxhash64(query_id), F.lit(passes)) == p), vectors, k, query_id, vector_id, column, normalise, apart) for p in range(passes)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    qid = np.array([i for i, _ in ids], np.int64)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if normalise else m
+    q = unit(np.array([v for _, v in ids], np.float64)) if ids else np.zeros((0, 1))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows or not len(qid):
+                continue
+            name = b["id"].to_numpy()
+            score = np.round(q @ unit(b["v"].flatten().to_numpy().reshape(b.num_rows, -1)).T, 6) + 0.0
+            if apart:
+                score[qid[:, None] == name[None]] = -np.inf
+            # by score, then id: equal scores at the edge are settled by the sort of all
+            order = np.lexsort((np.broadcast_to(name, score.shape), -score), axis=1)[:, :k]
+            rows = np.repeat(np.arange(len(qid)), order.shape[1])
+            s = np.take_along_axis(score, order, 1).ravel()
+            ok = np.isfinite(s)
+            yield pa.RecordBatch.from_arrays([pa.array(qid[rows][ok]), pa.array(name[order.ravel()][ok]), pa.array(s[ok])], names=["qid", "vec_id", "score"])
+
+    found = vectors.filter(F.col(column).isNotNull()).select(F.col(vector_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).mapInArrow(best, "qid long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")).cast("long")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def retriever(name: str) -> Callable[..., DataFrame]:
+    """The search of that name: bm25 or dense."""
+    return {"bm25": bm25, "dense": dense}[name]
+
+
+def with_metadata(hits: DataFrame, docs: DataFrame, doc_id: str, title: str, text: str) -> DataFrame:
+    """hits with the documents' title, text and all other columns as a map of strings."""
+    extra = [c for c in docs.columns if c not in (doc_id, title, text)]
+    meta = F.create_map(*[x for c in extra for x in (F.lit(c), F.col(c).cast("string"))]) if extra else F.create_map().cast("map<string,string>")
+    return hits.join(docs.select(doc_id, F.col(title).alias("title"), F.col(text).alias("text"), meta.alias("raw_metadata")), doc_id)
+
+
+def rerank(hits: DataFrame, keys: list[str], doc: str, score: str) -> DataFrame:
+    """Each document once with its highest score, places from the least score to the best."""
+    best = hits.groupBy(*keys, doc).agg(F.max(score).alias(score))
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(score, doc)).cast("long"))
+
+
+def query_candidates(states: DataFrame, sources: list[tuple[str, str]], keys: list[str]) -> DataFrame:
+    """keys, source, text, normalized_text, candidate_id: candidates in the order of sources (name, column).
+
+    Empty ones go, and of equal normalised texts all but the first.
+    """
+    every = F.array(*[F.struct(F.lit(n).alias("source"), T.strip(F.coalesce(F.col(c), F.lit(""))).alias("text"), T.normalize_query(F.coalesce(F.col(c), F.lit(""))).alias("normalized_text")) for n, c in sources])
+    rows = states.select(*keys, F.filter(every, lambda q: q["normalized_text"] != "").alias("qs"))
+    first = F.filter("qs", lambda q, i: F.array_position(F.col("qs.normalized_text"), q["normalized_text"]) == i + 1)
+    flat = rows.select(*keys, F.inline(first))
+    return flat.withColumn("candidate_id", T.stable_id("qry", {c: F.col(c) for c in (*keys, "source", "normalized_text")}))
+
+
+# ---- queries and their SQL
+
 _BM25 = """
-WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), q AS (SELECT item_id, lower(text) AS t FROM benchmark),
-     tok AS (SELECT doc_id, term FROM (SELECT doc_id, @explode(@words(t, @ws)) AS term FROM d) a WHERE term <> ''),
-     qt AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, @explode(@words(t, @ws)) AS term FROM q) a WHERE term <> ''),
-     tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY doc_id, term),
-     len AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id),
-     tot AS (SELECT count(*) AS docs, avg(n) AS mean FROM len),
-     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-     hit AS (SELECT qt.item_id, tf.doc_id, round(sum(ln(1 + (tot.docs - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * len.n / tot.mean))), 6) AS score
-             FROM qt JOIN tf ON qt.term = tf.term JOIN df ON tf.term = df.term JOIN len ON tf.doc_id = len.doc_id CROSS JOIN tot GROUP BY qt.item_id, tf.doc_id),
-     top AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit)
-SELECT item_id, doc_id, round(score, 4) AS score, cast(rank AS bigint) AS rank FROM top WHERE rank <= 3"""
-# two fields, the better one's score and half the other's; the title is the first line
-_FIELDS = """
-WITH d AS (SELECT doc_id, 'text' AS field, lower(text) AS t FROM documents UNION ALL SELECT doc_id, 'title' AS field, lower(split_part(text, chr(10), 1)) AS t FROM documents), q AS (SELECT item_id, lower(text) AS t FROM benchmark),
-     tok AS (SELECT doc_id, field, term FROM (SELECT doc_id, field, @explode(@words(t, @ws)) AS term FROM d) a WHERE term <> ''),
-     qt AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, @explode(@words(t, @ws)) AS term FROM q) a WHERE term <> ''),
-     tf AS (SELECT doc_id, field, term, count(*) AS tf FROM tok GROUP BY doc_id, field, term),
-     len AS (SELECT doc_id, field, count(*) AS n FROM tok GROUP BY doc_id, field),
-     tot AS (SELECT field, count(*) AS docs, avg(n) AS mean FROM len GROUP BY field),
-     df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY field, term),
-     one AS (SELECT qt.item_id, tf.doc_id, tf.field, sum(ln(1 + (tot.docs - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * len.n / tot.mean))) AS score
-             FROM qt JOIN tf ON qt.term = tf.term JOIN df ON tf.term = df.term AND tf.field = df.field JOIN len ON tf.doc_id = len.doc_id AND tf.field = len.field JOIN tot ON tf.field = tot.field GROUP BY qt.item_id, tf.doc_id, tf.field),
-     hit AS (SELECT item_id, doc_id, round(max(score) + 0.5 * (sum(score) - max(score)), 6) AS score FROM one GROUP BY item_id, doc_id),
+WITH d AS ({docs}), q AS (SELECT item_id, lower(text) AS t FROM benchmark),
+     tok AS (SELECT doc_id, field, unnest(regexp_split_to_array(t, '\\s+')) AS term FROM d),
+     qt AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_split_to_array(t, '\\s+')) AS term FROM q) a WHERE term <> ''),
+     tf AS (SELECT doc_id, field, term, count(*) AS tf FROM tok WHERE term <> '' GROUP BY ALL),
+     len AS (SELECT doc_id, field, sum(tf) AS n FROM tf GROUP BY ALL), tot AS (SELECT field, count(*) AS docs, avg(n) AS mean FROM len GROUP BY field),
+     df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
+     one AS (SELECT qt.item_id, tf.doc_id, tf.field, sum((ln(1 + (tot.docs - df.df + 0.5::double) / (df.df + 0.5::double)) * tf.tf * 2.2::double / (tf.tf + 1.2::double * (0.25::double + 0.75::double * len.n / tot.mean)))::decimal(28,9))::double AS s
+             FROM qt JOIN tf ON qt.term = tf.term JOIN df ON tf.term = df.term AND tf.field = df.field JOIN len ON tf.doc_id = len.doc_id AND tf.field = len.field JOIN tot ON tf.field = tot.field GROUP BY ALL),
+     hit AS (SELECT item_id, doc_id, round(max(s) + 0.5::double * (sum(s::decimal(28,9))::double - max(s)), 6) AS score FROM one GROUP BY ALL),
      top AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit)
-SELECT item_id, doc_id, round(score, 4) AS score, cast(rank AS bigint) AS rank FROM top WHERE rank <= 3"""
-_DOT = {"s": "aggregate(zip_with(q.e, d.e, (x, y) -> cast(x AS double) * cast(y AS double)), cast(0 AS double), (a, x) -> a + x)", "d": "list_inner_product(cast(q.e AS double[]), cast(d.e AS double[]))"}
-_DENSE = """
-WITH q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT vec_id, embedding AS e FROM embeddings),
-     s AS (SELECT {hint} q.qid, d.vec_id, round({dot}, 6) AS score FROM q JOIN d ON q.qid <> d.vec_id),
-     r AS (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT qid, vec_id, score, cast(rank AS bigint) AS rank FROM r WHERE rank <= 3"""
+SELECT {out} FROM top {join} WHERE rank > {skip} AND rank <= {skip} + 3"""
+_TEXT = "SELECT doc_id, 'text' AS field, lower(text) AS t FROM documents"
+_BOTH = _TEXT + " UNION ALL SELECT doc_id, 'title', lower(split_part(text, chr(10), 1)) FROM documents"
+_PLAIN = "item_id, doc_id, round(score, 4) AS score, rank"
+
+
+def _bm25(spark: SparkSession, sf_dir: str, fields: dict[str, Column], skip: int = 0) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return bm25(read("benchmark"), read("documents"), fields, 3, skip).withColumn("score", F.round("score", 4))
 
+
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("head", F.substring_index("text", "\n", 1))
+    hits = with_metadata(_bm25(spark, sf_dir, {"text": F.col("text")}, 2), docs, "doc_id", "head", "text")
+    return hits.select("item_id", "doc_id", "rank", "title", F.length("text").cast("long").alias("size"), F.col("raw_metadata")["source"].alias("source"), F.size("raw_metadata").alias("fields"))
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return dense(e.filter("vec_id % 100 = 0"), e, 3)
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("trend", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("  "), F.lower("text"))).otherwise(F.concat("role", F.lit("  "), "text"))).withColumn("gap", F.when(F.col("turn") % 3 > 0, F.lit(" ")).otherwise(F.lower("role")))
+    return query_candidates(c, [("question", "text"), ("trend", "trend"), ("gap", "gap")], ["conv_id", "turn", "role"]).drop("candidate_id")
+
+
+_TRIM = rf"regexp_replace(t, '\A{T.SPACE}+|{T.SPACE}+\z', '', 'g')"
+_NORM = rf"lower(regexp_replace(regexp_replace(t, '{T.SPACE}+', ' ', 'g'), '\A{T.SPACE}+|{T.SPACE}+\z', '', 'g'))"
+
+CALLS = [
+    ("bm25_top3", lambda spark, sf_dir: _bm25(spark, sf_dir, {"text": F.col("text")}), _BM25.format(docs=_TEXT, out=_PLAIN, join="", skip=0)),
+    ("bm25_two_fields", lambda spark, sf_dir: _bm25(spark, sf_dir, {"text": F.col("text"), "title": F.substring_index("text", "\n", 1)}), _BM25.format(docs=_BOTH, out=_PLAIN, join="", skip=0)),
+    ("bm25_metadata", _metadata, _BM25.format(docs=_TEXT, out="item_id, top.doc_id, rank, split_part(text, chr(10), 1) AS title, length(text) AS size, source, 3 AS fields", join="JOIN documents o ON o.doc_id = top.doc_id", skip=2)),
+    ("dense_top3", _dense, """
+     WITH q AS (SELECT vec_id AS qid, embedding::double[] AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.qid, d.vec_id, round(list_inner_product(q.e, d.embedding::double[]), 6) AS score FROM q JOIN embeddings d ON q.qid <> d.vec_id),
+     r AS (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) SELECT qid, vec_id, score, rank FROM r WHERE rank <= 3"""),
+    ("rerank_dedup_max", lambda spark, sf_dir: rerank(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey"], "l_partkey", "l_extendedprice"),
+     "WITH b AS (SELECT l_orderkey, l_partkey, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey) AS place FROM b"),
+    ("query_candidates", _candidates, f"""
+     WITH c AS (SELECT conv_id, turn, role, text, CASE WHEN turn % 2 = 0 THEN concat('  ', lower(text)) ELSE concat(role, '  ', text) END AS u, CASE WHEN turn % 3 > 0 THEN ' ' ELSE lower(role) END AS g FROM conversations),
+     x AS (SELECT conv_id, turn, role, 0 AS k, 'question' AS source, text AS t FROM c UNION ALL SELECT conv_id, turn, role, 1, 'trend', u FROM c UNION ALL SELECT conv_id, turn, role, 2, 'gap', g FROM c),
+     y AS (SELECT conv_id, turn, role, k, source, {_TRIM} AS text, {_NORM} AS normalized_text FROM x)
+     SELECT conv_id, turn, role, source, text, normalized_text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, role, normalized_text ORDER BY k) AS r FROM y WHERE normalized_text <> '') z WHERE r = 1"""),
+]
 QUERIES = [
-    ("bm25_top3", *pair(_BM25)),
-    ("bm25_two_fields", *pair(_FIELDS)),
-    ("dense_top3", _DENSE.format(hint="", dot=_DOT["s"]), _DENSE.format(hint="", dot=_DOT["d"])),
     ("query_formulation_topk", *pair("""
         SELECT user_id, event_id, cast(pos AS bigint) AS pos FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos,
           row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts, event_id) AS r FROM events WHERE event_type IN ('click', 'view', 'purchase')) q WHERE r <= 35""")),
-    ("rerank_dedup_max", *pair("""
-        SELECT source, lang, cast(max(n_chars) AS bigint) AS best, cast(row_number() OVER (PARTITION BY lang ORDER BY max(n_chars), source) AS bigint) AS place FROM documents GROUP BY source, lang""")),
 ]

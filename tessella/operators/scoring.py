@@ -19,6 +19,4 @@ QUERIES = [
     ("normalize_query", *(x for x in (r"SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' '))) AS norm FROM benchmark", r"SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS norm FROM benchmark"))),
     ("score_bucket", *pair("""
         SELECT quality, toxic, CASE WHEN quality - toxic > 1e-12 THEN 'positive' WHEN quality - toxic < -1e-12 THEN 'negative' ELSE 'zero' END AS bucket, count(*) AS n FROM labels GROUP BY quality, toxic""")),
-    ("dataset_metrics", *pair("""
-        SELECT d.lang, count(*) AS n, round(avg(cast(l.quality AS double)), 9) AS quality, round(avg(cast(l.toxic AS double)), 9) AS toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang""")),
 ]

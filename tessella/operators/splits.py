@@ -10,7 +10,6 @@ QUERIES = [
     ("modulo_shard_merge", *pair("""
         SELECT o_orderkey, cast(o_orderkey % 8 AS bigint) AS shard FROM orders WHERE o_orderkey % 8 < 4 UNION ALL SELECT o_orderkey, cast(o_orderkey % 8 AS bigint) AS shard FROM orders WHERE o_orderkey % 8 >= 4""")),
     ("shard_rollup", *pair("SELECT coalesce(o_orderkey % 8, -1) AS shard, o_orderstatus, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderkey % 8, o_orderstatus)")),
-    ("ntile_chunks", *pair("SELECT c_custkey, cast(ntile(10) OVER (ORDER BY c_custkey) AS bigint) AS chunk FROM customer")),
     ("resume_anti_join", *pair("SELECT c.c_custkey FROM customer c LEFT ANTI JOIN (SELECT o_custkey FROM orders) o ON c.c_custkey = o.o_custkey".replace("LEFT ANTI", "ANTI"))),
     ("duplicate_guard", *pair("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")),
     ("key_difference", *pair("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders")),

@@ -1,22 +1,159 @@
-"""Search trees as adjacency tables: a user's events form an implicit heap, parent of node k is (k - 1) div 2."""
+"""Search trees as adjacency tables (tree, node, parent, depth, ...), worked level by level.
 
-_NODES = """
-WITH {rec} n AS (SELECT user_id AS tree, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS bigint) AS node, value AS reward FROM events)"""
-_CLOSURE = """,
-     up AS (SELECT tree, node, node AS anc, cast(0 AS bigint) AS dist, reward FROM n
-            UNION ALL SELECT tree, node, cast((anc - 1) {div} 2 AS bigint), dist + 1, reward FROM up WHERE anc > 0)
-SELECT tree, anc AS node, count(*) AS visits, round(sum(reward * power(cast(0.9 AS double), dist)), 2) AS q FROM up GROUP BY tree, anc"""
-_PAIRS = """
-SELECT a.tree, a.node AS chosen, b.node AS rejected, round(a.reward - b.reward, 6) AS gap FROM n a JOIN n b ON a.tree = b.tree AND cast((a.node - 1) {div} 2 AS bigint) = cast((b.node - 1) {div} 2 AS bigint)
- AND a.node > 0 AND b.node > 0 AND a.node <> b.node WHERE a.reward - b.reward >= 0.01"""
-_BEST = """
-SELECT tree, parent, node FROM (SELECT tree, parent, node, row_number() OVER (PARTITION BY tree, parent ORDER BY score DESC, node) AS rn FROM
-  (SELECT c.tree, p.node AS parent, c.node, round(c.reward + sqrt(ln(1 + p.reward) / (1 + c.reward)), 6) AS score FROM n c JOIN n p ON c.tree = p.tree AND c.node > 0 AND cast((c.node - 1) {div} 2 AS bigint) = p.node) s) r WHERE rn = 1"""
+A level is read once and meets only the level below or above it, so no closure of
+ancestors is built. The queries take a user's events in order as a heap: the parent
+of node k is (k - 1) div 2.
+"""
 
+from __future__ import annotations
 
-def _both(tail: str, rec: bool = False) -> tuple[str, str]:
-    head = _NODES.format(rec="RECURSIVE" if rec else "")
-    return (head + tail.format(div="div"), head + tail.format(div="//"))
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES = [("tree_backprop", *_both(_CLOSURE, True)), ("sibling_pairs", *_both(_PAIRS)), ("best_child", *_both(_BEST))]
+from tessella.functions import text as T
+
+KEY = ["tree", "node"]
+EXACT = "decimal(28,12)"  # sums of it don't depend on order
+
+
+def _deepest(nodes: DataFrame) -> int:
+    return nodes.agg(F.coalesce(F.max("depth"), F.lit(-1))).first()[0]
+
+
+def _upwards(nodes: DataFrame, start: Callable[[DataFrame], DataFrame], to_parent: list[Column], finish: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Levels from the deepest to the root: finish(level left joined with to_parent aggregates of its children)."""
+    deepest = _deepest(nodes)
+    done, below = [], None
+    for depth in range(deepest, -1, -1):
+        level = nodes.filter(F.col("depth") == depth)
+        if below is None:
+            level = start(level)
+        else:
+            level = level.join(below.groupBy("tree", F.col("parent").alias("node")).agg(*to_parent), KEY, "left")
+        below = finish(level)
+        done.append(below)
+    if not done:
+        return finish(start(nodes))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def backpropagate(nodes: DataFrame, gamma: float) -> DataFrame:
+    """tree, node, visits, q: every node's reward goes to itself and, times gamma a step, to all its ancestors."""
+    none = lambda df: df.withColumns({"below_n": F.lit(None).cast("long"), "below_q": F.lit(None).cast(EXACT)})
+    given = [F.sum("visits").alias("below_n"), F.sum((F.col("q").cast("double") * gamma).cast(EXACT)).cast(EXACT).alias("below_q")]
+    total = lambda df: df.select(*KEY, "parent", (F.coalesce("below_n", F.lit(0)) + 1).alias("visits"), (F.col("reward").cast(EXACT) + F.coalesce("below_q", F.lit(0).cast(EXACT))).cast(EXACT).alias("q"))
+    return _upwards(nodes, none, given, total).select(*KEY, "visits", F.col("q").cast("double").alias("q"))
+
+
+def bottom_up_reward(nodes: DataFrame, beta: float) -> DataFrame:
+    """tree, node, reward: leaves have f1 * beta^step or null without an answer, others the visit-weighted mean of their children's.
+
+    nodes has visits, step and f1, null where a node has no answer. Children without a
+    reward don't count; without visits in those that do, the reward is null.
+    """
+    none = lambda df: df.withColumns({"kids": F.lit(None).cast("long"), "w": F.lit(None).cast("long"), "s": F.lit(None).cast(EXACT)})
+    has = F.col("r").isNotNull()
+    given = [F.count("*").alias("kids"), F.sum(F.when(has, F.col("visits"))).alias("w"), F.sum(F.when(has, F.col("r").cast("decimal(20,12)") * F.col("visits").cast("decimal(12,0)"))).cast(EXACT).alias("s")]
+    leaf = F.col("f1") * F.pow(F.lit(beta), F.col("step"))
+    mean = F.when(F.col("w") > 0, F.col("s").cast("double") / F.col("w"))
+    finish = lambda df: df.select(*KEY, "parent", "visits", F.when(F.col("kids").isNull(), leaf).otherwise(mean).cast(EXACT).alias("r"))
+    return _upwards(nodes, none, given, finish).select(*KEY, F.col("r").cast("double").alias("reward"))
+
+
+def best_child(nodes: DataFrame, rule: str = "puct", c: float = 1.4) -> DataFrame:
+    """tree, parent, node: each parent's child of the highest score, the first of equals.
+
+    puct: q / (n + 1e-8) + c * prior * sqrt(parent's n) / (1 + n); uct: q + c * sqrt(ln(parent's n) / n),
+    unvisited ones first; visits: n. nodes has n, q and prior.
+    """
+    up = nodes.select("tree", F.col("node").alias("parent"), F.col("n").alias("pn"))
+    n, q = F.col("n").cast("double"), F.col("q").cast("double")
+    scores = {
+        "puct": q / (n + 1e-8) + c * F.col("prior") * F.sqrt(F.col("pn")) / (1 + n),
+        "uct": F.when(n > 0, q + c * F.sqrt(F.log(F.greatest(F.col("pn"), F.lit(1)).cast("double")) / n)).otherwise(float("inf")),
+        "visits": n,
+    }
+    both = nodes.filter("parent IS NOT NULL").join(up, ["tree", "parent"]).withColumn("score", F.round(scores[rule], 9))
+    # combines before the shuffle: the highest score, then the least node
+    return both.groupBy("tree", "parent").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("node"))
+
+
+def preference_pairs(nodes: DataFrame, gap: float = 0.01) -> DataFrame:
+    """tree, parent, chosen, rejected, gap of siblings whose rewards differ by the gap or more.
+
+    The contents must differ, and the chosen node's class must not be Other.
+    """
+    side = lambda p: nodes.filter("parent IS NOT NULL").select("tree", "parent", *[F.col(x).alias(p + x) for x in ("node", "reward", "content", "kind")])
+    both = side("a_").join(side("b_"), ["tree", "parent"])  # a parent's children are few
+    wider = F.round(F.col("a_reward") - F.col("b_reward"), 9)
+    return both.filter((wider >= gap) & (F.col("a_content") != F.col("b_content")) & (F.col("a_kind") != "Other")).select("tree", "parent", F.col("a_node").alias("chosen"), F.col("b_node").alias("rejected"), wider.alias("gap"))
+
+
+def candidate(candidates: Column, ident: Column) -> Column:
+    """The first candidate of an array of structs with that id; null without one."""
+    return F.try_element_at(F.filter(candidates, lambda c: c["id"] == ident), F.lit(1))
+
+
+def flatten(nodes: DataFrame, least: int = 1, descend: int = 3, joint: str = " > ") -> DataFrame:
+    """tree, node, depth, path: nodes reached from the root through nodes of `descend` visits, with the text on the way.
+
+    Children need `least` visits and be well formed; nodes has n, content and well_formed.
+    """
+    level = nodes.filter("depth = 0").select(*KEY, "depth", "n", F.col("content").alias("path"))
+    out = level
+    for depth in range(1, _deepest(nodes) + 1):
+        wide = level.filter(F.col("n") >= descend).select("tree", F.col("node").alias("parent"), F.col("path").alias("before"))
+        here = nodes.filter((F.col("depth") == depth) & (F.col("n") >= least) & F.col("well_formed"))
+        level = here.join(wide, ["tree", "parent"]).select(*KEY, "depth", "n", F.concat("before", F.lit(joint), "content").alias("path"))
+        out = out.unionByName(level)
+    return out.drop("n")
+
+
+# ---- queries and their SQL
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.withColumn("node", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1)
+    parent = F.when(F.col("node") > 0, F.expr("(node - 1) div 2"))
+    depth = F.length(F.bin(F.col("node") + 1)) - 1
+    n = F.col("event_id") % 6
+    return e.select(F.col("user_id").alias("tree"), "node", parent.alias("parent"), depth.alias("depth"), F.col("value").alias("reward"), n.alias("n"), n.alias("visits"), depth.alias("step"), F.when(F.col("event_type") != "error", (F.col("event_id") % 11) / 10.0).alias("f1"), (F.col("value") / 100).alias("q"), ((F.col("event_id") % 7) / 7.0).alias("prior"), F.col("event_type").alias("content"), F.when(F.col("event_type") == "error", "Other").otherwise("Query").alias("kind"), (F.col("event_type") != "signup").alias("well_formed"))
+
+
+_N = """
+WITH RECURSIVE n AS (SELECT user_id AS tree, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS node, event_id, value, event_type FROM events),
+     t AS (SELECT tree, node, CASE WHEN node > 0 THEN (node - 1) // 2 END AS parent, length(bin(node + 1)) - 1 AS depth, value AS reward, event_id % 6 AS n, CASE WHEN event_type <> 'error' THEN (event_id % 11) / 10::double END AS f1, value / 100 AS q, (event_id % 7) / 7::double AS prior, event_type FROM n)"""
+_UP = """, up AS (SELECT tree, node, node AS anc, 0 AS dist, reward FROM t UNION ALL SELECT tree, node, (anc - 1) // 2, dist + 1, reward FROM up WHERE anc > 0)
+SELECT tree, anc AS node, count(*) AS visits, round(sum((reward * power(0.9::double, dist))::decimal(28,12))::double + 1e-7, 3) AS q FROM up GROUP BY tree, anc"""
+_LEVELS = 24  # the SQL's levels; a heap of 2^24 nodes
+
+
+def _bottom_up_sql() -> str:
+    text = _N.replace("RECURSIVE ", "")
+    for d in range(_LEVELS, -1, -1):
+        kids = "(SELECT NULL::bigint AS tree, NULL::bigint AS parent, 0 AS kids, 0 AS w, 0::double AS s WHERE false)" if d == _LEVELS else f"(SELECT tree, parent, count(*) AS kids, sum(CASE WHEN r IS NOT NULL THEN n END) AS w, sum(CASE WHEN r IS NOT NULL THEN r * n END)::double AS s FROM l{d + 1} GROUP BY tree, parent)"
+        text += f", l{d} AS (SELECT t.tree, t.node, t.parent, t.n, CASE WHEN k.kids IS NULL THEN t.f1 * power(0.9::double, t.depth) WHEN k.w > 0 THEN k.s / k.w END::decimal(28,12) AS r FROM t LEFT JOIN {kids} k ON k.tree = t.tree AND k.parent = t.node WHERE t.depth = {d})"
+    return text + " " + " UNION ALL ".join(f"SELECT tree, node, round(r::double + 1e-9, 6) AS reward FROM l{d}" for d in range(_LEVELS + 1))
+
+
+def _child_sql(score: str) -> str:
+    return _N + f", s AS (SELECT c.tree, c.parent, c.node, round({score}, 9) AS score FROM t c JOIN t p ON p.tree = c.tree AND p.node = c.parent) SELECT tree, parent, node FROM (SELECT *, row_number() OVER (PARTITION BY tree, parent ORDER BY score DESC, node) AS k FROM s) z WHERE k = 1"
+
+
+CALLS = [
+    ("tree_backprop", lambda spark, sf_dir: backpropagate(_nodes(spark, sf_dir), 0.9).withColumn("q", F.round(F.col("q") + 1e-7, 3)), _N + _UP),
+    ("tree_bottom_up", lambda spark, sf_dir: bottom_up_reward(_nodes(spark, sf_dir), 0.9).withColumn("reward", F.round(F.col("reward") + 1e-9, 6)), _bottom_up_sql()),
+    ("best_child_puct", lambda spark, sf_dir: best_child(_nodes(spark, sf_dir), "puct"), _child_sql("c.q / (c.n + 1e-8) + 1.4::double * c.prior * sqrt(p.n) / (1 + c.n)")),
+    ("best_child_uct", lambda spark, sf_dir: best_child(_nodes(spark, sf_dir), "uct"), _child_sql("CASE WHEN c.n > 0 THEN c.q + 1.4::double * sqrt(ln(greatest(p.n, 1)) / c.n) ELSE 'infinity'::double END")),
+    ("best_child_visits", lambda spark, sf_dir: best_child(_nodes(spark, sf_dir), "visits"), _child_sql("c.n::double")),
+    ("sibling_pairs", lambda spark, sf_dir: preference_pairs(_nodes(spark, sf_dir)).withColumn("gap", F.round("gap", 6)),
+     _N + " SELECT a.tree, a.parent, a.node AS chosen, b.node AS rejected, round(a.reward - b.reward, 6) AS gap FROM t a JOIN t b ON a.tree = b.tree AND a.parent = b.parent WHERE round(a.reward - b.reward, 9) >= 0.01 AND a.event_type <> b.event_type AND a.event_type <> 'error'"),
+    ("tree_flatten", lambda spark, sf_dir: flatten(_nodes(spark, sf_dir)),
+     _N + ", f AS (SELECT tree, node, depth, n, event_type AS path FROM t WHERE depth = 0 UNION ALL SELECT c.tree, c.node, c.depth, c.n, concat(f.path, ' > ', c.event_type) FROM f JOIN t c ON c.tree = f.tree AND c.parent = f.node AND f.n >= 3 AND c.n >= 1 AND c.event_type <> 'signup') SELECT tree, node, depth, path FROM f"),
+    ("tree_values", lambda spark, sf_dir: _nodes(spark, sf_dir).select(*KEY, F.round(T.tree_value(F.col("reward"), F.col("n")), 6).alias("value")), _N + " SELECT tree, node, round(CASE WHEN n > 0 THEN reward / n ELSE 0 END, 6) AS value FROM t"),
+]

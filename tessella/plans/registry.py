@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.operators import answers, bundles, corpus, evidence, retrieval, scoring, sequence, splits, stats, trees
+from tessella.operators import answers, bundles, corpus, evidence, ranks, retrieval, rollouts, scoring, sequence, splits, stats, trees
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _NAME = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
@@ -27,11 +27,11 @@ def spark_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (corpus, retrieval, scoring, sequence, bundles, evidence, trees, stats, splits):
+for _module in (corpus, retrieval, scoring, sequence, bundles, evidence, stats, splits):
     for _name, _spark, _duck in _module.QUERIES:
         QUERIES[_name] = spark_query(_spark)
         ORACLES[_name] = _duck or _spark
-for _module in (answers,):  # operators called on DataFrames
+for _module in (answers, rollouts, ranks, trees, retrieval):  # operators called on DataFrames
     for _name, _call, _duck in _module.CALLS:
         QUERIES[_name] = _call
         if _duck:
