@@ -16,7 +16,7 @@ from ._dialect import pair
 K1, B = 1.2, 0.75
 BROADCAST = 1 << 20  # query terms that go to every executor
 BLOCK = 4096  # query vectors that meet all vectors in one pass
-EXACT = "decimal(28,9)"  # sums of it don't depend on order
+UNIT = 10**9  # scores are summed as whole numbers of its parts, in whatever order
 
 
 def terms(c: Column) -> Column:
@@ -39,15 +39,16 @@ def bm25(queries: DataFrame, docs: DataFrame, fields: dict[str, Column], k: int,
     cut = docs.select(F.col(doc_id).alias("did"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(c).alias("ws")) for f, c in fields.items()])).alias("x")).select("did", "x.field", "x.ws")
     sizes = cut.filter(F.size("ws") > 0).groupBy("field").agg(F.count("*").alias("docs"), F.avg(F.size("ws").cast("double")).alias("mean"))  # a row a field
     posts = cut.select("did", "field", F.size("ws").alias("len"), F.explode("ws").alias("term")).join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
-    posts = posts.groupBy("did", "field", "len", "term").agg(F.count("*").alias("tf"))
+    # a document's words stay together from here on: neither its counts nor its scores move again
+    posts = posts.repartition("did").groupBy("did", "field", "len", "term").agg(F.count("*").alias("tf"))
     df = posts.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "field")
     weight = df.select("field", "term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
     known = asked.join(weight, "term")
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    met = posts.join(F.broadcast(known) if small else known, ["field", "term"]).select("qid", "did", "field", part.cast(EXACT).alias("part"))
-    one = met.groupBy("qid", "did", "field").agg(F.sum("part").cast("double").alias("s"))
-    hit = one.groupBy("qid", "did").agg(F.round(F.max("s") + tie * (F.sum(F.col("s").cast(EXACT)).cast("double") - F.max("s")), 6).alias("score"))
+    met = posts.join(F.broadcast(known) if small else known, ["field", "term"]).select("qid", "did", "field", F.round(part * UNIT).cast("long").alias("part"))
+    one = met.groupBy("qid", "did", "field").agg(F.sum("part").alias("s"))
+    hit = one.groupBy("qid", "did").agg(F.round(F.max("s") / UNIT + tie * (F.sum("s") / UNIT - F.max("s") / UNIT), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "did"))
     top = hit.withColumn("rank", rank).filter((F.col("rank") > skip) & (F.col("rank") <= skip + k))
     return top.select(F.col("qid").alias(query_id), F.col("did").alias(doc_id), "score", F.col("rank").cast("long").alias("rank"))
@@ -124,7 +125,7 @@ def query_candidates(states: DataFrame, sources: list[tuple[str, str]], keys: li
 
 # ---- queries and their SQL
 
-_BM25 = """
+BM25_SQL = """
 WITH d AS ({docs}), q AS (SELECT item_id, lower(text) AS t FROM benchmark),
      tok AS (SELECT doc_id, field, unnest(regexp_split_to_array(t, '\\s+')) AS term FROM d),
      qt AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_split_to_array(t, '\\s+')) AS term FROM q) a WHERE term <> ''),
@@ -136,8 +137,8 @@ WITH d AS ({docs}), q AS (SELECT item_id, lower(text) AS t FROM benchmark),
      hit AS (SELECT item_id, doc_id, round(max(s) + 0.5::double * (sum(s::decimal(28,9))::double - max(s)), 6) AS score FROM one GROUP BY ALL),
      top AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit)
 SELECT {out} FROM top {join} WHERE rank > {skip} AND rank <= {skip} + 3"""
-_TEXT = "SELECT doc_id, 'text' AS field, lower(text) AS t FROM documents"
-_BOTH = _TEXT + " UNION ALL SELECT doc_id, 'title', lower(split_part(text, chr(10), 1)) FROM documents"
+BM25_TEXT = "SELECT doc_id, 'text' AS field, lower(text) AS t FROM documents"
+_BOTH = BM25_TEXT + " UNION ALL SELECT doc_id, 'title', lower(split_part(text, chr(10), 1)) FROM documents"
 _PLAIN = "item_id, doc_id, round(score, 4) AS score, rank"
 
 
@@ -166,9 +167,9 @@ _TRIM = rf"regexp_replace(t, '\A{T.SPACE}+|{T.SPACE}+\z', '', 'g')"
 _NORM = rf"lower(regexp_replace(regexp_replace(t, '{T.SPACE}+', ' ', 'g'), '\A{T.SPACE}+|{T.SPACE}+\z', '', 'g'))"
 
 CALLS = [
-    ("bm25_top3", lambda spark, sf_dir: _bm25(spark, sf_dir, {"text": F.col("text")}), _BM25.format(docs=_TEXT, out=_PLAIN, join="", skip=0)),
-    ("bm25_two_fields", lambda spark, sf_dir: _bm25(spark, sf_dir, {"text": F.col("text"), "title": F.substring_index("text", "\n", 1)}), _BM25.format(docs=_BOTH, out=_PLAIN, join="", skip=0)),
-    ("bm25_metadata", _metadata, _BM25.format(docs=_TEXT, out="item_id, top.doc_id, rank, split_part(text, chr(10), 1) AS title, length(text) AS size, source, 3 AS fields", join="JOIN documents o ON o.doc_id = top.doc_id", skip=2)),
+    ("bm25_top3", lambda spark, sf_dir: _bm25(spark, sf_dir, {"text": F.col("text")}), BM25_SQL.format(docs=BM25_TEXT, out=_PLAIN, join="", skip=0)),
+    ("bm25_two_fields", lambda spark, sf_dir: _bm25(spark, sf_dir, {"text": F.col("text"), "title": F.substring_index("text", "\n", 1)}), BM25_SQL.format(docs=_BOTH, out=_PLAIN, join="", skip=0)),
+    ("bm25_metadata", _metadata, BM25_SQL.format(docs=BM25_TEXT, out="item_id, top.doc_id, rank, split_part(text, chr(10), 1) AS title, length(text) AS size, source, 3 AS fields", join="JOIN documents o ON o.doc_id = top.doc_id", skip=2)),
     ("dense_top3", _dense, """
      WITH q AS (SELECT vec_id AS qid, embedding::double[] AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.qid, d.vec_id, round(list_inner_product(q.e, d.embedding::double[]), 6) AS score FROM q JOIN embeddings d ON q.qid <> d.vec_id),
      r AS (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) SELECT qid, vec_id, score, rank FROM r WHERE rank <= 3"""),

@@ -9,23 +9,22 @@ from pyspark.sql import functions as F
 def ingest(spark: SparkSession, source: str, sink: str, schema: str, key: str, checkpoint: str, files_per_batch: int = 64) -> int:
     """Append the rows of new files under source to the Parquet table sink, one row per key; returns the rows added.
 
-    Blank and unreadable lines have a null key and are skipped. A batch that runs
-    again after a failure adds only keys the sink doesn't have, so a resumed run
-    equals one without the failure. Of rows that share a key in a batch, any one
-    stays. The sink is read by its key column alone.
+    Blank and unreadable lines have a null key and are skipped. Keys that have come
+    before are known to the stream's state, which grows by a batch's keys and is never
+    read as a whole; a batch writes its own folder batch=<id>, over what a failed try
+    of it left. A resumed run so equals one without the failure. Of rows that share a
+    key in a batch, any one stays.
     """
-    at = spark._jvm.org.apache.hadoop.fs.Path(sink)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    rows = lambda: spark.read.parquet(sink).count() if fs.exists(at) else 0
+    added = 0
 
-    def append(batch: DataFrame, _: int) -> None:
-        new = batch.filter(F.col(key).isNotNull()).dropDuplicates([key])
-        if fs.exists(at):
-            new = new.join(spark.read.schema(schema).parquet(sink).select(key), key, "left_anti")
-        new.write.mode("append").parquet(sink)
+    def append(batch: DataFrame, number: int) -> None:
+        nonlocal added
+        path = f"{sink}/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        added += spark.read.schema(schema).parquet(path).count()
 
-    before = rows()
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
-    query = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = stream.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    query = new.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return rows() - before
+    return added

@@ -10,7 +10,11 @@ from tessella.plans.registry import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+#: On the smallest tables; elsewhere they have rows.
+EMPTY = {"sentence_trigger", "trigger_first"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     got = QUERIES[name](spark, SF)
     con = duckdb.connect()
@@ -19,9 +23,13 @@ def test_query(spark, name):
     want = con.sql(ORACLES[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    near = lambda v: round(v, 1) if isinstance(v, float) else v
+    near = lambda v: round(v, 6) + 0.0 if isinstance(v, float) else v
     rows = lambda rs: sorted(str([near(v) for v in r]) for r in rs)
     a = rows(tuple(r[c] for c in columns) for r in got.collect())
     b = rows(want.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
-    assert len(a) == len(b)
-    assert sum(x != y for x, y in zip(a, b, strict=True)) <= (len(a) // 100 if name in ("smooth_trend", "tree_backprop") else 0)
+    assert a == b
+    assert a or name in EMPTY
+
+
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
