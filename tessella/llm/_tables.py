@@ -89,6 +89,15 @@ def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, tot
     return here.unionByName(away)
 
 
+def names_apart(df: DataFrame) -> DataFrame:
+    """df with another node for contents that share the 64 bits of node and differ in those of check, expected from 10^10 contents on."""
+    shared = df.filter("node is not null").groupBy("node").agg(F.min("check").alias("c0"), F.max("check").alias("c1")).filter("c0 <> c1")
+    if shared.isEmpty():
+        return df
+    own = F.when(F.col("check") != F.col("c0"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return df.join(shared, "node", "left").withColumn("node", own).drop("c0", "c1")
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name like base that df doesn't have, in whatever case."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import components, discard, free_name, materialize, tasks
+from ._tables import components, discard, free_name, materialize, names_apart, tasks
 from ._text import blocks, lean, mix, slices, words
 
 WORDS, BUCKETS, MANTISSA, ROWS = 5, 256, 10, 6
@@ -309,15 +309,6 @@ def _finish(members: DataFrame, comp: DataFrame, texts: DataFrame, able: DataFra
     return out
 
 
-def _named_apart(sig: DataFrame) -> DataFrame:
-    """sig with another node name for sets that share a 64-bit name and differ in their 128 bits, expected from 10^10 sets on."""
-    shared = sig.filter("node is not null").groupBy("node").agg(F.min("check").alias("c0"), F.max("check").alias("c1")).filter("c0 <> c1")
-    if shared.isEmpty():
-        return sig
-    own = F.when(F.col("check") != F.col("c0"), F.xxhash64("node", "check")).otherwise(F.col("node"))
-    return sig.join(shared, "node", "left").withColumn("node", own).drop("c0", "c1")
-
-
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -335,7 +326,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     sig = materialize(d.mapInArrow(_signatures, "doc_id long, n_shingles long, node long, check long, regs binary"), "near-sig")
-    sig = _named_apart(sig)
+    sig = names_apart(sig)
     some = sig.filter("node is not null")
     n_docs = tasks(docs.sparkSession, sig.count(), 40_000)
     reps = materialize(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")).coalesce(n_docs), "near-nodes")

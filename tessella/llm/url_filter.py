@@ -13,14 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import ascii_lower, materialize
+from ._tables import ascii_lower, join_counted, materialize
 
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-DEPTH = 4  # levels with branches of their own; all below are one wildcard
+SINGLE = 8  # levels of one segment each
 FAN_OUT = 32  # siblings from which a level counts as variable
 STRENGTH = 4.0  # weight of the host's share in the smoothing
 REJECT = 0.5
-SALTS = 16
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -47,52 +46,67 @@ def _kind(seg: Column) -> Column:
     return F.when(stem.rlike("^[0-9]+$"), F.lit("{n}")).when(stem.rlike("^[0-9a-fA-F-]{8,}$"), F.lit("{x}")).otherwise(seg)
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, depth: int = DEPTH, fan_out: int = FAN_OUT, strength: float = STRENGTH, reject: float = REJECT) -> DataFrame:
+def _units(segs: Column) -> Column:
+    """The first SINGLE segments, and all others joined in units of 2, 4, 8, ...: a level each, so that very deep paths have few."""
+    spans = [(k, 1) for k in range(SINGLE)] + [(SINGLE + (1 << k) - 2, 1 << k) for k in range(1, 30)]
+    units = F.array(*[F.array_join(F.slice(segs, at + 1, n), "/") for at, n in spans])
+    return F.when(F.size(segs) > SINGLE, F.filter(units, lambda u: u != "")).otherwise(segs)
+
+
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, fan_out: int = FAN_OUT, strength: float = STRENGTH, reject: float = REJECT) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, template, purity.
 
     A null url or one without :// has an empty host and path and is judged as any
     other: no rule fits, its template has no labels, it is allowed. Repeated rows
     count once each. An empty table gives no rows; other columns are not read.
-    Templates come from counts over all pages, combined before the shuffle; a
-    hot host's pages meet its templates under salted keys.
+    Templates come from counts over all pages, combined before the shuffle. Every
+    level of a path has branches of its own, deep ones several segments a level; a level
+    is worked on for the paths alone that reach it in company. Branches, templates and paths of hot hosts go to all tasks (they
+    can't be many), the others are met by a shuffle.
     """
     host, path = split_url(F.col(url_col).cast("string"))
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     d = d.withColumn("rule", rule).withColumn("ruled", verdict)
-    segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    d = d.withColumn("segs", F.transform(F.slice(segs, 1, depth), _kind)).withColumn("rest", F.size(segs) > depth)
+    d = d.withColumn("segs", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), _kind)).withColumn("segs", _units(F.col("segs")))
     d = materialize(d, "url-pages")
-    keys = d.groupBy("host", "segs", "rest").agg(F.count("*").alias("n"), F.count("ruled").alias("m"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("b"))
-    keys = materialize(keys, "url-keys").withColumn("tpl", F.array().cast("array<string>")).withColumn("own", F.col("segs"))
-    for level in range(depth):
+    keys = d.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("ruled").alias("m"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("b"))
+    keys = materialize(keys.withColumn("tpl", F.array().cast("array<string>")), "url-keys")
+    total, deepest = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.size("segs")), F.lit(0))).first()
+    leaf, active = keys.filter(F.size("segs") == 0), keys.filter(F.size("segs") > 0)
+    for level in range(deepest):
+        here = active.withColumn("seg", F.get("segs", F.lit(level)))
         # 1. a level with very many siblings is variable
-        seg = F.get("segs", F.lit(level))
-        here = keys.withColumn("seg", seg)
-        shape = F.concat_ws("/", F.transform(F.slice("segs", level + 2, depth), lambda s: F.when(s.rlike(r"^\{.\}$"), s).otherwise(F.lit("*"))), F.col("rest").cast("string"))
-        sib = here.filter("seg is not null").groupBy("host", "tpl", "seg").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("b").alias("b"), F.max(shape).alias("shape"))
-        wide = sib.groupBy("host", "tpl").agg(F.count("*").alias("siblings"), F.sum("m").alias("pm"), F.sum("b").alias("pb"))
+        shape = F.concat_ws("/", F.transform(F.slice("segs", level + 2, deepest), lambda s: F.when(s.rlike(r"^\{.\}$"), s).otherwise(F.lit("*"))))
+        sib = here.groupBy("host", "tpl", "seg").agg(F.sum("m").alias("m"), F.sum("b").alias("b"), F.max(shape).alias("shape"), F.count("*").alias("held"))
+        wide = sib.groupBy("host", "tpl").agg(F.count("*").alias("siblings"), F.sum("m").alias("pm"), F.sum("b").alias("pb"), F.sum("held").alias("branch"))
         # 2. branches of one shape merge when their shares of blocked labels lie within two standard errors of the parent's
-        j = sib.join(wide, ["host", "tpl"])
+        j = join_counted(sib, wide, ["host", "tpl"], "siblings", total)
         p = (F.col("pb") + 1) / (F.col("pm") + 2)
         far = F.abs(F.col("b") - F.col("m") * p) > 2 * F.sqrt(F.col("m") * p * (1 - p) + 0.25)
         like = (F.col("m") > 0) & ~far
         # a branch without labels says nothing against the labelled ones of its shape
-        kin = j.groupBy("host", "tpl", "shape").agg(F.max(like).alias("kin"))
-        j = j.join(kin, ["host", "tpl", "shape"])
+        kin = j.groupBy("host", "tpl", "shape").agg(F.max(like).alias("kin"), F.count("*").alias("alike"))
+        j = join_counted(j, kin, ["host", "tpl", "shape"], "alike", total)
         name = F.when(F.col("siblings") >= fan_out, F.lit("*")).when(F.col("seg").rlike(r"^\{.\}$"), F.col("seg")).when(like | ((F.col("m") == 0) & F.col("kin")), F.concat(F.lit("*:"), F.col("shape"))).otherwise(F.col("seg"))
-        names = j.select("host", "tpl", "seg", name.alias("name"))
-        keys = materialize(here.join(names, ["host", "tpl", "seg"], "left").withColumn("tpl", F.when(F.col("seg").isNull(), F.col("tpl")).otherwise(F.concat("tpl", F.array("name")))).drop("seg", "name"), "url-keys")
-    leaf = keys.withColumn("template", F.concat(F.lit("/"), F.array_join("tpl", "/"), F.when(F.col("rest"), F.lit("/**")).otherwise("")))
-    hosts = leaf.groupBy("host").agg(((F.sum("b") + 1) / (F.sum("m") + 2)).alias("prior"), F.sum("m").alias("hm"))
-    tpl = leaf.groupBy("host", "template").agg(F.sum("m").alias("m"), F.sum("b").alias("b")).join(hosts, "host")
+        names = j.select("host", "tpl", "seg", "held", "branch", name.alias("name"))
+        named = join_counted(here, names, ["host", "tpl", "seg"], "held", total)
+        # a path that is alone in its branch can't merge any further down: the rest of it names its template
+        done = (F.size("segs") == level + 1) | (F.col("branch") == 1)
+        rest = F.when(F.col("branch") == 1, F.slice("segs", level + 2, deepest)).otherwise(F.array().cast("array<string>"))
+        keys = materialize(named.select("host", "segs", "n", "m", "b", F.concat("tpl", F.array("name"), rest).alias("tpl"), done.alias("done")), "url-keys")
+        leaf, active = leaf.unionByName(keys.filter("done").drop("done")), keys.filter("not done").drop("done")
+        if active.isEmpty():
+            break
+    leaf = leaf.withColumn("template", F.concat(F.lit("/"), F.array_join("tpl", "/")))
+    tpl = leaf.groupBy("host", "template").agg(F.sum("m").alias("m"), F.sum("b").alias("b"), F.count("*").alias("paths"))
+    hosts = tpl.groupBy("host").agg(((F.sum("b") + 1) / (F.sum("m") + 2)).alias("prior"), F.sum("m").alias("hm"), F.count("*").alias("templates"))
+    tpl = join_counted(tpl, hosts, ["host"], "templates", total)
     # a host without labels has no evidence: its share is nought
     purity = F.when(F.col("hm") == 0, F.lit(0.0)).otherwise((F.col("b") + strength * F.col("prior")) / (F.col("m") + strength))
     # without labels of its own a template has its host's share, as far as the host's labels are sure of it
     error = F.sqrt(F.col("prior") * (1 - F.col("prior")) / (F.col("hm") + 3))
-    judged = tpl.select("host", "template", F.when(F.col("m") > 0, purity).otherwise(F.greatest(F.lit(0.0), purity - 2 * error)).alias("purity"))
-    per_key = leaf.join(judged, ["host", "template"]).select("host", F.col("own").alias("segs"), "rest", "template", "purity")
-    salted = materialize(per_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "url-judged")
-    mine = d.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
-    out = mine.join(salted, ["host", "segs", "rest", "salt"])
+    judged = tpl.select("host", "template", "paths", F.when(F.col("m") > 0, purity).otherwise(F.greatest(F.lit(0.0), purity - 2 * error)).alias("purity"))
+    per_key = materialize(join_counted(leaf.select("host", "segs", "n", "template"), judged, ["host", "template"], "paths", total).select("host", "segs", "n", "template", "purity"), "url-judged")
+    out = join_counted(d, per_key, ["host", "segs"], "n", total)
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("purity") > reject, F.lit("block")).otherwise("allow")).alias("verdict"), "template", "purity")

@@ -1,7 +1,10 @@
 """Near-duplicate embeddings by E8 lattice hashing (operator 8).
 
-Each of TABLES tables projects unit vectors to BLOCKS random 8-dimensional spaces and
-decodes each to its nearest E8 lattice point; the points name a vector's own cell. A
+Each of several tables projects unit vectors to a few random 8-dimensional spaces and
+decodes each to its nearest E8 lattice point; the points name a vector's own cell. The
+more vectors a label has, the more spaces (blocks) a cell is named by, so that vectors
+that aren't alike meet about once at most, and the more tables, so that alike ones are
+missed by all of them with a chance of MISS. A
 vector also probes the cells of neighbouring lattice points, those towards which its
 residual leans most. Vectors that meet, one in its own cell and one probing it, are
 verified by cosine in double precision. Meetings are counted once: a pair counts in
@@ -22,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import components, materialize, shuffles
+from ._tables import components, materialize, names_apart, shuffles
 from ._text import lean, mix
 
-TABLES, BLOCKS, THRESHOLD = 10, 2, 0.98
+THRESHOLD, MISS = 0.98, 1e-4
+MEET = 0.02  # a block's part of the chance that unlike vectors meet in a table: measured 1e-4 with two blocks, under 1e-6 with three
 SPREAD = 0.28  # mean distance at the threshold in a projected space, where lattice points are sqrt(2) apart
 BLOCK = 1024  # vectors compared with as many in one step
 PROBES = 6
@@ -56,27 +60,27 @@ def decode_e8(x: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(64)
-def _projection(dim: int, table: int) -> np.ndarray:
+def _projection(dim: int, table: int, blocks: int) -> np.ndarray:
     r = np.random.default_rng([dim, table, 88])
-    q, _ = np.linalg.qr(r.normal(size=(max(dim, 8 * BLOCKS), 8 * BLOCKS)))
-    return q[:dim] * (SPREAD / (np.sqrt(2 - 2 * THRESHOLD) * np.sqrt(8 / max(dim, 8 * BLOCKS))))
+    q, _ = np.linalg.qr(r.normal(size=(max(dim, 8 * blocks), 8 * blocks)))
+    return q[:dim] * (SPREAD / (np.sqrt(2 - 2 * THRESHOLD) * np.sqrt(8 / max(dim, 8 * blocks))))
 
 
-def cells(unit: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(own, probes): hashes [n, TABLES] and [n, TABLES, PROBES] for unit vectors of one dimension; salt: a hash of what must be equal."""
+def cells(unit: np.ndarray, salt: np.ndarray, tables: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(own, probes): hashes [n, tables] and [n, tables, PROBES] for unit vectors of one dimension; salt: a hash of what must be equal."""
     n, dim = unit.shape
-    own, probes = np.empty((n, TABLES), np.int64), np.empty((n, TABLES, PROBES), np.int64)
-    coef = mix(np.arange(7, 7 + 8 * BLOCKS, dtype=np.uint64)) | np.uint64(1)
+    own, probes = np.empty((n, tables), np.int64), np.empty((n, tables, PROBES), np.int64)
+    coef = mix(np.arange(7, 7 + 8 * blocks, dtype=np.uint64)) | np.uint64(1)
     r = roots()
 
     def name(points: list[np.ndarray], t: int) -> np.ndarray:
         whole = np.rint(2 * np.concatenate(points, 1)).astype(np.int64).astype(np.uint64)
         return mix(mix((whole * coef).sum(1, dtype=np.uint64) + np.uint64(t)) ^ salt).astype(np.int64)
 
-    for t in range(TABLES):
-        y = unit @ _projection(dim, t)
+    for t in range(tables):
+        y = unit @ _projection(dim, t, blocks)
         near, first, second = [], [], []
-        for b in range(BLOCKS):
+        for b in range(blocks):
             x = y[:, 8 * b : 8 * b + 8]
             p = decode_e8(x)
             lean = (x - p) @ r.T
@@ -92,26 +96,50 @@ def cells(unit: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, probes
 
 
+def scheme(largest: int, dim: int, miss: float = MISS) -> tuple[int, int]:
+    """(tables, blocks) for labels of at most so many distinct vectors of that dimension.
+
+    Blocks are added until a vector meets one unlike vector a table at most; tables
+    follow from the share of pairs at the threshold that meet in one, measured on
+    generated pairs, so that the chance to be missed by all is `miss` at most.
+    """
+    blocks = 2
+    while largest * MEET**blocks > 1 and 8 * (blocks + 1) <= dim:
+        blocks += 1
+    r = np.random.default_rng(8)
+    a, b = r.normal(size=(2, 1000, max(dim, 8 * blocks)))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    none = np.zeros(len(a), np.uint64)
+    (oa, pa_), (ob, pb) = (cells(x, none, 2, blocks) for x in (a, THRESHOLD * a + np.sqrt(1 - THRESHOLD**2) * b))
+    share = ((oa[:, :, None] == pb).any(2) | (ob[:, :, None] == pa_).any(2)).mean()
+    return int(np.ceil(np.log(miss) / np.log(1 - min(share, 0.99)))), blocks
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
 
 
-@lean
-def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        dims = b["dim"].to_numpy()
-        for d in np.unique(dims):
-            part = b.filter(pa.array(dims == d))
-            for at in range(0, part.num_rows, 2048):
-                c = part.slice(at, 2048)
-                v = _matrix(c["v"]).astype(np.float64)
-                v /= np.abs(v).max(1, keepdims=True)
-                unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                salt = mix(c["label"].to_numpy().astype(np.int64).astype(np.uint64) * np.uint64(2654435761) + np.uint64(d))
-                own, probes = cells(unit, salt)
-                listed = lambda m, kind: pa.array(list(m.reshape(len(m), -1)), pa.list_(kind))
-                yield pa.RecordBatch.from_arrays([c["node"], c["copies"], listed(unit, pa.float64()), listed(own, pa.int64()), listed(probes, pa.int64())], names=["node", "copies", "u", "own", "probes"])
+def _hash(tables: int, blocks: int):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b["dim"].to_numpy()
+            for d in np.unique(dims):
+                part = b.filter(pa.array(dims == d))
+                for at in range(0, part.num_rows, 2048):
+                    c = part.slice(at, 2048)
+                    v = _matrix(c["v"]).astype(np.float64)
+                    v /= np.abs(v).max(1, keepdims=True)
+                    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+                    salt = mix(c["label"].to_numpy().astype(np.int64).astype(np.uint64) * np.uint64(2654435761) + np.uint64(d))
+                    own, probes = cells(unit, salt, tables, blocks)
+                    listed = lambda m, kind: pa.array(list(m.reshape(len(m), -1)), pa.list_(kind))
+                    yield pa.RecordBatch.from_arrays([c["node"], c["copies"], listed(unit, pa.float64()), listed(own, pa.int64()), listed(probes, pa.int64())], names=["node", "copies", "u", "own", "probes"])
+
+    return run
 
 
 def _met(own_a: np.ndarray, probes_b: np.ndarray) -> np.ndarray:
@@ -175,7 +203,7 @@ def _verify(threshold: float):
             for side in (~probing, probing):
                 s = t.filter(pa.array(side))
                 n = s.num_rows
-                sides.append({"node": s["node"].to_numpy(), "copies": s["copies"].to_numpy(), "u": _matrix(s["u"]), "own": _matrix(s["own"]), "probes": _matrix(s["probes"]).reshape(n, TABLES, PROBES)})
+                sides.append({"node": s["node"].to_numpy(), "copies": s["copies"].to_numpy(), "u": _matrix(s["u"]), "own": _matrix(s["own"]), "probes": _matrix(s["probes"]).reshape(n, -1, PROBES)})
             out.append(_compare(t["t"][0].as_py(), *sides, threshold))
             if len(out) >= 500:
                 yield _rows(out)
@@ -203,10 +231,13 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     d = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull(), F.lit(False))
     plain = F.transform(v, lambda x: x + 0.0)  # -0.0 is 0.0
-    d = d.withColumn("node", F.when(fine, F.xxhash64("label", plain)))
+    d = d.withColumn("node", F.when(fine, F.xxhash64("label", plain))).withColumn("check", F.xxhash64(F.lit(1), plain, "label"))
+    d = names_apart(d)
     one = d.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("rep"), F.min(F.struct("label", "v")).alias("x"))
     one = materialize(one.select("node", "copies", "rep", "x.label", "x.v", F.size("x.v").alias("dim")), "vec-nodes")
-    hashed = materialize(one.select("node", "copies", "label", "v", "dim").mapInArrow(_hash, "node long, copies long, u array<double>, own array<long>, probes array<long>"), "vec-cells")
+    largest = one.groupBy("label", "dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).select("n", "dim").first() or (0, 64)
+    tables, blocks = scheme(*largest)
+    hashed = materialize(one.select("node", "copies", "label", "v", "dim").mapInArrow(_hash(tables, blocks), "node long, copies long, u array<double>, own array<long>, probes array<long>"), "vec-cells")
     own = hashed.select("node", F.posexplode("own").alias("t", "key"), F.lit(False).alias("probing"))
     probes = hashed.select("node", F.posexplode("probes").alias("p", "key"), F.lit(True).alias("probing")).select("node", F.expr(f"int(p div {PROBES})").alias("t"), "key", "probing")
     met = own.union(probes)

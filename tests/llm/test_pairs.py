@@ -165,3 +165,44 @@ def test_vector_dedup(spark):
     assert all(got[k][0] <= want[k][0] for k in got)
     assert sum(got[k][1:] == want[k][1:] for k in got) >= 0.995 * n
     assert vector_dedup(df.limit(0)).count() == 0
+
+
+def test_vector_scheme_reaches_its_recall():
+    """Pairs at the threshold meet with any number of blocks, and unlike vectors seldom."""
+    from tessella.llm.vector_dedup import cells, scheme
+
+    r, none = np.random.default_rng(4), np.zeros(600, np.uint64)
+    for largest, dim, most in ((500, 64, 2), (5_000, 64, 3), (10**7, 64, 5), (10**7, 12, 2)):
+        tables, blocks = scheme(largest, dim)
+        assert blocks <= most
+        a, b = r.normal(size=(2, 600, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = 0.98 * a + np.sqrt(1 - 0.98**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        (oa, pa), (ob, pb) = cells(a, none, tables, blocks), cells(b, none, tables, blocks)
+        met = ((oa[:, :, None] == pb).any((1, 2)) | (ob[:, :, None] == pa).any((1, 2))).mean()
+        assert met >= 0.995
+
+
+def test_vectors_in_a_large_label(spark):
+    """Planted pairs among thousands of unlike vectors of one label, against brute force."""
+    from tessella.llm.vector_dedup import vector_dedup
+
+    r = np.random.default_rng(9)
+    v = r.normal(size=(4000, 32))
+    v[3000:] = v[:1000] + r.normal(size=(1000, 32)) * 0.18 * r.random((1000, 1))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & ~np.eye(len(u), dtype=bool)
+    df = spark.createDataFrame([(i, 1, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, label int, embedding array<double>")
+    got = np.zeros(len(v), int)
+    for row in vector_dedup(df).collect():
+        got[row.vec_id] = row.n_links
+    assert near.sum() > 500 and (got <= near.sum(1)).all() and got.sum() >= 0.999 * near.sum()
+
+
+def test_names_that_collide_are_told_apart(spark):
+    from tessella.llm._tables import names_apart
+
+    df = spark.createDataFrame([(1, 7, 5), (2, 7, 5), (3, 7, 6), (4, 8, 5), (5, None, None)], "id int, node long, check long")
+    got = {r.id: r.node for r in names_apart(df).collect()}
+    assert got[1] == got[2] == 7 and got[3] not in (7, 8) and got[4] == 8 and got[5] is None

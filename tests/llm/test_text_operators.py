@@ -209,3 +209,120 @@ def test_url_filter_rejects_without_a_rule(spark):
     got = {names[r.page_id]: (r.verdict, r.rule) for r in filter_urls(df).collect()}
     assert {u: v for u, (v, _) in got.items()} == urls
     assert got["http://bad.com/fr/1"][1] is None and got["http://bad.com/about"][1] is None
+
+
+def _brute_templates(urls, fan_out, strength=4.0):
+    """(template, purity) of each url by the method, from plain dictionaries."""
+    from tessella.llm.url_filter import RULES
+
+    info = []
+    for u in urls:
+        host, _, path = u.split("://", 1)[1].partition("/")
+        path = "/" + path
+        best = max((x for x in RULES if (host == x[0] or host.endswith("." + x[0])) and path.startswith(x[1])), key=lambda x: len(x[0] + x[1]), default=None)
+        kind = lambda s: "{n}" if re.fullmatch("[0-9]+", s) else "{x}" if re.fullmatch("[0-9a-fA-F-]{8,}", s) else s
+        info.append((host, tuple(kind(s) for s in path.split("/") if s), best and best[2]))
+    labels = defaultdict(lambda: [0, 0])
+    for h, segs, v in info:
+        labels[h, segs][0] += v is not None
+        labels[h, segs][1] += v == "block"
+    live, final = {k: () for k in labels}, {}
+    for level in range(max(len(s) for _, s in labels)):
+        groups = defaultdict(lambda: defaultdict(list))
+        for (h, segs), tpl in live.items():
+            if len(segs) > level:
+                groups[h, tpl][segs[level]].append((h, segs))
+            else:
+                final[h, segs] = tpl
+        live = {}
+        for (h, tpl), sibs in groups.items():
+            stat = {}
+            for seg, keys in sibs.items():
+                shape = max("/".join(x if re.fullmatch(r"\{.\}", x) else "*" for x in s[level + 1 :]) for _, s in keys)
+                stat[seg] = (sum(labels[k][0] for k in keys), sum(labels[k][1] for k in keys), shape)
+            pm, pb = sum(x[0] for x in stat.values()), sum(x[1] for x in stat.values())
+            p = (pb + 1) / (pm + 2)
+            like = {s: m > 0 and abs(b - m * p) <= 2 * (m * p * (1 - p) + 0.25) ** 0.5 for s, (m, b, _) in stat.items()}
+            kin = {stat[s][2] for s in stat if like[s]}
+            for seg, keys in sibs.items():
+                m, _, shape = stat[seg]
+                name = "*" if len(sibs) >= fan_out else seg if re.fullmatch(r"\{.\}", seg) else "*:" + shape if like[seg] or (m == 0 and shape in kin) else seg
+                for k in keys:
+                    if sum(map(len, sibs.values())) == 1:
+                        final[k] = (*tpl, name, *k[1][level + 1 :])
+                    else:
+                        live[k] = (*tpl, name)
+    final |= live
+    stats, hosts = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for k, t in final.items():
+        for i in range(2):
+            stats[k[0], t][i] += labels[k][i]
+            hosts[k[0]][i] += labels[k][i]
+    out = []
+    for h, segs, v in info:
+        t = final[h, segs]
+        (m, b), (hm, hb) = stats[h, t], hosts[h]
+        prior = (hb + 1) / (hm + 2)
+        purity = 0.0 if hm == 0 else (b + strength * prior) / (m + strength)
+        if m == 0:
+            purity = max(0.0, purity - 2 * (prior * (1 - prior) / (hm + 3)) ** 0.5)
+        out.append(("/" + "/".join(t), round(purity, 9), v or ("block" if purity > 0.5 else "allow")))
+    return out
+
+
+def test_templates_equal_brute_force(spark, monkeypatch):
+    from tessella.llm import _tables
+    from tessella.llm.url_filter import filter_urls
+
+    r = np.random.default_rng(6)
+    urls = [f"http://{h}/" + "/".join(str(r.choice(["en", "de", "es", "blog", "tag", "7", "12", "abcdef0123", "x1", "x2"])) for _ in range(int(r.integers(0, 6)))) for h in r.choice(["a.com", "b.net", "c.org", "d.edu"], 600, p=[0.7, 0.1, 0.1, 0.1])]
+    urls += ["http://a.com/en/" + "/".join(["deep"] * 40 + [str(k)]) for k in ("x", "y")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = _brute_templates(urls[:600], 6)
+    for hot in (1000, 3):  # with hot keys and without
+        monkeypatch.setattr(_tables, "HOT", hot)
+        got = {x.page_id: (x.template, round(x.purity, 9), x.verdict) for x in filter_urls(df.filter("page_id < 600"), fan_out=6).collect()}
+        assert [got[i] for i in range(600)] == want
+    deep = {x.page_id: x.template for x in filter_urls(df, fan_out=6).filter("page_id >= 600").collect()}
+    assert len(deep) == 2 and len(set(deep.values())) == 1  # fifty levels down they are one template
+
+
+def test_secrets_are_told_by_owners_and_repositories(spark, monkeypatch):
+    """n_live and n_example against a count over the corpus, with hot hashes and without."""
+    from tessella.llm import _tables
+    from tessella.llm.secrets import EXAMPLE_OWNERS, EXAMPLE_REPOS, LIVE_BITS, bits_per_char, scan, scan_secrets
+
+    r = np.random.default_rng(2)
+    keys = ["".join(r.choice(list("abcdefghij0123456789KLMN"), 20)) for _ in range(12)] + ["aaaaaaaaaaaa"]
+    rows = [(i, f"token = {keys[min(int(r.geometric(0.25)) - 1, 12)]} and AKIA{'ABCDEFGHIJKLMNOP'[: int(r.integers(8, 16))]}", f"o{int(r.integers(0, 9))}", f"r{int(r.integers(0, 5))}") for i in range(80)]
+    owners, repos = defaultdict(set), defaultdict(set)
+    for _, t, o, p in rows:
+        for *_, s in scan(t):
+            owners[s].add(o)
+            repos[s].add((o, p))
+    example = lambda s: len(owners[s]) >= EXAMPLE_OWNERS or len(repos[s]) >= EXAMPLE_REPOS
+    want = {i: (sum(not example(s) and bits_per_char(s) >= LIVE_BITS for *_, s in scan(t)), sum(example(s) for *_, s in scan(t))) for i, t, *_ in rows}
+    assert 0 < sum(a for a, _ in want.values()) and 0 < sum(b for _, b in want.values())
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    for hot in (1000, 5):
+        monkeypatch.setattr(_tables, "HOT", hot)
+        assert {x.doc_id: (x.n_live, x.n_example) for x in scan_secrets(df, repo_col="repo").collect()} == want
+
+
+def test_hot_keys_join_as_others(spark, monkeypatch):
+    from tessella.llm import _tables
+    from tessella.llm.exact_dedup import exact_dedup
+
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["a"] * 50 + ["b"] * 3 + ["c", None])], "k string, i int")
+    facts = spark.createDataFrame([("a", 50, "A"), ("b", 3, "B"), ("z", 0, "Z")], "k string, n long, v string")
+    for hot in (1000, 10, 0):
+        monkeypatch.setattr(_tables, "HOT", hot)
+        for how in ("inner", "left"):
+            got = sorted((x.i, x.v) for x in _tables.join_counted(rows, facts, ["k"], "n", 55, how).collect())
+            assert got == sorted((x.i, x.v) for x in rows.join(facts, "k", how).collect())
+    docs = spark.createDataFrame([(i, "same" if i % 3 else f"t{i}") for i in range(60)], "doc_id long, text string")
+    kept = []
+    for hot in (1000, 5):
+        monkeypatch.setattr(_tables, "HOT", hot)
+        kept.append(sorted((x.doc_id, x.keep_id, x.group_size, x.kept) for x in exact_dedup(docs).collect()))
+    assert kept[0] == kept[1] and sum(x[3] for x in kept[0]) == 21
