@@ -1,10 +1,14 @@
 """Best-fit packing of documents into fixed-length sequences (operator 5).
 
-Documents become pieces of at most `length` tokens. This departs from dealt
-bulk-synchronous best fit: no range-sorted gaps, sweeps or supersteps run in tasks.
-Pieces of a size are interchangeable, so an exact best-fit-decreasing plan is made on
-the driver from the counts of pieces per size alone, a few rows per size, whatever the
-input's size. Each piece then finds its place from its size and its rank in a task.
+Documents become pieces of at most `length` tokens. Bulk-synchronous supersteps place
+them, one for each halving of the sizes, the largest first. In a superstep pieces and
+gaps lie sorted in ranges of their sizes; every range is swept by a task of its own, in
+which each piece takes its successor, the smallest gap that holds it, and conflicts are
+settled by rank. What is left over in its range meets what is left in the others in one
+small task, which also opens sequences for pieces that no gap holds. Gaps go on to the next
+superstep through the shared folder. Pieces of a size are interchangeable, so the rows
+of these tables are runs: a size, the first rank and how many; they depend on the
+number of sizes, not of pieces. Each piece then finds its place by its size and rank.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 from ._tables import materialize
 from ._text import lean, slices
 
-LENGTH, BUCKETS = 2048, 64
+LENGTH, RANGES = 2048, 8
+EACH = 100_000  # pieces of one size that are ranked in one task, about
 CACHE = 300_000  # distinct words a worker remembers
 # Fixed value: the pre-tokenisation pattern of the byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -95,13 +100,24 @@ def _pieces(path: str, length: int):
     return run
 
 
-def plan_packing(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs (size, first rank, ranks, first sequence, pieces per sequence, offset) of a best-fit packing.
+PIECE, GAP, PLACED, NEXT = range(4)
+_RUNS = "kind int, value long, at long, n long, first long, per long, offset long"
+_NAMES = [c.split()[0] for c in _RUNS.split(", ")]
 
-    counts: pieces per size. The rank r of a run's size goes to sequence
-    first + (r - first rank) // per, at offset + (r - first rank) % per * size.
+
+def sweep(rows: list[tuple], length: int, opening: bool = False) -> list[tuple]:
+    """Rows after a sweep: each piece, from the largest, takes its successor, the smallest gap that holds it.
+
+    Rows are runs (kind, value, at, n, first, per, offset): pieces of a size from the
+    rank `at` on; gaps of a size, of the sequences from `at` on; placements, in which
+    rank at + k is in sequence first + k // per at offset + k % per * size; and the
+    NEXT free sequence. Conflicts are settled by rank: the pieces of a size fill the
+    gaps of a size one after the other, and those beyond look on. Pieces that no gap
+    holds are left as they are or, if opening, get new sequences.
     """
-    plan, gaps, order, bins = [], {}, [], 0  # gaps: size of gap -> runs (first sequence, sequences); order: the sizes, ascending
+    gaps: dict[int, list[tuple[int, int]]] = {}
+    order: list[int] = []  # sizes of gaps, ascending
+    out, free = [], 0
 
     def add(gap: int, first: int, n: int) -> None:
         if gap and n:
@@ -110,32 +126,77 @@ def plan_packing(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int
                 bisect.insort(order, gap)
             gaps[gap].append((first, n))
 
-    for size in sorted(counts, reverse=True):
-        rank, left = 0, counts[size]
+    for kind, value, at, n, *rest in sorted(rows):
+        if kind == GAP:
+            add(value, at, n)
+        elif kind == PLACED:
+            out.append((kind, value, at, n, *rest))
+        elif kind == NEXT:
+            free = at
+    for _, size, rank, left, *_ in sorted((r for r in rows if r[0] == PIECE), key=lambda r: (-r[1], r[2])):
         while left:
-            at = bisect.bisect_left(order, size)  # the successor: the smallest gap that holds the class
-            if at == len(order):
-                per = length // size
-                gap, first, n = length, bins, -(-left // per)
-                bins += n
-            else:
+            at = bisect.bisect_left(order, size)
+            if at < len(order):
                 gap = order[at]
-                per = gap // size
                 first, n = gaps[gap].pop()
                 if not gaps[gap]:
                     del gaps[gap]
                     order.pop(at)
+            elif opening:
+                gap, first, n = length, free, -(-left // (length // size))
+                free += n
+            else:
+                out.append((PIECE, size, rank, left, 0, 0, 0))
+                break
+            per = gap // size
             full = min(n, left // per)
             if full:
-                plan.append((size, rank, full * per, first, per, length - gap))
+                out.append((PLACED, size, rank, full * per, first, per, length - gap))
                 add(gap - per * size, first, full)
                 rank, left = rank + full * per, left - full * per
-            if full < n and left:  # the last pieces share one sequence
-                plan.append((size, rank, left, first + full, left, length - gap))
+            if full < n and left:  # the last ones share one sequence
+                out.append((PLACED, size, rank, left, first + full, left, length - gap))
                 add(gap - left * size, first + full, 1)
                 full, left = full + 1, 0
             add(gap, first + full, n - full)
-    return plan
+    out += [(GAP, gap, first, n, 0, 0, 0) for gap, runs in gaps.items() for first, n in runs]
+    return [*out, (NEXT, 0, free, 0, 0, 0, 0)] if opening else out
+
+
+def _runs(fn):
+    def run(t: pa.Table) -> pa.Table:
+        rows = fn(list(zip(*(t[c].to_pylist() for c in _NAMES), strict=True)))
+        return pa.table({c: pa.array([r[i] for r in rows], pa.int32() if c == "kind" else pa.int64()) for i, c in enumerate(_NAMES)})
+
+    return run
+
+
+def place(sizes: DataFrame, length: int = LENGTH, ranges: int = RANGES) -> DataFrame:
+    """(size, rank0, ranks, first, per, at): the runs of a best-fit packing of pieces; sizes: length, n.
+
+    A superstep is one job over runs; the driver only starts it.
+    """
+    spark = sizes.sparkSession
+    runs = lambda kind, value, n: [F.lit(kind).alias("kind"), value.cast("long").alias("value"), F.lit(0).cast("long").alias("at"), n.cast("long").alias("n"), *[F.lit(0).cast("long").alias(c) for c in ("first", "per", "offset")]]
+    pieces = materialize(sizes.select(*runs(PIECE, F.col("length"), F.col("n"))), "pack-sizes")
+    state = spark.createDataFrame([(NEXT, 0, 0, 0, 0, 0, 0)], _RUNS)
+    placed, low = [], length
+    while low:
+        high, low = low, low // 2
+        mine = pieces.filter((F.col("value") <= high) & (F.col("value") > low))
+        # gaps too small for this superstep wait; the others are dealt with its pieces to ranges of sizes
+        fits = (F.col("kind") == GAP) & (F.col("value") > low)
+        near = mine.unionByName(state.filter(fits)).withColumn("range", F.floor(F.col("value") * ranges / (length + 1)))
+        swept = near.groupBy("range").applyInArrow(_runs(lambda rows: sweep(rows, length)), _RUNS)
+        rest = swept.filter(F.col("kind") != PLACED).unionByName(state.filter(F.col("kind") == NEXT))
+        settled = rest.groupBy(F.lit(0).alias("one")).applyInArrow(_runs(lambda rows: sweep(rows, length, True)), _RUNS)
+        out = swept.filter(F.col("kind") == PLACED).unionByName(settled).unionByName(state.filter((F.col("kind") == GAP) & ~fits))
+        state = materialize(out.coalesce(1), "pack-runs")
+        placed.append(state.filter(F.col("kind") == PLACED))
+    every = placed[0]
+    for p in placed[1:]:
+        every = every.unionByName(p)
+    return every.select(F.col("value").alias("size"), F.col("at").alias("rank0"), F.col("n").alias("ranks"), "first", "per", F.col("offset").alias("at"))
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -145,25 +206,23 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     and has the closing id alone. Only documents longer than `length` are cut, the
     first piece taking the remainder. Repeated rows are packed each; which of them
     gets which place is open. An empty table gives no rows; other columns are not
-    read. Ranks within a size come from counts per (size, hash bucket), at most
-    length x BUCKETS of them, so a size shared by a third of all rows is ranked in
-    BUCKETS tasks.
+    read. Ranks within a size come from counts per (size, hash bucket), as many
+    buckets as the size needs, so a size shared by a third of all rows is ranked in
+    many tasks.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    d = d.mapInArrow(_pieces(tokenizer, length), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    d = materialize(d.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")), "pack-pieces")
-    counts = d.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    ranks = materialize(ranks, "pack-ranks")
-    # at most `length` rows: the sizes
-    plan = plan_packing({r["length"]: r["n"] for r in ranks.groupBy("length").agg(F.sum("n").alias("n")).collect()}, length)
-    runs = spark.createDataFrame(plan or [(0, 0, 0, 0, 1, 0)], "size long, rank0 long, ranks long, first long, per long, at long")
+    d = materialize(d.mapInArrow(_pieces(tokenizer, length), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pack-pieces")
+    sizes = materialize(d.groupBy("length").agg(F.count("*").alias("n")).coalesce(1), "pack-counts")  # at most `length` rows
+    runs = place(sizes, length)
     by_size = runs.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("rank0", "ranks", "first", "per", "at"))).alias("runs"))
+    parts = sizes.select("length", F.ceil(F.col("n") / EACH).alias("parts"))
+    dealt = d.join(F.broadcast(parts), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
+    counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = materialize(counts.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).coalesce(1), "pack-ranks")  # a row for each EACH pieces
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    placed = d.withColumn("rn", F.row_number().over(within) - 1).join(F.broadcast(ranks.select("length", "bucket", "before")), ["length", "bucket"])
+    placed = dealt.withColumn("rn", F.row_number().over(within) - 1).join(ranks, ["length", "bucket"])
     placed = placed.withColumn("rank", F.col("rn") + F.col("before")).join(F.broadcast(by_size), F.col("length") == F.col("size"))
     run = F.filter("runs", lambda r: (r["rank0"] <= F.col("rank")) & (F.col("rank") < r["rank0"] + r["ranks"]))[0]
     placed = placed.withColumn("run", run).withColumn("k", F.col("rank") - F.col("run.rank0"))

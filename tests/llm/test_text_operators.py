@@ -89,7 +89,7 @@ def test_mix_sources(spark, docs):
 def test_pack(spark, docs):
     from tokenizers import Tokenizer
 
-    from tessella.llm.packing import pack, plan_packing
+    from tessella.llm.packing import NEXT, PIECE, PLACED, pack, place, sweep
     from tessella.llm.queries import tokenizer_path
 
     tk = Tokenizer.from_file(tokenizer_path())
@@ -120,13 +120,34 @@ def test_pack(spark, docs):
         r = np.random.default_rng(seed)
         counts = {int(s): int(n) for s, n in zip(r.choice(64, 20, False) + 1, r.integers(1, 50, 20), strict=True)}
         fill, seen = defaultdict(int), defaultdict(int)
-        for s, r0, n, first, per, at in sorted(plan_packing(counts, 64), key=lambda x: x[5]):
-            seen[s] += n
-            for k in range(n):
-                b = first + k // per
-                assert fill[b] == at + k % per * s
-                fill[b] += s
-        assert dict(seen) == counts and max(fill.values()) <= 64
+        whole = sweep([(NEXT, 0, 0, 0, 0, 0, 0)] + [(PIECE, s, 0, n, 0, 0, 0) for s, n in counts.items()], 64, True)
+        plans = [[(v, a, n, f, p, o) for k, v, a, n, f, p, o in whole if k == PLACED]]
+        if seed < 2:  # all supersteps
+            plans.append([tuple(x) for x in place(spark.createDataFrame(list(counts.items()), "length long, n long"), 64, 3).collect()])
+        for plan in plans:
+            fill, seen = defaultdict(int), defaultdict(int)
+            for s, r0, n, first, per, at in sorted(plan, key=lambda x: x[5]):
+                seen[s] += n
+                for k in range(n):
+                    b = first + k // per
+                    assert fill[b] == at + k % per * s
+                    fill[b] += s
+            assert dict(seen) == counts and max(fill.values()) <= 64
+            for size in counts:  # ranks of a size follow each other
+                spans = sorted((r0, n) for s, r0, n, *_ in plan if s == size)
+                assert [r for r, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))]
+
+
+def test_supersteps_reach_the_bound(spark):
+    """Sizes of the generated documents, many and mixed: no more sequences than tokens need, or one for each piece over half."""
+    from tessella.llm.packing import LENGTH, place
+
+    r = np.random.default_rng(8)
+    for sizes in (r.integers(1, 700, 3000), np.r_[r.integers(1, LENGTH + 1, 2000), r.integers(1, 200, 9000)], np.full(500, 2048), np.full(700, 1100), np.full(5000, 1)):
+        counts = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True)), strict=True))
+        plan = place(spark.createDataFrame(list(counts.items()), "length long, n long")).collect()
+        bins = {x.first + k // x.per for x in plan for k in range(x.ranks)}
+        assert len(bins) <= max(-(-int(sizes.sum()) // LENGTH) + 1, int((sizes * 2 > LENGTH).sum()))
 
 
 def test_tokens_equal_the_file():
