@@ -79,17 +79,18 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         # 1. a level with very many siblings is variable
         shape = F.concat_ws("/", F.transform(F.slice("segs", level + 2, deepest), lambda s: F.when(s.rlike(r"^\{.\}$"), s).otherwise(F.lit("*"))))
         sib = here.groupBy("host", "tpl", "seg").agg(F.sum("m").alias("m"), F.sum("b").alias("b"), F.max(shape).alias("shape"), F.count("*").alias("held"))
+        sib = materialize(sib, "url-siblings")  # each step is a table of its own, so that no plan holds another twice
         wide = sib.groupBy("host", "tpl").agg(F.count("*").alias("siblings"), F.sum("m").alias("pm"), F.sum("b").alias("pb"), F.sum("held").alias("branch"))
         # 2. branches of one shape merge when their shares of blocked labels lie within two standard errors of the parent's
-        j = join_counted(sib, wide, ["host", "tpl"], "siblings", total)
+        j = materialize(join_counted(sib, materialize(wide, "url-wide"), ["host", "tpl"], "siblings", total), "url-branches")
         p = (F.col("pb") + 1) / (F.col("pm") + 2)
         far = F.abs(F.col("b") - F.col("m") * p) > 2 * F.sqrt(F.col("m") * p * (1 - p) + 0.25)
         like = (F.col("m") > 0) & ~far
         # a branch without labels says nothing against the labelled ones of its shape
         kin = j.groupBy("host", "tpl", "shape").agg(F.max(like).alias("kin"), F.count("*").alias("alike"))
-        j = join_counted(j, kin, ["host", "tpl", "shape"], "alike", total)
+        j = join_counted(j, materialize(kin, "url-kin"), ["host", "tpl", "shape"], "alike", total)
         name = F.when(F.col("siblings") >= fan_out, F.lit("*")).when(F.col("seg").rlike(r"^\{.\}$"), F.col("seg")).when(like | ((F.col("m") == 0) & F.col("kin")), F.concat(F.lit("*:"), F.col("shape"))).otherwise(F.col("seg"))
-        names = j.select("host", "tpl", "seg", "held", "branch", name.alias("name"))
+        names = materialize(j.select("host", "tpl", "seg", "held", "branch", name.alias("name")), "url-names")
         named = join_counted(here, names, ["host", "tpl", "seg"], "held", total)
         # a path that is alone in its branch can't merge any further down: the rest of it names its template
         done = (F.size("segs") == level + 1) | (F.col("branch") == 1)
@@ -100,13 +101,14 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             break
     leaf = leaf.withColumn("template", F.concat(F.lit("/"), F.array_join("tpl", "/")))
     tpl = leaf.groupBy("host", "template").agg(F.sum("m").alias("m"), F.sum("b").alias("b"), F.count("*").alias("paths"))
+    tpl = materialize(tpl, "url-templates")
     hosts = tpl.groupBy("host").agg(((F.sum("b") + 1) / (F.sum("m") + 2)).alias("prior"), F.sum("m").alias("hm"), F.count("*").alias("templates"))
-    tpl = join_counted(tpl, hosts, ["host"], "templates", total)
+    tpl = join_counted(tpl, materialize(hosts, "url-hosts"), ["host"], "templates", total)
     # a host without labels has no evidence: its share is nought
     purity = F.when(F.col("hm") == 0, F.lit(0.0)).otherwise((F.col("b") + strength * F.col("prior")) / (F.col("m") + strength))
     # without labels of its own a template has its host's share, as far as the host's labels are sure of it
     error = F.sqrt(F.col("prior") * (1 - F.col("prior")) / (F.col("hm") + 3))
-    judged = tpl.select("host", "template", "paths", F.when(F.col("m") > 0, purity).otherwise(F.greatest(F.lit(0.0), purity - 2 * error)).alias("purity"))
+    judged = materialize(tpl.select("host", "template", "paths", F.when(F.col("m") > 0, purity).otherwise(F.greatest(F.lit(0.0), purity - 2 * error)).alias("purity")), "url-purity")
     per_key = materialize(join_counted(leaf.select("host", "segs", "n", "template"), judged, ["host", "template"], "paths", total).select("host", "segs", "n", "template", "purity"), "url-judged")
     out = join_counted(d, per_key, ["host", "segs"], "n", total)
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("purity") > reject, F.lit("block")).otherwise("allow")).alias("verdict"), "template", "purity")
