@@ -170,7 +170,19 @@ _REWARD = f""",
 SELECT d.conv_id, d.turn, round((CASE WHEN coalesce(f.f1, 0) < 0.2 THEN 0 ELSE 2 * f.f1 END + {_D_FORMAT})::double, 9) AS reward FROM done d LEFT JOIN f ON f.conv_id = d.conv_id AND f.turn = d.turn"""
 _D_EM = f"CASE WHEN {_d_norm('answer')} IN ({_d_norm('nxt')}, {_d_norm('text')}) THEN 1 ELSE 0 END"
 
+_WRAPPED = f"""
+SELECT conv_id, turn, concat(CASE WHEN turn % 2 = 0 THEN concat('So the next query is <query>', replace(regexp_replace({_d_strip("text || '\".'")}, '[."]+\\z', ''), '"', ''), '</query>') ELSE concat('Then ', text, '".') END,
+  ' So the answer is <answer>', regexp_replace({_d_strip("nxt || '\".'")}, '[."]+\\z', ''), '</answer> So the answer is <answer>', nxt, '</answer>') AS answer FROM x"""
+
+
+def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opening = F.when(F.col("turn") % 2 == 0, 'So the next query is "').otherwise("Then ")
+    text = F.concat(opening, F.col("text"), F.lit('". So the answer is '), "nxt", F.lit('". So the answer is “'), "nxt", F.lit("”"))
+    return _turns(spark, sf_dir).select(*KEYS, X.wrap_clauses(text).alias("answer"))
+
+
 CALLS = [
+    ("wrapped_clauses", _clauses, _TURNS + _WRAPPED),
     _per_turn("answer_span_v1", X.first_answer_span, _SPAN + " SELECT conv_id, turn, answer FROM f"),
     _per_turn("answer_sentence_v2", X.first_answer_sentence, _SPAN + rf""" SELECT conv_id, turn, CASE WHEN regexp_matches(answer, '(?is)\A(yes|no){_EDGE}') THEN regexp_extract(answer, '(?i)\A(yes|no)', 1) ELSE {_d_strip(r"regexp_replace(answer, '(?s)[.!?]\s+[A-Z0-9].*\z', '')")} END AS answer FROM f"""),
     _per_turn("answer_raw_v1", X.extractor("raw_v1"), _TAIL + f" SELECT conv_id, turn, {_d_strip('p')} AS answer FROM s3"),

@@ -5,18 +5,18 @@ from ._dialect import pair
 _TREND = """
 WITH e AS (SELECT user_id, event_id, ts, value AS h, event_type IN ('click', 'view', 'purchase') AS content FROM events),
      p AS (SELECT user_id, event_id, ts, h, content, {last_h} OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM e),
-     a AS (SELECT user_id, event_id, ts, CASE WHEN content AND prev IS NOT NULL THEN round(h - prev, 6) ELSE cast(0 AS double) END AS s1 FROM p),
+     a AS (SELECT user_id, event_id, ts, CASE WHEN content AND prev IS NOT NULL THEN h - prev ELSE cast(0 AS double) END AS s1 FROM p),
      b AS (SELECT user_id, event_id, ts, s1, {last_s} OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ps FROM a),
-     t AS (SELECT user_id, event_id, ts, s1, CASE WHEN s1 <> 0 AND ps IS NOT NULL THEN round(s1 - ps, 6) ELSE cast(0 AS double) END AS s2 FROM b)"""
+     t AS (SELECT user_id, event_id, ts, s1, CASE WHEN s1 <> 0 AND ps IS NOT NULL THEN s1 - ps ELSE cast(0 AS double) END AS s2 FROM b)"""
 _S = {"last_h": "last_value(CASE WHEN content THEN h END, true)", "last_s": "last_value(nullif(s1, 0), true)"}
 _D = {"last_h": "last_value(CASE WHEN content THEN h END IGNORE NULLS)", "last_s": "last_value(nullif(s1, 0) IGNORE NULLS)"}
 _END = " SELECT user_id, event_id, round(s1, 6) AS s1, round(s2, 6) AS s2 FROM t"
 _SMOOTH = """,
-     z AS (SELECT user_id, event_id, ts, s2, cast(sum(cast(s2 AS decimal(28, 6))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS double) / count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m, lag(s2, 1, cast(0 AS double)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM t WHERE s2 <> 0),
-     w AS (SELECT user_id, event_id, ts, s2, p, cast(0.9 AS double) + cast(0.1 AS double) * abs(p - m) / nullif(abs(s2 - m) + abs(p - m), 0) AS a FROM z),
+     z AS (SELECT user_id, event_id, ts, s2, sum(s2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m, lag(s2, 1, cast(0 AS double)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM t WHERE s2 <> 0),
+     w AS (SELECT user_id, event_id, ts, s2, p, cast(0.9 AS double) + cast(0.1 AS double) * coalesce(abs(p - m) / nullif(abs(s2 - m) + abs(p - m), 0), 0) AS a FROM z),
      y AS (SELECT user_id, event_id, ts, a * s2 + (1 - a) * p AS trend FROM w)"""
-_SMOOTH_END = " SELECT user_id, event_id, round(trend + 1e-7, 3) AS trend FROM y"
-_TRIGGER = " SELECT user_id, event_id, round(trend + 1e-7, 3) AS trend FROM (SELECT user_id, event_id, trend, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM y WHERE trend > 100) q WHERE rn = 1"
+_SMOOTH_END = " SELECT user_id, event_id, cast(round(cast(trend AS decimal(28, 10)), 6) AS double) AS trend FROM y"
+_TRIGGER = " SELECT user_id, event_id, cast(round(cast(trend AS decimal(28, 10)), 6) AS double) AS trend FROM (SELECT user_id, event_id, trend, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM y WHERE trend > 100) q WHERE rn = 1"
 # a user's first signup and first error stay, and five others at evenly spaced ranks, halves to even
 _BUDGET = """
 WITH e AS (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),

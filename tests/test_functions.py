@@ -46,8 +46,18 @@ def test_tags(spark):
     good = "x</step><subquery>q</subquery><retrieval>r</retrieval><step>s</step><subanswer>a</subanswer><step>t</step><answer>f</answer>"
     assert one(spark, X.format_reward(F.col("t")), t=good) == 1 and one(spark, X.format_reward(F.col("t")), t=good + "<step>") == -1
     assert one(spark, X.last_tagged_answer(F.col("t")), t="So the answer is <answer>a. b</answer> or <answer>c. d</answer>") == "c"
-    assert one(spark, X.wrap_clauses("t"), t='So the next query is "who?". So the answer is Rome.') == "So the next query is <query>who?</query> So the answer is <answer>Rome</answer>"
-    assert one(spark, X.wrap_clauses("t"), t="So the answer is <answer>x</answer>") == "So the answer is <answer>x</answer>"
+    assert one(spark, X.wrap_clauses(F.col("t")), t='So the next query is "who?". So the answer is Rome.') == "So the next query is <query>who?</query> So the answer is <answer>Rome</answer>"
+    assert one(spark, X.wrap_clauses(F.col("t")), t="So the answer is <answer>x</answer>") == "So the answer is <answer>x</answer>"
+    wrapped = {
+        "So the next is a \"b\" c. So the answer is “x”. So the answer is y.": "So the next is <query>a b c</query> So the answer is <answer>“x”</answer> So the answer is <answer>y</answer>".replace("“x”", "x"),
+        "no clause at all.": "no clause at all.",
+        "So the answer is <answer>x</answer>. So the answer is z": "So the answer is <answer>x</answer> So the answer is <answer>z</answer>",
+        "first\nSo the answer is two\nlines.\n": "first\nSo the answer is <answer>two\nlines</answer>",
+        "": "",
+        None: None,
+    }
+    for text, want in wrapped.items():
+        assert one(spark, X.wrap_clauses(F.col("t").cast("string")), t=text) == want
     assert one(spark, X.last_integer(F.col("t")), t="1 and -12 or") == -12.0 and one(spark, X.last_integer(F.col("t")), t="none") is None
 
 
