@@ -1,68 +1,86 @@
-"""Search trees as adjacency tables (tree, node, parent, depth, ...), worked level by level.
+"""Search trees as adjacency tables (tree, node, parent, depth, ...), worked by path doubling.
 
-A level is read once and meets only the level below or above it, so no closure of
-ancestors is built. The queries take a user's events in order as a heap: the parent
-of node k is (k - 1) div 2.
+In round k a node knows its ancestor 2^k steps up and what lies between, so a tree of
+depth d takes log2(d) rounds, and neither a closure of ancestors nor a plan a level is
+built. Each round is a table in the shared folder. The queries take a user's events in
+order as a heap: the parent of node k is (k - 1) div 2.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 
+from ._shared import discard, materialize
+
 KEY = ["tree", "node"]
 EXACT = "decimal(28,12)"  # sums of it don't depend on order
+WEIGHT = "decimal(20,16)"
 
 
 def _deepest(nodes: DataFrame) -> int:
     return nodes.agg(F.coalesce(F.max("depth"), F.lit(-1))).first()[0]
 
 
-def _upwards(nodes: DataFrame, start: Callable[[DataFrame], DataFrame], to_parent: list[Column], finish: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Levels from the deepest to the root: finish(level left joined with to_parent aggregates of its children)."""
-    deepest = _deepest(nodes)
-    done, below = [], None
-    for depth in range(deepest, -1, -1):
-        level = nodes.filter(F.col("depth") == depth)
-        if below is None:
-            level = start(level)
-        else:
-            level = level.join(below.groupBy("tree", F.col("parent").alias("node")).agg(*to_parent), KEY, "left")
-        below = finish(level)
-        done.append(below)
-    if not done:
-        return finish(start(nodes))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
-
-
-def backpropagate(nodes: DataFrame, gamma: float) -> DataFrame:
-    """tree, node, visits, q: every node's reward goes to itself and, times gamma a step, to all its ancestors."""
-    none = lambda df: df.withColumns({"below_n": F.lit(None).cast("long"), "below_q": F.lit(None).cast(EXACT)})
-    given = [F.sum("visits").alias("below_n"), F.sum((F.col("q").cast("double") * gamma).cast(EXACT)).cast(EXACT).alias("below_q")]
-    total = lambda df: df.select(*KEY, "parent", (F.coalesce("below_n", F.lit(0)) + 1).alias("visits"), (F.col("reward").cast(EXACT) + F.coalesce("below_q", F.lit(0).cast(EXACT))).cast(EXACT).alias("q"))
-    return _upwards(nodes, none, given, total).select(*KEY, "visits", F.col("q").cast("double").alias("q"))
+def _longer_jumps(state: DataFrame, span: int, *carried: str) -> DataFrame:
+    """state with up_jump and the carried columns of the ancestor at jump, null where there is none; only nodes deeper than span have one."""
+    ancestors = state.select("tree", F.col("node").alias("jump"), *(F.col(c).alias(f"up_{c}") for c in ("jump", *carried)))
+    deep = state.filter(F.col("depth") >= span).join(ancestors, ["tree", "jump"])
+    return deep.unionByName(state.filter(F.col("depth") < span), allowMissingColumns=True)
+
+
+def to_ancestors(nodes: DataFrame, values: dict[str, Column], weight: Column) -> DataFrame:
+    """tree, node and for each value the sum over the node and all its descendants, each times the weights on its way up.
+
+    weight is a node's on the step to its parent. A sum keeps its value's type, so
+    decimals don't depend on order. Nodes need depth, 0 at the root.
+    """
+    kinds = dict(nodes.select(*(v.alias(c) for c, v in values.items())).dtypes)
+    state = materialize(nodes.select(*KEY, "depth", F.col("parent").alias("jump"), weight.alias("w"), *(v.alias(c) for c, v in values.items())), "tree-sums")
+    deepest, span = _deepest(state), 1
+    kind = dict(state.dtypes)["w"]
+    while span <= deepest:
+        given = state.filter("jump IS NOT NULL").groupBy("tree", F.col("jump").alias("node")).agg(*(F.sum((F.col(c) * F.col("w")).cast(kinds[c])).cast(kinds[c]).alias(f"add_{c}") for c in values))
+        longer = _longer_jumps(state, span, "w") if 2 * span <= deepest else state.withColumns({"up_jump": F.lit(None).cast("long"), "up_w": F.lit(None).cast(kind)})
+        new = longer.join(given, KEY, "left").select(*KEY, "depth", F.col("up_jump").alias("jump"), (F.col("w") * F.col("up_w")).cast(kind).alias("w"), *((F.col(c) + F.coalesce(f"add_{c}", F.lit(0))).cast(kinds[c]).alias(c) for c in values))
+        new = materialize(new, "tree-sums")
+        discard(state)
+        state, span = new, 2 * span
+    return state.select(*KEY, *values)
+
+
+def backpropagate(nodes: DataFrame, gamma: float, mean: bool = False) -> DataFrame:
+    """tree, node, visits, q: every node's reward goes to itself and, times gamma a step, to all its ancestors.
+
+    mean: q is the running mean of what came, which ends as the sum over the visits.
+    """
+    one = F.lit(1).cast("long")
+    visits = to_ancestors(nodes, {"visits": one}, one)
+    sums = to_ancestors(nodes, {"q": F.col("reward").cast(EXACT)}, F.lit(gamma).cast(WEIGHT))
+    q = F.col("q").cast("double")
+    return visits.join(sums, KEY).select(*KEY, "visits", (q / F.col("visits") if mean else q).alias("q"))
 
 
 def bottom_up_reward(nodes: DataFrame, beta: float) -> DataFrame:
     """tree, node, reward: leaves have f1 * beta^step or null without an answer, others the visit-weighted mean of their children's.
 
     nodes has visits, step and f1, null where a node has no answer. Children without a
-    reward don't count; without visits in those that do, the reward is null.
+    reward don't count; without visits in those that do, the reward is null. A node so
+    has a reward if an answered leaf lies below it, with visits all the way, and the
+    reward is the sum of such leaves' times each step's share of the siblings' visits.
     """
-    none = lambda df: df.withColumns({"kids": F.lit(None).cast("long"), "w": F.lit(None).cast("long"), "s": F.lit(None).cast(EXACT)})
-    has = F.col("r").isNotNull()
-    given = [F.count("*").alias("kids"), F.sum(F.when(has, F.col("visits"))).alias("w"), F.sum(F.when(has, F.col("r").cast("decimal(20,12)") * F.col("visits").cast("decimal(12,0)"))).cast(EXACT).alias("s")]
-    leaf = F.col("f1") * F.pow(F.lit(beta), F.col("step"))
-    mean = F.when(F.col("w") > 0, F.col("s").cast("double") / F.col("w"))
-    finish = lambda df: df.select(*KEY, "parent", "visits", F.when(F.col("kids").isNull(), leaf).otherwise(mean).cast(EXACT).alias("r"))
-    return _upwards(nodes, none, given, finish).select(*KEY, F.col("r").cast("double").alias("reward"))
+    inner = nodes.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    n = nodes.join(inner, KEY, "left").withColumn("leaf", F.when(F.col("inner").isNull(), F.col("f1") * F.pow(F.lit(beta), F.col("step"))))
+    n = materialize(n.select(*KEY, "parent", "depth", F.coalesce("visits", F.lit(0)).alias("visits"), "leaf"), "tree-leaves")
+    answered = to_ancestors(n, {"answers": F.col("leaf").isNotNull().cast("double")}, (F.col("visits") > 0).cast("double"))
+    known = materialize(n.join(answered, KEY).withColumn("has", F.col("answers") > 0), "tree-answers")
+    weight = F.when(F.col("has"), F.col("visits")).otherwise(0).cast("double")
+    whole = known.groupBy("tree", "parent").agg(F.sum(weight).alias("all"))
+    shares = known.join(whole, ["tree", "parent"], "left").withColumn("share", F.when(F.col("all") > 0, weight / F.col("all")).otherwise(0.0))
+    sums = to_ancestors(shares, {"reward": F.coalesce("leaf", F.lit(0.0))}, F.col("share"))
+    return known.select(*KEY, "has").join(sums, KEY).select(*KEY, F.when(F.col("has"), F.col("reward")).alias("reward"))
 
 
 def best_child(nodes: DataFrame, rule: str = "puct", c: float = 1.4) -> DataFrame:
@@ -103,15 +121,21 @@ def flatten(nodes: DataFrame, least: int = 1, descend: int = 3, joint: str = " >
     """tree, node, depth, path: nodes reached from the root through nodes of `descend` visits, with the text on the way.
 
     Children need `least` visits and be well formed; nodes has n, content and well_formed.
+    In each round a path grows at its front by its first node's ancestors' of the same
+    length; nodes whose way is broken are dropped as soon as that is known.
     """
-    level = nodes.filter("depth = 0").select(*KEY, "depth", "n", F.col("content").alias("path"))
-    out = level
-    for depth in range(1, _deepest(nodes) + 1):
-        wide = level.filter(F.col("n") >= descend).select("tree", F.col("node").alias("parent"), F.col("path").alias("before"))
-        here = nodes.filter((F.col("depth") == depth) & (F.col("n") >= least) & F.col("well_formed"))
-        level = here.join(wide, ["tree", "parent"]).select(*KEY, "depth", "n", F.concat("before", F.lit(joint), "content").alias("path"))
-        out = out.unionByName(level)
-    return out.drop("n")
+    parents = nodes.filter(F.col("n") >= descend).select("tree", F.col("node").alias("parent"))
+    reached = nodes.filter((F.col("depth") > 0) & (F.col("n") >= least) & F.col("well_formed")).join(parents, ["tree", "parent"], "left_semi")
+    every = nodes.filter("depth = 0").unionByName(reached)
+    state = materialize(every.select(*KEY, "depth", F.col("parent").alias("jump"), F.col("content").alias("path")), "tree-paths")
+    deepest, span = _deepest(state), 1
+    while span <= deepest:
+        longer = _longer_jumps(state, span, "path")
+        new = longer.select(*KEY, "depth", F.col("up_jump").alias("jump"), F.concat(F.coalesce(F.concat("up_path", F.lit(joint)), F.lit("")), F.col("path")).alias("path"))
+        new = materialize(new, "tree-paths")
+        discard(state)
+        state, span = new, 2 * span
+    return state.select(*KEY, "depth", "path")
 
 
 # ---- queries and their SQL
@@ -129,16 +153,21 @@ _N = """
 WITH RECURSIVE n AS (SELECT user_id AS tree, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS node, event_id, value, event_type FROM events),
      t AS (SELECT tree, node, CASE WHEN node > 0 THEN (node - 1) // 2 END AS parent, length(bin(node + 1)) - 1 AS depth, value AS reward, event_id % 6 AS n, CASE WHEN event_type <> 'error' THEN (event_id % 11) / 10::double END AS f1, value / 100 AS q, (event_id % 7) / 7::double AS prior, event_type FROM n)"""
 _UP = """, up AS (SELECT tree, node, node AS anc, 0 AS dist, reward FROM t UNION ALL SELECT tree, node, (anc - 1) // 2, dist + 1, reward FROM up WHERE anc > 0)
-SELECT tree, anc AS node, count(*) AS visits, round(sum((reward * power(0.9::double, dist))::decimal(28,12))::double + 1e-7, 3) AS q FROM up GROUP BY tree, anc"""
+SELECT tree, anc AS node, count(*) AS visits, round(sum((reward * power(0.9::double, dist))::decimal(28,12)), 6)::double AS q FROM up GROUP BY tree, anc"""
 _LEVELS = 24  # the SQL's levels; a heap of 2^24 nodes
 
 
+def _six(c: str) -> Column:
+    """Six decimals, rounded as a decimal: halves are exact."""
+    return F.round(F.col(c).cast(EXACT), 6).cast("double")
+
+
 def _bottom_up_sql() -> str:
     text = _N.replace("RECURSIVE ", "")
     for d in range(_LEVELS, -1, -1):
         kids = "(SELECT NULL::bigint AS tree, NULL::bigint AS parent, 0 AS kids, 0 AS w, 0::double AS s WHERE false)" if d == _LEVELS else f"(SELECT tree, parent, count(*) AS kids, sum(CASE WHEN r IS NOT NULL THEN n END) AS w, sum(CASE WHEN r IS NOT NULL THEN r * n END)::double AS s FROM l{d + 1} GROUP BY tree, parent)"
         text += f", l{d} AS (SELECT t.tree, t.node, t.parent, t.n, CASE WHEN k.kids IS NULL THEN t.f1 * power(0.9::double, t.depth) WHEN k.w > 0 THEN k.s / k.w END::decimal(28,12) AS r FROM t LEFT JOIN {kids} k ON k.tree = t.tree AND k.parent = t.node WHERE t.depth = {d})"
-    return text + " " + " UNION ALL ".join(f"SELECT tree, node, round(r::double + 1e-9, 6) AS reward FROM l{d}" for d in range(_LEVELS + 1))
+    return text + " " + " UNION ALL ".join(f"SELECT tree, node, round(r, 6)::double AS reward FROM l{d}" for d in range(_LEVELS + 1))
 
 
 def _child_sql(score: str) -> str:
@@ -146,8 +175,9 @@ def _child_sql(score: str) -> str:
 
 
 CALLS = [
-    ("tree_backprop", lambda spark, sf_dir: backpropagate(_nodes(spark, sf_dir), 0.9).withColumn("q", F.round(F.col("q") + 1e-7, 3)), _N + _UP),
-    ("tree_bottom_up", lambda spark, sf_dir: bottom_up_reward(_nodes(spark, sf_dir), 0.9).withColumn("reward", F.round(F.col("reward") + 1e-9, 6)), _bottom_up_sql()),
+    ("tree_backprop", lambda spark, sf_dir: backpropagate(_nodes(spark, sf_dir), 0.9).withColumn("q", _six("q")), _N + _UP),
+    ("tree_running_mean", lambda spark, sf_dir: backpropagate(_nodes(spark, sf_dir), 1.0, True).withColumn("q", _six("q")), _N + _UP.replace("power(0.9::double, dist)", "1").replace("round(sum((reward * 1)::decimal(28,12)), 6)::double AS q", "round((sum((reward * 1)::decimal(28,12))::double / count(*))::decimal(28,12), 6)::double AS q")),
+    ("tree_bottom_up", lambda spark, sf_dir: bottom_up_reward(_nodes(spark, sf_dir), 0.9).withColumn("reward", _six("reward")), _bottom_up_sql()),
     ("best_child_puct", lambda spark, sf_dir: best_child(_nodes(spark, sf_dir), "puct"), _child_sql("c.q / (c.n + 1e-8) + 1.4::double * c.prior * sqrt(p.n) / (1 + c.n)")),
     ("best_child_uct", lambda spark, sf_dir: best_child(_nodes(spark, sf_dir), "uct"), _child_sql("CASE WHEN c.n > 0 THEN c.q + 1.4::double * sqrt(ln(greatest(p.n, 1)) / c.n) ELSE 'infinity'::double END")),
     ("best_child_visits", lambda spark, sf_dir: best_child(_nodes(spark, sf_dir), "visits"), _child_sql("c.n::double")),
