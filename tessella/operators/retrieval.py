@@ -2,96 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 
 from ._dialect import pair
+from .lexical import bm25, terms
+from .vectors import dense
 
-K1, B = 1.2, 0.75
-BROADCAST = 1 << 20  # query terms that go to every executor
-BLOCK = 4096  # query vectors that meet all vectors in one pass
-UNIT = 10**9  # scores are summed as whole numbers of its parts, in whatever order
-
-
-def terms(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-
-
-def bm25(queries: DataFrame, docs: DataFrame, fields: dict[str, Column], k: int, skip: int = 0, tie: float = 0.5, query_id: str = "item_id", query: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """query id, doc id, score, rank from skip + 1: the best k documents behind the first skip ones.
-
-    A document's score is its best field's and tie times the others'. Document
-    frequencies and mean lengths are the whole corpus's. Only words of the queries
-    leave the scan: a document is cut into words once, its length counted in place.
-    Equal scores to six decimals rank by doc id.
-    """
-    if k < 1 or skip < 0:
-        raise ValueError("k must be positive and skip not negative")
-    asked = queries.select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
-    wanted = asked.select("term").distinct()
-    small = wanted.limit(BROADCAST + 1).count() <= BROADCAST
-    cut = docs.select(F.col(doc_id).alias("did"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(c).alias("ws")) for f, c in fields.items()])).alias("x")).select("did", "x.field", "x.ws")
-    sizes = cut.filter(F.size("ws") > 0).groupBy("field").agg(F.count("*").alias("docs"), F.avg(F.size("ws").cast("double")).alias("mean"))  # a row a field
-    posts = cut.select("did", "field", F.size("ws").alias("len"), F.explode("ws").alias("term")).join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
-    # a document's words stay together from here on: neither its counts nor its scores move again
-    posts = posts.repartition("did").groupBy("did", "field", "len", "term").agg(F.count("*").alias("tf"))
-    df = posts.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "field")
-    weight = df.select("field", "term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
-    known = asked.join(weight, "term")
-    tf = F.col("tf").cast("double")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    met = posts.join(F.broadcast(known) if small else known, ["field", "term"]).select("qid", "did", "field", F.round(part * UNIT).cast("long").alias("part"))
-    one = met.groupBy("qid", "did", "field").agg(F.sum("part").alias("s"))
-    hit = one.groupBy("qid", "did").agg(F.round(F.max("s") / UNIT + tie * (F.sum("s") / UNIT - F.max("s") / UNIT), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "did"))
-    top = hit.withColumn("rank", rank).filter((F.col("rank") > skip) & (F.col("rank") <= skip + k))
-    return top.select(F.col("qid").alias(query_id), F.col("did").alias(doc_id), "score", F.col("rank").cast("long").alias("rank"))
-
-
-def dense(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "vec_id", vector_id: str = "vec_id", column: str = "embedding", normalise: bool = False, apart: bool = True) -> DataFrame:
-    """qid, vec_id, score, rank: the k vectors of the greatest inner products, in double precision, to six decimals.
-
-    BLOCK queries at a time go to all vectors, which are read where they lie and met by
-    matrix products; a batch gives its best k for each query. normalise: vectors of
-    length one; apart: a vector isn't its own answer. Null vectors have no answers.
-    """
-    ids = sorted((r[0], r[1]) for r in queries.filter(F.col(column).isNotNull()).select(F.col(query_id).cast("long"), F.col(column).cast("array<double>")).collect()) if queries.limit(BLOCK + 1).count() <= BLOCK else None
-    if ids is None:  # more than a block: each pass takes those of one hash
-        passes = -(-queries.count() // (BLOCK // 2))
-        parts = [dense(queries.filter(F.pmod(F.xxhash64(query_id), F.lit(passes)) == p), vectors, k, query_id, vector_id, column, normalise, apart) for p in range(passes)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    qid = np.array([i for i, _ in ids], np.int64)
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if normalise else m
-    q = unit(np.array([v for _, v in ids], np.float64)) if ids else np.zeros((0, 1))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows or not len(qid):
-                continue
-            name = b["id"].to_numpy()
-            score = np.round(q @ unit(b["v"].flatten().to_numpy().reshape(b.num_rows, -1)).T, 6) + 0.0
-            if apart:
-                score[qid[:, None] == name[None]] = -np.inf
-            # by score, then id: equal scores at the edge are settled by the sort of all
-            order = np.lexsort((np.broadcast_to(name, score.shape), -score), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(qid)), order.shape[1])
-            s = np.take_along_axis(score, order, 1).ravel()
-            ok = np.isfinite(s)
-            yield pa.RecordBatch.from_arrays([pa.array(qid[rows][ok]), pa.array(name[order.ravel()][ok]), pa.array(s[ok])], names=["qid", "vec_id", "score"])
-
-    found = vectors.filter(F.col(column).isNotNull()).select(F.col(vector_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).mapInArrow(best, "qid long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")).cast("long")
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-
+__all__ = ["bm25", "dense", "query_candidates", "rerank", "retriever", "terms", "with_metadata"]
 
 def retriever(name: str) -> Callable[..., DataFrame]:
     """The search of that name: bm25 or dense."""
