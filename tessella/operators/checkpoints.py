@@ -6,8 +6,11 @@ rules call state is windows over a trace in the order of token_index.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 # The two patterns, and the order of types at one token.
 ANSWER = r"(?i)(?<![\p{L}\p{N}_])the answer is(?![\p{L}\p{N}_])"
@@ -92,6 +95,33 @@ def nearest_earlier(states: DataFrame, keys: list[str], kind: str = "sentence_bo
     return states.withColumn("prior", F.last(F.when(F.col("checkpoint_type") == kind, body), ignorenulls=True).over(w))
 
 
+def pool_spans(traces: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, target, attention as pool_attention() gives them, from a row a trace: no row of a token pair exists.
+
+    traces: keys, attention (the row-major matrix of targets' tokens by sources' tokens,
+    an array), targets and sources (the first token of each word, then the count of
+    tokens). A word's tokens are those from its start up to the next.
+    """
+    def pool(batches):
+        for b in batches:
+            where, word, share = [], [], []
+            for i, (flat, rows, columns) in enumerate(zip(b["attention"], b["targets"].to_pylist(), b["sources"].to_pylist(), strict=True)):
+                if flat.as_py() is None or len(rows or ()) < 2 or len(columns or ()) < 2:
+                    continue
+                m = np.asarray(flat.values.to_numpy(zero_copy_only=False), np.float64).reshape(rows[-1], columns[-1])
+                summed = np.add.reduceat(m, columns[:-1], axis=1)
+                mean = np.add.reduceat(summed, rows[:-1], axis=0) / np.diff(rows)[:, None]
+                total = mean.sum(1)
+                where += [i] * len(mean)
+                word += range(len(mean))
+                share += np.divide(mean.max(1), total, out=np.zeros(len(mean)), where=total != 0).tolist()
+            at = pa.array(where, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b[k].take(at) for k in keys), pa.array(word, pa.int32()), pa.array(share, pa.float64())], names=[*keys, "target", "attention"])
+
+    schema = StructType([*traces.select(*keys).schema.fields, StructField("target", IntegerType()), StructField("attention", DoubleType())])
+    return traces.select(*keys, F.col("attention").cast("array<double>").alias("attention"), "targets", "sources").mapInArrow(pool, schema)
+
+
 def pool_attention(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, target, attention: for each target word the greatest share of a source word.
 
@@ -125,24 +155,41 @@ def _trigger(spark, sf_dir):
 
 
 def _traces(spark, sf_dir):
-    """A document's first lines, one more at a time, are the prefixes of a trace."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("lines", F.split("text", "\n"))
-    d = d.select("doc_id", "lines", F.posexplode("lines").alias("i", "line"))
+    """A conversation's turns, one more at a time, are the prefixes of a trace."""
+    d = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    d = d.select("conv_id", F.col("turns.text").alias("lines"), F.posexplode("turns").alias("i", "turn"))
     k = F.col("i") + 1
     prefix = F.concat(F.array_join(F.slice("lines", F.lit(1), k), "\n"), F.when(F.col("i") >= 4, " So the answer is x").otherwise(""))
-    return d.filter("i < 40").select("doc_id", (k * 5).cast("long").alias("token_index"), prefix.alias("prefix"), F.array(k).alias("prefix_token_ids"), (k % 3 == 2).alias("triggered"))
+    return d.select("conv_id", (k * 5).cast("long").alias("token_index"), prefix.alias("prefix"), F.array(k).alias("prefix_token_ids"), (k % 3 == 2).alias("triggered"))
 
 
 _SQL = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k, string_split(text, chr(10)) AS ls FROM documents),
-     o AS (SELECT doc_id, k * 5 AS t, array_to_string(ls[1:k], chr(10)) || CASE WHEN k >= 5 THEN ' So the answer is x' ELSE '' END AS prefix, k % 3 = 2 AS hit, k FROM l WHERE k <= 40),
+WITH l AS (SELECT conv_id, row_number() OVER w AS k, list(text) OVER w AS ls FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+     o AS (SELECT conv_id, k * 5 AS t, array_to_string(ls[1:k], chr(10)) || CASE WHEN k >= 5 THEN ' So the answer is x' ELSE '' END AS prefix, k % 3 = 2 AS hit, k FROM l),
      b AS (SELECT *, len(regexp_extract_all(prefix, '[.!?]["'')\]]?(?:[\s\x0B]|\z)')) AS n FROM o WHERE trim(prefix) <> ''),
-     c AS (SELECT doc_id, 'first_etc_trigger' AS checkpoint_type, 1 AS p, min(t) AS t FROM b WHERE hit GROUP BY doc_id UNION ALL SELECT doc_id, 'first_sentence_boundary', 3, min(t) FROM b WHERE n > 0 GROUP BY doc_id
-       UNION ALL SELECT doc_id, 'before_first_answer_marker', 5, max(t) FROM b WHERE k < 5 AND doc_id IN (SELECT doc_id FROM b WHERE k = 5) GROUP BY doc_id),
-     f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY p) AS again FROM c)
-SELECT doc_id, checkpoint_type, t AS token_index, row_number() OVER (PARTITION BY doc_id ORDER BY t, p) - 1 AS checkpoint_index FROM f WHERE again = 1"""
+     c AS (SELECT conv_id, 'first_etc_trigger' AS checkpoint_type, 1 AS p, min(t) AS t FROM b WHERE hit GROUP BY conv_id UNION ALL SELECT conv_id, 'first_sentence_boundary', 3, min(t) FROM b WHERE n > 0 GROUP BY conv_id
+       UNION ALL SELECT conv_id, 'before_first_answer_marker', 5, max(t) FROM b WHERE k < 5 AND conv_id IN (SELECT conv_id FROM b WHERE k = 5) GROUP BY conv_id),
+     f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, t ORDER BY p) AS again FROM c)
+SELECT conv_id, checkpoint_type, t AS token_index, row_number() OVER (PARTITION BY conv_id ORDER BY t, p) - 1 AS checkpoint_index FROM f WHERE again = 1"""
+
+def _matrices(spark, sf_dir):
+    """Events of a user's day: a matrix over their places, weights from the values, words of two tokens."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("day", F.to_date("ts"))
+    t = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("es"))
+    n, w = F.size("es"), F.col("es.value")
+    starts = F.transform(F.sequence(F.lit(0), F.ceil(n / 2).cast("int")), lambda i: F.least(i * 2, n))
+    flat = F.flatten(F.transform("es", lambda x, i: F.transform(w, lambda y, j: y + ((i + j) % 3) * 10.0)))
+    return t.select("user_id", "day", flat.alias("attention"), starts.alias("targets"), starts.alias("sources"))
+
+
+_POOLED = """
+WITH t AS (SELECT user_id, ts::date AS day, value, row_number() OVER (PARTITION BY user_id, ts::date ORDER BY ts, event_id) - 1 AS i FROM events),
+     p AS (SELECT a.user_id, a.day, a.i // 2 AS target, a.i, b.i // 2 AS source, sum(b.value + (a.i + b.i) % 3 * 10.0::double) AS w FROM t a JOIN t b ON a.user_id = b.user_id AND a.day = b.day GROUP BY ALL),
+     m AS (SELECT user_id, day, target, source, avg(w) AS w FROM p GROUP BY ALL)
+SELECT user_id, day, target::int AS target, round(CASE WHEN sum(w) <> 0 THEN max(w) / sum(w) ELSE 0 END, 6) AS attention FROM m GROUP BY user_id, day, target"""
 
 CALLS = [
+    ("pool_spans", lambda spark, sf_dir: pool_spans(_matrices(spark, sf_dir), ["user_id", "day"]).withColumn("attention", F.round("attention", 6)), _POOLED),
     ("sentence_trigger", _trigger, "WITH w AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, (event_id % 17 + 1)::double AS a, (event_id % 13 - 6)::double AS m FROM events), s AS (SELECT *, pos // 8 AS sentence FROM w), v AS (SELECT user_id, pos, sentence, max(pos) OVER z AS sentence_end, a * count(*) OVER z / (sum(a) OVER z + 1e-10::double) * m AS value FROM s WINDOW z AS (PARTITION BY user_id, sentence)) SELECT user_id, pos, sentence, sentence_end, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS k FROM v WHERE value > 14) q WHERE k = 1"),
-    ("checkpoints", lambda spark, sf_dir: finalise(collect(_traces(spark, sf_dir), ["doc_id"]), ["doc_id"]).select("doc_id", "checkpoint_type", "token_index", "checkpoint_index"), _SQL),
+    ("checkpoints", lambda spark, sf_dir: finalise(collect(_traces(spark, sf_dir), ["conv_id"]), ["conv_id"]).select("conv_id", "checkpoint_type", "token_index", "checkpoint_index"), _SQL),
 ]

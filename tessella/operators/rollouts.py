@@ -12,12 +12,19 @@ The queries build bundles from customers (samples), orders (states) and lines (a
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators.ranks import global_rank
 
+from ._shared import materialize
+
 SAMPLE = ["sample_index", "qid"]
 BUCKETS = ("positive", "zero", "negative")
 
@@ -27,6 +34,11 @@ def _guard(ok: Column, message: str, value: Column) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)))
 
 
+def _sound(df: DataFrame, ok: Column, message: str) -> DataFrame:
+    """df in which a row without ok raises, whatever columns are read of it."""
+    return df.filter(_guard(ok, message, F.lit(True)))
+
+
 def _by(entries: Column, key: str) -> Column:
     """Map of an array of structs by one field; a repeated key raises."""
     return F.map_from_entries(F.transform(entries, lambda e: F.struct(e[key], e)))
@@ -35,7 +47,7 @@ def _by(entries: Column, key: str) -> Column:
 def unique_samples(bundles: DataFrame) -> DataFrame:
     """bundles, read with a guard against a sample that occurs twice."""
     n = bundles.groupBy(*SAMPLE).agg(F.count("*").alias("n"))
-    return bundles.join(n, SAMPLE).withColumn("qid", _guard(F.col("n") == 1, "a sample occurs in two bundles", F.col("qid"))).drop("n")
+    return _sound(bundles.join(n, SAMPLE), F.col("n") == 1, "a sample occurs in two bundles").drop("n")
 
 
 def layers(bundles: DataFrame) -> dict[str, DataFrame]:
@@ -52,7 +64,8 @@ def benefits(bundles: DataFrame, metric: str = "f1", accuracy: str = "accuracy")
     inner = bundles.select("*", _by(of_kind("skip"), "state_id").alias("skips"), _by(F.col("states"), "state_id").alias("at"), _by(F.col("queries"), "candidate_id").alias("asked"))
     rows = inner.select(*SAMPLE, "question", "skips", "at", "asked", F.explode(of_kind("retrieve")).alias("a"))
     skip, state, query = (F.try_element_at(F.col(m), F.col(k)) for m, k in (("skips", "a.state_id"), ("at", "a.state_id"), ("asked", "a.query_candidate_id")))
-    rows = rows.select(*SAMPLE, "question", "a", _guard(skip.isNotNull() & state.isNotNull() & query.isNotNull(), "an action lacks its skip, state or query", skip).alias("s"), state["checkpoint_type"].alias("checkpoint"), query["source"].alias("source"))
+    rows = _sound(rows, skip.isNotNull() & state.isNotNull() & query.isNotNull(), "an action lacks its skip, state or query")
+    rows = rows.select(*SAMPLE, "question", "a", skip.alias("s"), state["checkpoint_type"].alias("checkpoint"), query["source"].alias("source"))
     score = lambda c, m: F.col(f"{c}.scores")[m]
     gain = score("a", metric) - score("s", metric)
     return rows.select(
@@ -98,7 +111,7 @@ def attribute(rows: DataFrame, gold: DataFrame) -> DataFrame:
     index = gold_index(gold).withColumnRenamed("documents", "gold_documents")
     index = index.join(index.groupBy("question_key").agg(F.count("*").alias("n")), "question_key")
     r = rows.withColumn("question_key", T.normalize_query(F.col("question"))).join(index, "question_key", "left")
-    r = r.withColumn("titles", _guard(F.col("n") == 1, "a question has no gold or several", F.col("titles")))
+    r = _sound(r, F.col("n") == 1, "a question has no gold or several")
     r = r.withColumn("seen", T.normalize_titles(F.col("documents.title"))).withColumn("texts", T.normalize_texts(F.col("documents.text")))
     found, wanted = F.size(F.array_intersect("seen", "titles")), F.size("titles")
     ranks = F.filter(F.transform("documents", lambda d, i: F.when(F.array_contains("titles", F.get("seen", i)), F.coalesce(d["rank"], i + 1))), lambda x: x.isNotNull())
@@ -117,9 +130,12 @@ def evidence_summary(rows: DataFrame) -> DataFrame:
     return every.join(got, "bucket", "left").fillna(0)
 
 
-def compare_interventions(source: DataFrame, restart: DataFrame, revision: DataFrame | None = None, metric: str = "f1") -> DataFrame:
+def compare_interventions(source: DataFrame, restart: DataFrame, revision: DataFrame | None = None, metric: str = "f1", accuracy: str = "accuracy") -> DataFrame:
     """One row per matched action: sample, action_id, and the scores keep, append, restart (and revision).
 
+    Then each one's accuracy flip against keep, and with a revision whether it fell back
+    to a full restart (its metadata["fallback_to_full_restart"]).
+
     The runs must hold the same samples; restart and revision actions name their
     source action in metadata["original_action_id"] and must have its state and
     documents. Anything else raises.
@@ -132,25 +148,46 @@ def compare_interventions(source: DataFrame, restart: DataFrame, revision: DataF
     whole = F.lit(True)
     for name in runs:
         whole = whole & F.col(name).isNotNull()
-    both = both.withColumn("append", _guard(whole, "the runs hold different samples", _by(F.col("append"), "action_id")))
+    both = _sound(both, whole, "the runs hold different samples").withColumn("append", _by(F.col("append"), "action_id"))
     kind = lambda c, k: F.filter(c, lambda a: a["action_type"] == k)
     keeps = kind("restart", "skip")
-    both = both.withColumn("keep", _guard(F.size(keeps) == 1, "a restart sample has no single KEEP", keeps[0]["scores"][metric]))
+    both = _sound(both, F.size(keeps) == 1, "a restart sample has no single KEEP").withColumn("keep", keeps[0]["scores"][metric])
+    both = both.withColumn("keep_accuracy", keeps[0]["scores"][accuracy])
     original = lambda a: a["metadata"]["original_action_id"].cast("long")
     if revision is not None:
         both = both.withColumn("revised", F.map_from_entries(F.transform(kind("revision", "retrieve"), lambda a: F.struct(original(a), a))))
     rows = both.select("*", F.explode(kind("restart", "retrieve")).alias("r"))
     rows = rows.withColumn("a", F.try_element_at("append", original(F.col("r"))))
 
-    def score(c: str) -> Column:
-        same = (F.col(f"{c}.state_id") == F.col("a.state_id")) & (F.col(f"{c}.retrieved_documents") == F.col("a.retrieved_documents"))
-        return _guard(same, f"{c} doesn't match its source action in state and documents", F.col(f"{c}.scores")[metric])
-
-    out = [*SAMPLE, F.col("a.action_id"), F.col("keep"), F.col("a.scores")[metric].alias("append"), score("r").alias("restart")]
     if revision is not None:
         rows = rows.withColumn("v", F.try_element_at("revised", F.col("a.action_id")))
-        out.append(score("v").alias("revision"))
-    return rows.select(*out)
+    others = {"restart": "r"} | ({"revision": "v"} if revision is not None else {})
+    for name, c in others.items():
+        same = (F.col(f"{c}.state_id") == F.col("a.state_id")) & (F.col(f"{c}.retrieved_documents") == F.col("a.retrieved_documents"))
+        rows = _sound(rows, same, f"{name} doesn't match its source action in state and documents")
+    every = {"append": "a"} | others
+    scores = [F.col(f"{c}.scores")[metric].alias(name) for name, c in every.items()]
+    flips = [T.accuracy_flip(F.col("keep_accuracy"), F.col(f"{c}.scores")[accuracy]).alias(f"{name}_flip") for name, c in every.items()]
+    fell = [F.coalesce(F.col("v.metadata")["fallback_to_full_restart"].cast("boolean"), F.lit(False)).alias("fallback")] if revision is not None else []
+    return rows.select(*SAMPLE, F.col("a.action_id"), F.col("keep"), *scores, *flips, *fell)
+
+
+def intervention_counts(matched: DataFrame) -> DataFrame:
+    """kind, name, actions, samples of compare_interventions(): preference of restart over append, accuracy flips, and strata of the revision."""
+    gain = F.col("restart") - F.col("append")
+    kinds = [F.struct(F.lit("preference").alias("kind"), F.when(gain > 0, "restart_better").when(gain < 0, "append_better").otherwise("tie").alias("name"))]
+    kinds += [F.struct(F.lit(c).alias("kind"), F.col(c).alias("name")) for c in ("append_flip", "restart_flip", "revision_flip") if c in matched.columns]
+    if "fallback" in matched.columns:
+        kinds.append(F.struct(F.lit("revision_stratum").alias("kind"), F.when(F.col("fallback"), "fallback_to_full_restart").otherwise("true_local_revision").alias("name")))
+    rows = matched.select("sample_index", F.inline(F.array(*kinds)))
+    # a sample's actions combine first, so a distinct count moves one row a sample and name
+    return rows.groupBy("kind", "name", "sample_index").agg(F.count("*").alias("n")).groupBy("kind", "name").agg(F.sum("n").alias("actions"), F.count("*").alias("samples"))
+
+
+def paired_gains(matched: DataFrame) -> DataFrame:
+    """matched with each later intervention's gain over each earlier one, as restart_over_keep; a bootstrap of such a column by sample gives its interval."""
+    names = [n for n in ("keep", "append", "restart", "revision") if n in matched.columns]
+    return matched.withColumns({f"{b}_over_{a}": F.col(b) - F.col(a) for i, b in enumerate(names) for a in names[:i]})
 
 
 def best_operators(matched: DataFrame) -> DataFrame:
@@ -182,6 +219,53 @@ def cluster_bootstrap(rows: DataFrame, cluster: list[str], value: str, samples:
     return estimates.agg(at(low).alias("low"), at(high).alias("high")).crossJoin(means.agg(F.avg("m").alias("mean"), F.count("*").alias("clusters"))).select("mean", "low", "high", "clusters")
 
 
+def _fmix(x: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser in 64-bit words: the SQL form is in poisson_sql()."""
+    for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        x ^= x >> np.uint64(shift)
+        x = (x * np.uint64(times)) & np.uint64(0xFFFFFFFF)
+    return x
+
+
+POISSON = np.floor(np.cumsum([np.exp(-1) / math.factorial(i) for i in range(13)]) * 2**32).astype(np.uint64)  # cut so late that 2^32 draws miss less than one
+PARTS = 10**6  # cluster means are summed as whole numbers of its parts
+
+
+def poisson_bootstrap(rows: DataFrame, cluster: list[str], value: str, samples: int = 1000, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """One row: mean, low, high, clusters, by replicates that merge.
+
+    A cluster stands in a replicate as often as a Poisson variable of mean 1 says, drawn
+    from a hash of the cluster's key and the replicate; an estimate is the weighted mean.
+    A task makes one row of `samples` weights and sums, whatever it reads, and these are
+    added up: no row per cluster and replicate exists. For n clusters the estimates'
+    variance is that of cluster_bootstrap(), the exact grid, but for a share of about
+    1 / n. Means count to six decimals; their sum may reach 9 * 10^12.
+    """
+    digits = F.md5(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cluster)).cast("binary"))
+    word = lambda at: F.conv(F.substring(digits, at, 8), 16, 10).cast("long")
+    means = rows.groupBy(*cluster).agg(F.avg(value).alias("m")).select(word(1).alias("a"), word(9).alias("b"), F.round(F.col("m") * PARTS).cast("long").alias("m"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count, mean = np.zeros((2, samples), np.int64), 0, 0
+        steps = np.arange(samples, dtype=np.uint64) * np.uint64(0x9E3779B9)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                a, b, m = (batch.slice(at, 1000)[c].to_numpy() for c in ("a", "b", "m"))
+                x = _fmix((a.astype(np.uint64)[:, None] + steps) & np.uint64(0xFFFFFFFF))
+                times = np.searchsorted(POISSON, _fmix(x ^ b.astype(np.uint64)[:, None]), "right")
+                total += np.stack([times.sum(0), (times * m[:, None]).sum(0)])
+                count, mean = count + len(m), mean + int(m.sum())
+        lists = [pa.array([t.tolist()], pa.list_(pa.int64())) for t in total]
+        yield pa.RecordBatch.from_arrays([*lists, pa.array([count]), pa.array([mean])], names=["weights", "sums", "n", "m"])
+
+    parts = materialize(means.filter("m IS NOT NULL").mapInArrow(weigh, "weights array<long>, sums array<long>, n long, m long"), "bootstrap")
+    each = parts.filter("n > 0").select(F.posexplode(F.arrays_zip("weights", "sums")).alias("i", "x")).groupBy("i").agg((F.sum("x.sums") / F.greatest(F.sum("x.weights"), F.lit(1)) / PARTS).alias("e"))
+    at = lambda p: F.coalesce(F.try_element_at(F.array_sort(F.collect_list("e")), F.lit(min(samples - 1, max(0, int(p * samples))) + 1)), F.lit(0.0))
+    whole = parts.agg(F.sum("n").alias("clusters"), F.sum("m").alias("m"))
+    mean = F.coalesce(F.try_divide("m", F.col("clusters") * PARTS), F.lit(0.0))
+    return each.agg(at(low).alias("low"), at(high).alias("high")).crossJoin(whole).select(mean.alias("mean"), "low", "high", F.coalesce("clusters", F.lit(0)).alias("clusters"))
+
+
 # ---- queries and their SQL
 
 _BASE = """
@@ -200,7 +284,7 @@ def _bundles(spark: SparkSession, sf_dir: str, kind: str = "source") -> DataFram
     none = F.lit(None).cast("string")
     per = lines.groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("line")).agg(F.min("l_partkey").alias("part"))
     ident = key * 10 + line
-    retrieve = action(ident + 1000000000 * shift, "retrieve", F.concat_ws("-", key, line), ((key * 7 + line * 3 + shift) % 5) / F.lit(4.0), F.array(doc(part, 1), doc(part + 1, 2)), F.create_map(F.lit("original_action_id"), ident.cast("string")))
+    retrieve = action(ident + 1000000000 * shift, "retrieve", F.concat_ws("-", key, line), ((key * 7 + line * 3 + shift) % 5) / F.lit(4.0), F.array(doc(part, 1), doc(part + 1, 2)), F.create_map(F.lit("original_action_id"), ident.cast("string"), F.lit("fallback_to_full_restart"), (ident % 3 == 0).cast("string")))
     query = F.struct(F.concat_ws("-", key, line).alias("candidate_id"), F.when(line % 3 == 0, "question").when(line % 3 == 1, "trend").otherwise("gap").alias("source"), F.lit("text").alias("text"))
     per = per.groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("line", "part"))).alias("ls")).join(orders, "o_orderkey")
     flat = per.select("o_custkey", "o_orderkey", "o_orderstatus", F.explode("ls").alias("x")).select("*", "x.*")
@@ -249,8 +333,31 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _M = _BASE + ", k AS (SELECT sample_index, min(state_id) AS first FROM a GROUP BY sample_index), m AS (SELECT a.sample_index, a.action_id, (k.first % 5) / 4.0::double AS keep, score AS append, ((state_id * 7 + line * 3 + 1) % 5) / 4.0::double AS restart, ((state_id * 7 + line * 3 + 2) % 5) / 4.0::double AS revision FROM a JOIN k ON a.sample_index = k.sample_index)"
 _SAMPLES = 200
+_GAINS = ("append_over_keep", "restart_over_keep", "restart_over_append", "revision_over_keep", "revision_over_append", "revision_over_restart")
+
+
+def _flip_sql(c: str) -> str:
+    return f"CASE WHEN floor(keep) < 1 AND floor({c}) >= 1 THEN 'wrong_to_correct' WHEN floor(keep) >= 1 AND floor({c}) < 1 THEN 'correct_to_wrong' ELSE 'same' END"
+
+
+_COUNTS = ", n AS (SELECT sample_index, 'preference' AS kind, CASE WHEN restart > append THEN 'restart_better' WHEN restart < append THEN 'append_better' ELSE 'tie' END AS name FROM m" + "".join(f" UNION ALL SELECT sample_index, '{c}_flip', {_flip_sql(c)} FROM m" for c in ("append", "restart", "revision")) + " UNION ALL SELECT sample_index, 'revision_stratum', CASE WHEN action_id % 3 = 0 THEN 'fallback_to_full_restart' ELSE 'true_local_revision' END FROM m) SELECT kind, name, count(*) AS actions, count(DISTINCT sample_index) AS samples FROM n GROUP BY kind, name"
+
+def poisson_sql(base: str, cluster: str, value: str) -> str:
+    word = lambda at: f"('0x' || substr(md5({cluster}::varchar), {at}, 8))::ubigint"
+    steps, last = "", "p0"
+    for i, (shift, times) in enumerate(((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)) * 2):
+        x = f"xor(x, x >> {shift}) * {times}::ubigint & 4294967295::ubigint"
+        steps += f", p{i + 1} AS (SELECT r, m, b, {'xor(' + x + ', b)' if i == 2 else x} AS x FROM p{i})"
+        last = f"p{i + 1}"
+    times = " + ".join(f"(x >= {v}::ubigint)::int" for v in POISSON.tolist())
+    return base + f""", c AS (SELECT {word(1)} AS a, {word(9)} AS b, round(avg({value}) * {PARTS})::bigint AS m FROM b GROUP BY {cluster}),
+     p0 AS (SELECT r.range AS r, m, b, (a + r.range::ubigint * 2654435769::ubigint) & 4294967295::ubigint AS x FROM c, range({_SAMPLES}) r){steps},
+     e AS (SELECT r, sum(({times}) * m) / greatest(sum({times}), 1) / {PARTS}::double AS e FROM {last} GROUP BY r), o AS (SELECT list(e ORDER BY e) AS es FROM e)
+     SELECT round((SELECT sum(m) / count(*) / {PARTS}::double FROM c), 6) AS mean, round(es[{int(0.025 * _SAMPLES) + 1}], 6) AS low, round(es[{int(0.975 * _SAMPLES) + 1}], 6) AS high, (SELECT count(*) FROM c) AS clusters FROM o"""
+
 
 CALLS = [
+    ("poisson_bootstrap", lambda spark, sf_dir: _rounded(poisson_bootstrap(benefits(_bundles(spark, sf_dir)), ["sample_index"], "benefit", _SAMPLES), "mean", "low", "high"), poisson_sql(_B, "sample_index", "benefit")),
     ("bundle_layers", lambda spark, sf_dir: (lambda t: t["retrievals"].groupBy("sample_index").agg(F.count("*").alias("retrievals"), F.count_distinct("retrieval_id").alias("ids")).join(t["states"].groupBy("sample_index").agg(F.count("*").alias("states")), "sample_index").join(t["queries"].groupBy("sample_index").agg(F.count("*").alias("queries")), "sample_index"))(layers(unique_samples(_bundles(spark, sf_dir)))),
      _BASE + " SELECT sample_index, 2 * count(*) AS retrievals, 2 * count(*) AS ids, count(DISTINCT state_id) AS states, count(*) AS queries FROM a GROUP BY sample_index"),
     ("bundle_benefits", lambda spark, sf_dir: benefits(_bundles(spark, sf_dir)).select("sample_index", "action_id", "source", "checkpoint", "score", "skip_score", "benefit", "bucket", "skip_bucket", "flip"),
@@ -267,7 +374,9 @@ CALLS = [
      _HITS + " SELECT v.bucket, count(e.action_id) AS n, count(DISTINCT e.sample_index) AS samples, " + ", ".join(f"round(coalesce(avg({c}::double), 0), 6) AS {c}" for c in ("benefit", "any_hit", "full_hit", "support_hit", "answer_hit", "recall")) + " FROM (VALUES ('positive'), ('zero'), ('negative')) v(bucket) LEFT JOIN e ON e.bucket = v.bucket GROUP BY v.bucket"),
     ("evidence_label_counts", lambda spark, sf_dir: _attributed(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("sample_index").alias("samples")),
      _HITS + " SELECT concat(CASE WHEN NOT any_hit THEN 'gold_title_miss' WHEN NOT support_hit THEN 'gold_title_hit_but_support_sentence_miss' ELSE 'support_sentence_retrieved' END, '__', CASE WHEN bucket = 'positive' THEN 'gain' WHEN bucket = 'negative' THEN 'harm' WHEN skip >= 1 THEN 'metric_ceiling_no_change' WHEN answer_hit THEN 'answer_present_but_no_gain' ELSE 'answer_absent_and_no_gain' END) AS label, count(*) AS n, count(DISTINCT sample_index) AS samples FROM e GROUP BY 1"),
-    ("matched_interventions", lambda spark, sf_dir: _matched(spark, sf_dir).drop("qid"), _M + " SELECT sample_index, action_id, keep, append, restart, revision FROM m"),
+    ("matched_interventions", lambda spark, sf_dir: _matched(spark, sf_dir).select("sample_index", "action_id", "keep", "append", "restart", "revision"), _M + " SELECT sample_index, action_id, keep, append, restart, revision FROM m"),
+    ("intervention_counts", lambda spark, sf_dir: intervention_counts(_matched(spark, sf_dir)), _M + _COUNTS),
+    ("paired_gains", lambda spark, sf_dir: _rounded(paired_gains(_matched(spark, sf_dir)).groupBy("sample_index").agg(*(F.avg(c).alias(c) for c in _GAINS)), *_GAINS), _M + " SELECT sample_index, " + ", ".join(f"round(avg({c.replace('_over_', ' - ')}), 6) AS {c}" for c in _GAINS) + " FROM m GROUP BY sample_index"),
     ("best_operators", lambda spark, sf_dir: _rounded(best_operators(_matched(spark, sf_dir)), "mean"),
      _M + ", t AS (SELECT *, greatest(keep, append, restart, revision) AS top FROM m), u AS (SELECT *, (keep = top)::int + (append = top)::int + (restart = top)::int + (revision = top)::int AS ties FROM t), x AS (" + " UNION ALL ".join(f"SELECT '{o}' AS operator, {o} AS score, top, ties FROM u" for o in ("keep", "append", "restart", "revision")) + ") SELECT operator, round(avg(score), 6) AS mean, count(*) FILTER (score = top) AS best, count(*) FILTER (score = top AND ties = 1) AS alone FROM x GROUP BY operator"),
     ("cluster_bootstrap", lambda spark, sf_dir: _rounded(cluster_bootstrap(benefits(_bundles(spark, sf_dir)), ["sample_index"], "benefit", _SAMPLES), "mean", "low", "high"),

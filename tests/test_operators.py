@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import answers, checkpoints, ranks, retrieval, rollouts, samples, trees
+from tessella.operators import answers, checkpoints, ranks, rollouts, samples, traces, trees
 
 BUNDLE = """sample_index long, qid string, question string, states array<struct<state_id string, checkpoint_type string>>, queries array<struct<candidate_id string, source string, text string>>,
  actions array<struct<action_id long, state_id string, action_type string, query_candidate_id string, scores map<string, double>, metadata map<string, string>, retrieved_documents array<struct<title string, text string, rank int>>>>"""
@@ -28,6 +28,10 @@ def test_benefits(spark):
     twice = bundle(spark, [action(1, "skip", 0.0)]).union(bundle(spark, [action(1, "skip", 0.0)]))
     with pytest.raises(Exception, match="two bundles"):
         rollouts.unique_samples(twice).collect()
+    with pytest.raises(Exception, match="two bundles"):  # whatever is read of it
+        rollouts.unique_samples(twice).select("question").collect()
+    with pytest.raises(Exception, match="lacks its skip"):
+        rollouts.benefits(bundle(spark, [action(2, "retrieve", 1.0)])).select("question").collect()
 
 
 GOLD = "question string, answer string, supporting_facts array<struct<title string, sent_id int>>, context array<struct<title string, sentences array<string>>>"
@@ -65,12 +69,32 @@ def test_trees(spark):
     assert got[3] == 0.25 and got[2] == 0.25 and got[5] is None and got[1] is None and got[0] == 0.25
     back = {r.node: (r.visits, round(r.q, 6)) for r in trees.backpropagate(n, 0.5).collect()}
     assert back[2] == (3, 0.65) and back[0] == (6, 0.5 * 0.5 + 0.5 * 0.65)
+    mean = {r.node: round(r.q, 6) for r in trees.backpropagate(n, 1.0, True).collect()}
+    assert mean[2] == round(1.3 / 3, 6) and mean[0] == round(1.8 / 6, 6)
     assert {r.path for r in trees.flatten(n).collect()} == {"root", "root > a", "root > b", "root > b > c"}
     assert [r.node for r in trees.best_child(n, "uct").filter("parent = 2").collect()] == [4]
     cands = spark.sql("SELECT array(named_struct('id', 1, 'a', 'x'), named_struct('id', 2, 'a', 'y'), named_struct('id', 2, 'a', 'z')) AS c")
     assert cands.select(trees.candidate(F.col("c"), F.lit(2))["a"], trees.candidate(F.col("c"), F.lit(9))).first()[:] == ("y", None)
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_deep_chain(spark, parts):
+    """A chain 5000 deep: 13 rounds, and a plan that doesn't depend on the depth."""
+    n, gamma = 5000, 0.999
+    c = spark.range(n).select(F.lit(1).alias("tree"), F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.col("id").cast("int").alias("depth"), F.lit(1.0).alias("reward"))
+    q = trees.backpropagate(c.repartition(parts), gamma)
+    got = {r.node: (r.visits, r.q) for r in q.filter("node IN (0, 1, 4999, 2500)").collect()}
+    for node, (visits, value) in got.items():
+        assert visits == n - node and value == pytest.approx((1 - gamma ** (n - node)) / (1 - gamma), abs=1e-6)
+    plan = lambda df: len(df._jdf.queryExecution().toString())
+    shallow = trees.backpropagate(c.filter("node < 3"), gamma)
+    assert plan(q) < 1.2 * plan(shallow)
+    c = c.withColumns({"visits": F.lit(2), "step": F.lit(0), "f1": F.when(F.col("node") == n - 1, 0.5), "n": F.lit(3), "content": F.lit("x"), "well_formed": F.lit(True)})
+    assert {r.reward for r in trees.bottom_up_reward(c, 0.9).collect()} == {0.5}
+    short = trees.flatten(c.filter("node < 700")).orderBy("depth").collect()
+    assert len(short) == 700 and short[-1].path == " > ".join("x" * 700)
+
+
 OBS = "qid string, token_index long, prefix string, prefix_token_ids array<int>, triggered boolean"
 
 
@@ -97,6 +121,73 @@ def test_attention(spark):
     assert got[0].attention == pytest.approx(2 / 3)
 
 
+def test_pooled_spans(spark):
+    """pool_spans() over matrices gives what pool_attention() gives over token pairs."""
+    r = np.random.default_rng(5)
+    traces_, pairs = [], []
+    for t in range(6):
+        rows, columns = np.r_[0, np.cumsum(r.integers(1, 4, 5))].tolist(), np.r_[0, np.cumsum(r.integers(1, 3, 7))].tolist()
+        m = r.random((rows[-1], columns[-1]))
+        traces_.append((t, m.ravel().tolist(), rows, columns))
+        word = lambda at, bounds: int(np.searchsorted(bounds, at, "right")) - 1
+        pairs += [(t, word(i, rows), i, word(j, columns), float(m[i, j])) for i in range(rows[-1]) for j in range(columns[-1])]
+    traces_ += [(90, None, [0, 1], [0, 1]), (91, [], [], [])]
+    for parts in (1, 3):
+        got = checkpoints.pool_spans(spark.createDataFrame(traces_, "seq int, attention array<double>, targets array<int>, sources array<int>").repartition(parts), ["seq"]).collect()
+        want = checkpoints.pool_attention(spark.createDataFrame(pairs, "seq int, target int, target_token int, source int, weight double"), ["seq"]).collect()
+        assert {(x.seq, x.target): round(x.attention, 12) for x in got} == {(x.seq, x.target): round(x.attention, 12) for x in want}
+
+
+def test_trends_agree(spark):
+    """The windows, the fold and the stream's step give the same bits."""
+    from tessella.streaming import detector
+
+    r = np.random.default_rng(3)
+    rows = [(s, p, float(r.integers(0, 40)) / 8 if r.random() < 0.95 else None, bool(r.random() < 0.7)) for s in range(5) for p in range(200)]
+    want = {}
+    for s in range(5):
+        state = detector.START
+        for _, p, h, c in [x for x in rows if x[0] == s]:
+            state, want[s, p] = detector.step(state, h, c and h is not None)
+    w = spark.createDataFrame(rows, "seq long, pos long, entropy double, content boolean")
+    for parts in (1, 4):
+        for form in (traces.trends, traces.folded_trends):
+            assert {(x.seq, x.pos): x.trend for x in form(w.repartition(parts), ["seq"], ["pos"]).collect()} == want
+
+
+def test_traces(spark):
+    w = spark.createDataFrame([("q", 1, "a", 0.1, True), ("q", 2, "b", 0.9, True), ("q", 3, "c", 0.9, False), ("q", 4, "d", 0.5, True), ("p", 1, "x", 1.0, False)], "k string, pos int, word string, attention double, content boolean")
+    assert {r.k: r.query for r in traces.formulate(w, ["k"], 2).collect()} == {"q": "b d", "p": ""}
+    assert {r.k: r.query for r in traces.formulate(w, ["k"], None, 0.4).collect()} == {"q": "b", "p": ""}
+    with pytest.raises(ValueError):
+        traces.formulate(w, ["k"], 2, 0.4)
+    t = spark.createDataFrame([(1, 2.0, 1.0, True), (1, 3.0, 3.0, True), (1, 4.0, 9.0, False), (2, 1.0, 5.0, True)], "g int, outcome double, score double, mask boolean")
+    got = sorted(r.advantage for r in traces.step_advantages(t, ["g"], "outcome", "score", "mask", 0.5).collect())
+    assert got == pytest.approx([1.0, 1.5, 3.5, 4.0], abs=1e-6)
+    gold = spark.createDataFrame([(1, "a")], "qid int, gold string")
+    asked = spark.createDataFrame([(1, "p"), (2, "q")], "qid int, pred string")
+    assert traces.join_gold(asked.filter("qid = 1"), gold, "qid").first()[:] == (1, "p", "a")
+    with pytest.raises(Exception, match="no gold for 2"):
+        traces.join_gold(asked, gold, "qid").select("pred").collect()
+    z = spark.createDataFrame([(1, ["a", "b"], [1, 2]), (2, [], None)], "k int, x array<string>, y array<int>")
+    assert sorted(tuple(r) for r in traces.zip_arrays(z, ["x", "y"], ["k"]).collect()) == [(1, 0, "a", 1), (1, 1, "b", 2)]
+    with pytest.raises(Exception, match="unlike"):
+        traces.zip_arrays(spark.createDataFrame([(1, ["a"], [1, 2])], z.schema), ["x", "y"], ["k"]).select("k").collect()
+
+
+def test_poisson_bootstrap(spark):
+    """Merged replicates give the exact grid's interval, within a tenth of its width at 400 clusters, and don't depend on the partitions."""
+    r = np.random.default_rng(2)
+    rows = [(int(c), float(v)) for c, n, m in zip(range(400), r.integers(1, 5, 400), r.normal(0.2, 1.0, 400), strict=True) for v in r.normal(m, 0.1, n)]
+    df = spark.createDataFrame(rows, "c long, v double")
+    exact = rollouts.cluster_bootstrap(df, ["c"], "v", 500).first()
+    got = [rollouts.poisson_bootstrap(df.repartition(p), ["c"], "v", 500).first() for p in (1, 6)]
+    assert got[0] == got[1] and got[0].clusters == 400 and got[0].mean == pytest.approx(exact.mean, abs=1e-6)
+    width = exact.high - exact.low
+    assert abs(got[0].low - exact.low) < width / 10 and abs(got[0].high - exact.high) < width / 10
+    assert rollouts.poisson_bootstrap(df.filter("false"), ["c"], "v", 10).first().clusters == 0
+
+
 def test_samples(spark):
     df = spark.createDataFrame([(i, "x") for i in range(10)], "i long, checkpoint_type string")
     assert samples.contiguous(df, "i", 2, 5).count() == 5
@@ -120,25 +211,6 @@ def test_answers(spark):
     assert {r.k: r.golds for r in answers.with_aliases(rows, al).collect()} == {1: ["a", "b", "c"], 2: ["a"]}
 
 
-def test_search(spark, monkeypatch):
-    r = np.random.default_rng(1)
-    v = r.normal(size=(40, 5))
-    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(99, None)], "vec_id long, embedding array<double>")
-    want = {}
-    for i in range(0, 40, 2):
-        s = [(-round(float(v[i] @ v[j]), 6), j) for j in range(40) if j != i]
-        want[i] = [j for _, j in sorted(s)[:3]]
-    for block in (4096, 8):  # in one pass, and in several
-        monkeypatch.setattr(retrieval, "BLOCK", block)
-        got = {}
-        for row in retrieval.dense(df.filter("vec_id % 2 = 0"), df, 3).orderBy("qid", "rank").collect():
-            got.setdefault(row.qid, []).append(row.vec_id)
-        assert got == want
-    with pytest.raises(ValueError):
-        retrieval.bm25(df, df, {"a": F.col("vec_id")}, 0)
-    assert retrieval.retriever("dense") is retrieval.dense
-
-
 def test_detector_streams_as_in_one_batch(spark, tmp_path):
     from tessella.streaming import detector
 
