@@ -12,9 +12,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.operators import answers, bundles, checkpoints, corpus, evidence, hooks, ranks, retrieval, rollouts, samples, scoring, sequence, splits, stats, trees
+from tessella.operators import answers, bundles, checkpoints, corpus, evidence, hooks, multimatch, ranks, retrieval, rollouts, samples, scoring, sequence, splits, stats, traces, trees
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "clicks", "sales", "sale_lines", "clients", "client_changes", "vendors", "items", "stamps")
 _NAME = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
 
 
@@ -31,7 +31,7 @@ for _module in (corpus, retrieval, scoring, sequence, bundles, evidence, stats,
     for _name, _spark, _duck in _module.QUERIES:
         QUERIES[_name] = spark_query(_spark)
         ORACLES[_name] = _duck or _spark
-for _module in (answers, rollouts, ranks, trees, retrieval, samples, checkpoints, hooks):  # operators called on DataFrames
+for _module in (answers, rollouts, ranks, trees, retrieval, samples, checkpoints, hooks, traces, multimatch):  # operators called on DataFrames
     for _name, _call, _duck in _module.CALLS:
         QUERIES[_name] = _call
         if _duck:

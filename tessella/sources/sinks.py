@@ -2,22 +2,75 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.sources.scans import _path, exists
 
 
-def append_jsonl(df: DataFrame, path: str) -> None:
-    """Append rows as JSON lines with sorted keys; the commit is atomic for each job."""
-    df.select(*sorted(df.columns)).write.mode("append").option("ignoreNullFields", False).json(path)
+def claim(spark: SparkSession, path: str, content: str = "") -> bool:
+    """Create the file path with the content; False where it exists. Of several that try at once one succeeds."""
+    p, fs = _path(spark, path)
+    jvm = spark._jvm
+    fs.mkdirs(p.getParent())
+    if fs.getUri().getScheme() == "file":  # Hadoop's local file system looks first and creates then
+        at = jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark._sc._gateway.new_array(jvm.String, 0))
+        try:
+            jvm.java.nio.file.Files.createFile(at, spark._sc._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                return False
+            raise
+        out = fs.create(p, True)
+    else:
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+    out.write(bytearray(content.encode()))
+    out.hsync()
+    out.close()
+    return True
+
+
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    p, fs = _path(spark, f"{path}/_commits")
+    return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()) if fs.exists(p) else []
+
+
+def append_jsonl(df: DataFrame, path: str) -> int:
+    """Append rows as JSON lines with sorted keys; the commit's number.
+
+    Tasks write a folder of their own, which becomes part of the table when its name is
+    in the commit of the next free number. Writers at once get numbers of their own; a
+    job that fails or dies leaves a folder that no commit names, so no row.
+    """
+    spark, folder = df.sparkSession, f"data-{uuid.uuid4().hex}"
+    df.select(*sorted(df.columns)).write.option("ignoreNullFields", False).json(f"{path}/{folder}")
+    n = max(_commits(spark, path), default=-1) + 1
+    while not claim(spark, f"{path}/_commits/{n}", folder):
+        n += 1
+    return n
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The committed rows of append_jsonl() and create_jsonl()."""
+    folders = [spark.read.text(f"{path}/_commits/{n}", wholetext=True).first() for n in _commits(spark, path)]
+    named = [f"{path}/{r[0]}" for r in folders if r and r[0]]  # a commit that is being written names nothing yet
+    return spark.read.schema(schema).json(named) if named else spark.createDataFrame([], schema)
 
 
 def create_jsonl(df: DataFrame, path: str) -> None:
-    """Write JSON lines to a path that must not exist."""
-    df.select(*sorted(df.columns)).write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+    """Write JSON lines to a path that must not exist; of writers at once exactly one succeeds, before it computes anything."""
+    if exists(df.sparkSession, path) or not claim(df.sparkSession, f"{path}/_claim"):
+        raise FileExistsError(f"{path} already exists")
+    append_jsonl(df, path)
 
 
 def write_result(report: DataFrame, path: str) -> None:
@@ -26,17 +79,17 @@ def write_result(report: DataFrame, path: str) -> None:
 
 
 def write_layers(layers: dict[str, DataFrame], path: str) -> dict[str, int]:
-    """Each layer as JSON lines; one that is there must have as many rows, else it is refused."""
+    """Each layer as JSON lines; one that is there must have as many rows, else it is refused. A layer is computed once."""
     rows = {}
     for name, df in layers.items():
-        at = f"{path}/{name}"
-        rows[name] = df.count()
-        if exists(df.sparkSession, at):
-            held = df.sparkSession.read.text(at).count()
+        at, spark = f"{path}/{name}", df.sparkSession
+        if exists(spark, at):
+            rows[name], held = df.count(), read_jsonl(spark, at, df.schema).count()
             if held != rows[name]:
                 raise ValueError(f"{at} has {held} rows, not {rows[name]}")
         else:
             create_jsonl(df, at)
+            rows[name] = read_jsonl(spark, at, df.schema).count()
     return rows
 
 
@@ -66,12 +119,10 @@ def guard_config(old: dict, new: dict, ignore: tuple = ()) -> None:
 
 
 def free_run_dir(spark: SparkSession, base: str, most: int = 10_000) -> str:
-    """The first of base/0, base/1, ... that doesn't exist, made."""
+    """The first of base/0, base/1, ... that doesn't exist, made; of drivers that look at once each gets its own."""
     for i in range(most):
         at = f"{base}/{i}"
-        if not exists(spark, at):
-            p, fs = _path(spark, at)
-            fs.mkdirs(p)
+        if not exists(spark, at) and claim(spark, f"{at}/_claim"):
             return at
     raise FileExistsError(base)
 
@@ -92,16 +143,3 @@ def merge_shards(shards: dict[int, DataFrame], index: str, expected: DataFrame |
         if gone or extra:
             raise ValueError(f"the shards lack {gone} or hold too much {extra}")
     return merged.drop("shard").orderBy(index)
-
-
-def write_postings(docs: DataFrame, path: str, terms, doc_id: str = "id", text: str = "text", buckets: int = 64) -> None:
-    """An index for lexical search: postings (term, doc, tf) partitioned by a hash of the term, and doc_stats (doc, length)."""
-    cut = docs.select(F.col(doc_id).alias("doc"), terms(F.col(text)).alias("ws"))
-    cut.select("doc", F.size("ws").alias("length")).write.mode("errorifexists").parquet(f"{path}/doc_stats")
-    posts = cut.select("doc", F.explode("ws").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    posts.repartition(buckets, "bucket", F.pmod(F.xxhash64("doc"), F.lit(8))).write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings")
-
-
-def write_vectors(vectors: DataFrame, path: str, rows: int = 500_000) -> None:
-    """A flat index: vectors in files of so many rows; parts written apart are one index when they lie in one folder."""
-    vectors.write.mode("append").option("maxRecordsPerFile", rows).parquet(path)

@@ -1,11 +1,12 @@
 """Scans and sinks: forms of files, and what must be refused."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.sources import scans, sinks
+from tessella.sources import json_split, scans, sinks
 
 
 def put(path, value):
@@ -93,7 +94,7 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="already exists"):
         sinks.create_jsonl(df, f"{tmp_path}/x")
     sinks.append_jsonl(df, f"{tmp_path}/x")
-    lines = [r[0] for r in spark.read.text(f"{tmp_path}/x").collect()]
+    lines = [r[0] for r in spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(f"{tmp_path}/x").collect()]
     assert len(lines) == 4 and '{"aa":null,"id":2}' in lines
     assert sinks.write_layers({"states": df}, f"{tmp_path}/run") == sinks.write_layers({"states": df}, f"{tmp_path}/run") == {"states": 2}
     with pytest.raises(ValueError, match="has 2 rows"):
@@ -120,13 +121,70 @@ def test_corpora_and_shards(spark, tmp_path):
             sinks.merge_shards(bad, "i", whole)
 
 
-def test_indexes(spark, tmp_path):
-    from tessella.operators.retrieval import terms
-
-    docs = spark.createDataFrame([("1", "a b a"), ("2", "b c")], "id string, text string")
-    sinks.write_postings(docs, f"{tmp_path}/i", terms, buckets=4)
-    assert rows(spark.read.parquet(f"{tmp_path}/i/postings").select("term", "doc", "tf")) == [("a", "1", 2), ("b", "1", 1), ("b", "2", 1), ("c", "2", 1)]
-    v = spark.createDataFrame([(1, [0.5])], "id long, v array<float>")
-    sinks.write_vectors(v, f"{tmp_path}/v")
-    sinks.write_vectors(v, f"{tmp_path}/v")
-    assert spark.read.parquet(f"{tmp_path}/v").count() == 2
+def test_committed_json_lines(spark, tmp_path):
+    df = spark.createDataFrame([(1, "b"), (2, None)], "k long, a string")
+    at = f"{tmp_path}/log"
+    assert [sinks.append_jsonl(df, at), sinks.append_jsonl(df.limit(1), at)] == [0, 1]
+    assert sinks.read_jsonl(spark, at, "a string, k long").count() == 3
+    broken = df.withColumn("a", F.when(F.col("k") == 2, F.raise_error(F.lit("no"))).otherwise(F.col("a")))
+    with pytest.raises(Exception, match="no"):
+        sinks.append_jsonl(broken, at)
+    assert sinks.read_jsonl(spark, at, "a string, k long").count() == 3
+    with ThreadPoolExecutor(8) as pool:  # numbers of their own
+        assert sorted(pool.map(lambda _: sinks.append_jsonl(df, at), range(4))) == [2, 3, 4, 5]
+    assert sinks.read_jsonl(spark, at, "a string, k long").count() == 11
+
+
+def test_one_writer_wins(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "k long")
+
+    def create(_):
+        try:
+            sinks.create_jsonl(df, f"{tmp_path}/once")
+        except FileExistsError:
+            return 0
+        return 1
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(create, range(8))) == 1
+        assert sinks.read_jsonl(spark, f"{tmp_path}/once", "k long").count() == 1
+        assert sorted(int(p.rsplit("/", 1)[1]) for p in pool.map(lambda _: sinks.free_run_dir(spark, f"{tmp_path}/many"), range(8))) == list(range(8))
+
+
+RECORD = "id long, q string, inner array<struct<a string>>"
+
+
+def hard(i):
+    return {"id": i, "q": ["plain", 'brace } and { in "quotes"', "back\\\\slash }", 'ends in quote\\"', "ü日本 \n }{", ""][i % 6] + "x" * (i % 37), "inner": [{"a": "}"}, {"a": None}][: i % 3]}
+
+
+@pytest.mark.parametrize(("size", "indent"), [("300", None), ("300", 1), ("2000", None), ("100m", None)])
+def test_split_json(spark, tmp_path, size, indent):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        files = []
+        for k in range(2):
+            records = [hard(i) for i in range(k * 300, k * 300 + 300)]
+            files.append(put(tmp_path / f"a{k}.json", json.dumps(records, ensure_ascii=False, indent=indent)))
+        got = json_split.json_array(spark, files, RECORD)
+        if size == "300":
+            assert spark.read.option("lineSep", "}").text(files).rdd.getNumPartitions() > 4
+        plain = spark.read.schema(RECORD).option("multiLine", True).json(files)
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() == 600
+        m = put(tmp_path / "m.json", json.dumps({f'k"{i}}}': hard(i) for i in range(200)}, indent=indent))
+        assert sorted(map(str, json_split.json_map(spark, m, RECORD).collect())) == sorted(map(str, scans.json_map(spark, m, RECORD).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_split_json_odd(spark, tmp_path):
+    none = put(tmp_path / "none.json", " [ ]\n")
+    assert json_split.json_array(spark, none, RECORD).count() == 0
+    assert json_split.json_map(spark, put(tmp_path / "nomap.json", "{}"), RECORD).count() == 0
+    one = put(tmp_path / "one.json", '{"questions": [{"a": "x"}, {"a": "}"}]}')
+    assert rows(json_split.json_array(spark, one, "questions array<struct<a string>>", "questions")) == [("x",), ("}",)]
+    for bad, said in (('[{"id": 1}, {"id": 2, "q": "', "cut JSON"), ('[{"id": 1}, 7, {"id": 2}]', "not a JSON object"), ('[{"id": "x"}]', "")):
+        with pytest.raises(Exception, match=said):
+            json_split.json_array(spark, put(tmp_path / "bad.json", bad), RECORD).collect()
