@@ -34,11 +34,11 @@ def tables_made() -> int:
 def discard_since(spark: SparkSession, mark: int) -> None:
     """Delete the tables written by materialize() after the mark; nothing may read them any more."""
     for path in _made[mark:]:
-        _delete(spark, path)
+        delete(spark, path)
     del _made[mark:]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -48,14 +48,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for discard_since() to delete."""
+    path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives a lost executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
-    _made.append(path)
     return out
 
 
@@ -68,7 +74,7 @@ def discard(df: DataFrame) -> None:
     """Delete a table made by materialize() that nothing reads any more."""
     path = getattr(df, "_shared_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 HOT = 1000  # rows of one key that one task may meet at any size of table
