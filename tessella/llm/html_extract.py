@@ -32,7 +32,8 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 GROUPS = ("text", "p", "h1 h2 h3 h4 h5 h6", "ul ol li dl dt dd menu", "div", "article main", "section", "nav", "header hgroup", "footer", "aside", "form fieldset", "table tbody thead tr td th", "body", "blockquote pre figure figcaption")
 BOILER = set("ad ads adv advert advertisement banner bar breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus footer form gdpr header hero links login masthead menu meta modal nav navbar navigation newsletter notice pagination popup promo promoted recommended related reply respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar top widget".split())
 GOOD = set("article articlebody body content entry main maincontent page post story text".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S)
+# possessive: a tag that doesn't end is given up after one look at what follows it
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|</?[a-zA-Z][^>]*+\Z""", re.S)
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _END = {t: re.compile(f"</{t}", re.I) for t in RAW}

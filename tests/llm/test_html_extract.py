@@ -4,6 +4,7 @@ import itertools
 import time
 
 import numpy as np
+import pytest
 from tessella.llm.html_extract import MARK, Page, decode, features, main_text_model, main_texts, sample_page
 
 PAGE = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/x">News</a></li></ul></nav><div class="ad">Buy now.</div><article><h1>Title &amp; more</h1><p><b>First  line.<br>\n<p>Second &eacute; line of text, with words.</p><p>Third line goes on and on, here.</p></article><footer>&copy; me</footer></body></html>'
@@ -65,6 +66,15 @@ def test_unclosed_and_stray_tags_cost_linear_time():
     assert len(p.group) == 100_002 and time.perf_counter() - began < 20
 
 
+@pytest.mark.parametrize("part", ["<p", "<p ", "<a '", '<a "', "<a b='\"", "<", "</", "<!", "<!--", "<a/", "<script", "class=", "<x class = "])
+def test_tags_that_never_end_cost_linear_time(part):
+    began = time.perf_counter()
+    for end in ("", ">", "x</p>"):
+        Page(part * (10**6 // len(part)) + end)
+    assert time.perf_counter() - began < 15
+    assert time.perf_counter() - began < 5 or part != "<p"
+
+
 def test_text_of_generated_pages_equals_the_marked_runs():
     """Pages that the decoder labels rightly give exactly the marked blocks, in page order."""
     r, m, whole = np.random.default_rng(77), main_text_model(), 0
