@@ -2,10 +2,11 @@
 
 Per host, the segments of paths form a tree. A segment that is a number, a hex
 string or one of very many siblings becomes a wildcard; sibling branches of like
-shape and like labels merge, and branches without labels join labelled ones of their
-shape. Templates are judged by the smoothed share of blocked URLs among the labelled
-ones, labels being the verdicts of the given rules; a template that has none by its
-host's share, less two standard errors.
+shape merge where labels of both say that they are alike, and those without labels only
+among themselves. Templates are judged by the smoothed share of blocked URLs among the
+labelled ones, labels being the verdicts of the given rules. A template that has none is
+judged by its host's labelled branches, each of which is one piece of evidence however
+many URLs it has: by their mean share, less two standard errors.
 """
 
 from __future__ import annotations
@@ -86,10 +87,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         p = (F.col("pb") + 1) / (F.col("pm") + 2)
         far = F.abs(F.col("b") - F.col("m") * p) > 2 * F.sqrt(F.col("m") * p * (1 - p) + 0.25)
         like = (F.col("m") > 0) & ~far
-        # a branch without labels says nothing against the labelled ones of its shape
-        kin = j.groupBy("host", "tpl", "shape").agg(F.max(like).alias("kin"), F.count("*").alias("alike"))
-        j = join_counted(j, materialize(kin, "url-kin"), ["host", "tpl", "shape"], "alike", total)
-        name = F.when(F.col("siblings") >= fan_out, F.lit("*")).when(F.col("seg").rlike(r"^\{.\}$"), F.col("seg")).when(like | ((F.col("m") == 0) & F.col("kin")), F.concat(F.lit("*:"), F.col("shape"))).otherwise(F.col("seg"))
+        # a branch without labels has nothing to be compared by: it isn't like a labelled one
+        name = F.when(F.col("siblings") >= fan_out, F.lit("*")).when(F.col("seg").rlike(r"^\{.\}$"), F.col("seg")).when(like, F.concat(F.lit("*:"), F.col("shape"))).when(F.col("m") == 0, F.concat(F.lit("?:"), F.col("shape"))).otherwise(F.col("seg"))
         names = materialize(j.select("host", "tpl", "seg", "held", "branch", name.alias("name")), "url-names")
         named = join_counted(here, names, ["host", "tpl", "seg"], "held", total)
         # a path that is alone in its branch can't merge any further down: the rest of it names its template
@@ -103,12 +102,16 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     tpl = leaf.groupBy("host", "template").agg(F.sum("m").alias("m"), F.sum("b").alias("b"), F.count("*").alias("paths"))
     tpl = materialize(tpl, "url-templates")
     hosts = tpl.groupBy("host").agg(((F.sum("b") + 1) / (F.sum("m") + 2)).alias("prior"), F.sum("m").alias("hm"), F.count("*").alias("templates"))
+    branches = leaf.groupBy("host", F.get("segs", F.lit(0)).alias("branch")).agg(F.sum("m").alias("m"), F.sum("b").alias("b")).filter("m > 0")
+    known = branches.groupBy("host").agg(F.count("*").alias("labelled"), F.sum(F.col("b") / F.col("m")).alias("shares"))
+    hosts = hosts.join(known, "host", "left").fillna(0, ["labelled", "shares"])
     tpl = join_counted(tpl, materialize(hosts, "url-hosts"), ["host"], "templates", total)
     # a host without labels has no evidence: its share is nought
     purity = F.when(F.col("hm") == 0, F.lit(0.0)).otherwise((F.col("b") + strength * F.col("prior")) / (F.col("m") + strength))
-    # without labels of its own a template has its host's share, as far as the host's labels are sure of it
-    error = F.sqrt(F.col("prior") * (1 - F.col("prior")) / (F.col("hm") + 3))
-    judged = materialize(tpl.select("host", "template", "paths", F.when(F.col("m") > 0, purity).otherwise(F.greatest(F.lit(0.0), purity - 2 * error)).alias("purity")), "url-purity")
+    # without labels of its own a template has the share of its host's branches, as far as they are sure of it
+    share = (F.col("shares") + 1) / (F.col("labelled") + 2)
+    bound = F.when(F.col("hm") == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), share - 2 * F.sqrt(share * (1 - share) / (F.col("labelled") + 3))))
+    judged = materialize(tpl.select("host", "template", "paths", F.when(F.col("m") > 0, purity).otherwise(bound).alias("purity")), "url-purity")
     per_key = materialize(join_counted(leaf.select("host", "segs", "n", "template"), judged, ["host", "template"], "paths", total).select("host", "segs", "n", "template", "purity"), "url-judged")
     out = join_counted(d, per_key, ["host", "segs"], "n", total)
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("purity") > reject, F.lit("block")).otherwise("allow")).alias("verdict"), "template", "purity")
