@@ -3,7 +3,9 @@
 Texts are scanned where they lie. Candidates go on as hashes: for each hash the
 distinct repositories and owners that hold it are counted over the corpus. A hash
 held by many owners, or in many repositories of few, is a copied example; one held
-by few, varied enough to be random, looks live.
+by few, varied enough to be random, looks live. Strings of no known form that mix
+letters and digits at random are candidates too: they become spans, of the kind own,
+where the corpus shows a single owner.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ ADDED = (
     ("hub", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"), "gh"),
     ("chat", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"), "xox"),
 )
-KINDS = ("assign", "access", "hex", *(k for k, _, _ in ADDED))
+KINDS = ("assign", "access", "hex", *(k for k, _, _ in ADDED), "own")
+LOOSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+LOOSE_BITS = 3.5
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 EXAMPLE_OWNERS, EXAMPLE_REPOS, LIVE_BITS = 3, 6, 2.5
 
@@ -51,16 +55,30 @@ def scan(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
+def loose(text: str, found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """Strings of 20 characters or more, digits and letters among them and LOOSE_BITS each, that meet no span found."""
+    out, at = [], 0
+    for m in LOOSE.finditer(text):
+        s, a, b = m[0], m.start(), m.end()
+        while at < len(found) and found[at][2] <= a and found[at][1] <= a:
+            at += 1
+        if any(x < b and y > a for _, x, y, _ in found[at : at + 8]) or any(x < b and y > a for _, x, y, _ in found[max(0, at - 8) : at]):
+            continue
+        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and bits_per_char(s) >= LOOSE_BITS:
+            out.append((len(KINDS) - 1, a, b, s))
+    return out
+
+
 def bits_per_char(s: str) -> float:
     n = len(s)
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
-def _spans(found: list) -> str:
+def _text(found: list) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b, _ in found)
 
 
-_DDL = "doc_id long, owner string, repo string, part long, idx long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, secrets array<struct<h:string,bits:double>>"
+_DDL = "doc_id long, owner string, repo string, part long, idx long, n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<start:int,kind:int,stop:int>>, secrets array<struct<h:string,bits:double,start:int,kind:int,stop:int>>"
 
 
 @lean
@@ -68,7 +86,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, done = TaskContext.get().partitionId(), 0
-    kind = pa.list_(pa.struct([("h", pa.string()), ("bits", pa.float64())]))
+    place = [("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]
+    kind = pa.list_(pa.struct([("h", pa.string()), ("bits", pa.float64()), *place]))
     for b in batches:
         counts, shas, spans, secrets = ([], [], []), [], [], []
         for text in b["text"].to_pylist():
@@ -76,12 +95,12 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = [x for x in found if x[0] < 3]
             for k in range(3):
                 counts[k].append(sum(x[0] == k for x in base))
-            shas.append(hashlib.sha256(_spans(base).encode()).hexdigest())
-            spans.append(_spans(found))
-            secrets.append([{"h": hashlib.sha256(s.encode()).hexdigest()[:32], "bits": bits_per_char(s)} for _, _, _, s in found])
+            shas.append(hashlib.sha256(_text(base).encode()).hexdigest())
+            spans.append([{"start": a, "kind": k, "stop": z} for k, a, z, _ in found])
+            secrets.append([{"h": hashlib.sha256(s.encode()).hexdigest()[:32], "bits": bits_per_char(s), "start": a, "kind": k, "stop": z} for k, a, z, s in [*found, *loose(text, found)]])
         n = b.num_rows
         yield pa.RecordBatch.from_arrays(
-            [b["doc_id"], b["owner"], b["repo"], pa.array([part] * n, pa.int64()), pa.array(range(done, done + n), pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas), pa.array(spans), pa.array(secrets, kind)],
+            [b["doc_id"], b["owner"], b["repo"], pa.array([part] * n, pa.int64()), pa.array(range(done, done + n), pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas), pa.array(spans, pa.list_(pa.struct(place))), pa.array(secrets, kind)],
             names=["doc_id", "owner", "repo", "part", "idx", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "secrets"],
         )
         done += n
@@ -96,14 +115,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     once per owner. A missing owner column counts as null. An empty table gives no
     rows. n_live counts secrets whose characters hold live_bits bits each and that
     fewer than example_owners owners hold in fewer than example_repos repositories
-    in all; n_example those that reach either number.
+    in all; n_example those that reach either number. Of strings of no known form those
+    of a single owner, in fewer than example_repos repositories, are spans of the kind
+    own; others are none, however random.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     owner = F.coalesce(column_or_null(docs, owner_col, "string"), F.lit("\0"))
     repo = F.coalesce(column_or_null(docs, repo_col, "string"), F.lit("\0")) if repo_col else owner
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), owner.alias("owner"), repo.alias("repo"), text.alias("text"))
     d = materialize(d.mapInArrow(_run, _DDL), "secrets")
-    each = d.select("part", "idx", "owner", "repo", F.explode("secrets").alias("s")).select("part", "idx", "owner", "repo", "s.h", "s.bits")
+    each = d.select("part", "idx", "owner", "repo", F.explode("secrets").alias("s")).select("part", "idx", "owner", "repo", "s.*")
     # distinct owners and repositories first, so that a hash copied everywhere combines before the shuffle
     held = each.groupBy("h", "owner", "repo").agg(F.count("*").alias("n")).groupBy("h", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     wide = materialize(held.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("held")), "secret-owners")
@@ -113,6 +134,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     verdicts = known.groupBy("part", "idx").agg(
         F.sum(F.when(~example & (F.col("bits") >= live_bits), 1).otherwise(0)).alias("n_live"),
         F.sum(F.when(example, 1).otherwise(0)).alias("n_example"),
+        F.collect_list(F.when((F.col("kind") == len(KINDS) - 1) & (F.col("owners") == 1) & ~example, F.struct("start", "kind", "stop"))).alias("own"),
     )
     out = d.drop("secrets", "owner", "repo").join(verdicts, ["part", "idx"], "left")
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"))
+    every = F.array_sort(F.concat("spans", F.coalesce("own", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
+    kinds = F.array(*map(F.lit, KINDS))
+    spans = F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"))

@@ -218,8 +218,8 @@ def test_url_filter_rejects_without_a_rule(spark):
     from tessella.llm.url_filter import filter_urls
 
     urls = {f"http://bad.com/en/{i}": "block" for i in range(40)}
-    urls |= {f"http://bad.com/fr/{i}": "block" for i in range(9)}  # no rule, of the labelled branch's shape
-    urls |= {"http://bad.com/about": "block"}  # no rule, another shape, but nearly all of the host is blocked
+    urls |= {f"http://bad.com/fr/{i}": "allow" for i in range(9)}  # no rule: the labelled branch of this shape says nothing of it
+    urls |= {"http://bad.com/about": "allow"}  # no rule, and one branch is too little evidence for the host
     urls |= {f"http://good.example.com/en/7{i}": "allow" for i in range(40)} | {f"http://good.example.com/fr/{i}": "allow" for i in range(9)}
     urls |= {f"http://both.example.com/en/7{i}": "allow" for i in range(30)} | {f"http://both.example.com/en/1{i}": "block" for i in range(10)}
     urls |= {f"http://both.example.com/fr/{i}": "allow" for i in range(9)}
@@ -232,6 +232,18 @@ def test_url_filter_rejects_without_a_rule(spark):
     assert got["http://bad.com/fr/1"][1] is None and got["http://bad.com/about"][1] is None
 
 
+def test_url_filter_rejects_by_many_branches(spark):
+    """A branch without labels is blocked where the labels of many branches of its host agree, and in wildcards it shares with them."""
+    from tessella.llm.url_filter import filter_urls
+
+    rules = tuple(("com", f"/b{i}/", "block") for i in range(9)) + (("org", "/7/a", "block"),)
+    urls = [f"http://x.com/b{i}/{k}" for i in range(9) for k in range(3)] + ["http://x.com/new/1", "http://y.com/b1/1", "http://y.com/new/1"]
+    urls += [f"http://z.org/7/a{k}" for k in range(20)] + ["http://z.org/8/a5"]
+    got = {urls[r.page_id]: (r.rule, r.verdict) for r in filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    assert got["http://x.com/new/1"] == (None, "block") and got["http://y.com/new/1"] == (None, "allow")
+    assert got["http://z.org/8/a5"] == (None, "block")
+
+
 def _brute_templates(urls, fan_out, strength=4.0):
     """(template, purity) of each url by the method, from plain dictionaries."""
     from tessella.llm.url_filter import RULES
@@ -264,10 +276,9 @@ def _brute_templates(urls, fan_out, strength=4.0):
             pm, pb = sum(x[0] for x in stat.values()), sum(x[1] for x in stat.values())
             p = (pb + 1) / (pm + 2)
             like = {s: m > 0 and abs(b - m * p) <= 2 * (m * p * (1 - p) + 0.25) ** 0.5 for s, (m, b, _) in stat.items()}
-            kin = {stat[s][2] for s in stat if like[s]}
             for seg, keys in sibs.items():
                 m, _, shape = stat[seg]
-                name = "*" if len(sibs) >= fan_out else seg if re.fullmatch(r"\{.\}", seg) else "*:" + shape if like[seg] or (m == 0 and shape in kin) else seg
+                name = "*" if len(sibs) >= fan_out else seg if re.fullmatch(r"\{.\}", seg) else "*:" + shape if like[seg] else "?:" + shape if m == 0 else seg
                 for k in keys:
                     if sum(map(len, sibs.values())) == 1:
                         final[k] = (*tpl, name, *k[1][level + 1 :])
@@ -279,6 +290,10 @@ def _brute_templates(urls, fan_out, strength=4.0):
         for i in range(2):
             stats[k[0], t][i] += labels[k][i]
             hosts[k[0]][i] += labels[k][i]
+    branches = defaultdict(lambda: [0, 0])
+    for (h, segs), (m, b) in labels.items():
+        branches[h, segs[:1]][0] += m
+        branches[h, segs[:1]][1] += b
     out = []
     for h, segs, v in info:
         t = final[h, segs]
@@ -286,7 +301,9 @@ def _brute_templates(urls, fan_out, strength=4.0):
         prior = (hb + 1) / (hm + 2)
         purity = 0.0 if hm == 0 else (b + strength * prior) / (m + strength)
         if m == 0:
-            purity = max(0.0, purity - 2 * (prior * (1 - prior) / (hm + 3)) ** 0.5)
+            known = [b / m for (g, _), (m, b) in branches.items() if g == h and m]
+            share = (sum(known) + 1) / (len(known) + 2)
+            purity = max(0.0, share - 2 * (share * (1 - share) / (len(known) + 3)) ** 0.5) if hm else 0.0
         out.append(("/" + "/".join(t), round(purity, 9), v or ("block" if purity > 0.5 else "allow")))
     return out
 
@@ -330,6 +347,20 @@ def test_secrets_are_told_by_owners_and_repositories(spark, monkeypatch):
         assert {x.doc_id: (x.n_live, x.n_example) for x in scan_secrets(df, repo_col="repo").collect()} == want
 
 
+def test_a_string_is_a_span_by_its_owners(spark):
+    """The same random string is a span where one owner holds it, and none once others do."""
+    from tessella.llm.secrets import loose, scan, scan_secrets
+
+    mine, ours, word = "Zk3fQ9xT7bLw2Rv8NpYa", "h7Gd2Kq9Wm4Xs6Jt1Vc5", "internationalisation_of_documents"
+    rows = [(0, f"é {mine} and token=abcdefgh12", "o1"), (1, f"{mine}{'!'} {word}", "o1"), (2, ours, "o1"), (3, f"x {ours}", "o2"), (4, f"token={mine}{ours}", "o3"), (5, "123456789-" * 5, "o4")]
+    got = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()}
+    assert got[0].spans == "own:2:22,assign:27:43" and got[0].n_live == 2
+    assert got[1].spans == "own:0:20" and got[2].spans == got[3].spans == "" and got[5].spans == ""
+    assert got[4].spans == "assign:0:46" and got[4].n_assign == 1
+    text = rows[4][1] + " " + mine
+    assert [x[1:3] for x in loose(text, scan(text))] == [(47, 67)]
+
+
 def test_hot_keys_join_as_others(spark, monkeypatch):
     from tessella.llm import _tables
     from tessella.llm.exact_dedup import exact_dedup
