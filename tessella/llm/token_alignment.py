@@ -2,8 +2,9 @@
 
 Only tokenising runs in Python: ids and byte ends of a text under two vocabularies.
 Then Spark's higher-order functions build everything: array_intersect of the two
-arrays of ends gives the common ends, their numbers in either array are met through
-maps from ends to sequence(), and slices between two common ends are the groups.
+arrays of ends gives the common ends; sorted together with an array they stand behind
+their equals, so their places there give how many ends come before, and slices between
+two such places are the groups.
 Groups go to the shared folder once. An id pair's documents are counted from each
 document's distinct pairs, combined before the shuffle. The links then look their
 counts up: pairs that more than a 2^16th of all rows hold can't be more than 2^16 and
@@ -13,39 +14,46 @@ shuffle in which no pair is hot.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ._tables import materialize
 from ._text import lean, slices
 from .packing import CACHE, Tokens
 
 MARK = "▁"
-TOKENS = "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+LARGE = 64  # links of a group from which on repeated ids are weighed, not repeated
+_IDS = ArrayType(IntegerType(), False)
+TOKENS = StructType([StructField("doc_id", LongType()), *(StructField(c, _IDS, False) for c in ("a_ids", "a_ends", "b_ids", "b_ends"))])
 
 
 class ByteTokens(Tokens):
-    """Byte-level tokens of a text in which special tokens' strings are plain text."""
+    """Byte-level tokens of texts in which special tokens' strings are plain text."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.special = []
         size = max(self.fast.max_token_value, self.exact.get_vocab_size()) + 1
-        self.lengths = np.zeros(size, np.int64)
+        self.lengths, self.spaced = np.zeros(size, np.int64), np.zeros(size, bool)
         for token in self.fast.token_byte_values():
-            self.lengths[self.fast.encode_single_token(token)] = len(token)
+            i = self.fast.encode_single_token(token)
+            self.lengths[i], self.spaced[i] = len(token), token.startswith(b" ")
 
+    def __call__(self, texts: list[str], words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one text after the other, counts), a space before each. words: none is empty, has a space or ends in white space."""
+        if words:
+            ids = np.array(self.fast.encode_ordinary(" " + " ".join(texts)), np.int32)
+            return ids, np.diff(np.r_[np.flatnonzero(self.spaced[ids]), len(ids)])
+        return _flat([self.fast.encode_ordinary(" " + t) for t in texts])
 
-class PieceTokens:
-    """Pieces of a text as little-endian uint32 bytes, or None where they don't spell the text with a space before it.
 
-    No piece has a space behind another character, so texts are cut before words and
-    the words' pieces remembered. A text whose spaces stand otherwise goes whole.
-    """
+class PieceTokens:
+    """Pieces of texts, None where they don't spell the text with a space before it."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -54,64 +62,140 @@ class PieceTokens:
         n = self.model.get_piece_size()
         names = [self.model.id_to_piece(i) for i in range(n)]
         self.spelt = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
-        self.whole = any(MARK in p.lstrip(MARK) for p in names)
+        self.joins = any(MARK in p.lstrip(MARK) for p in names)  # a piece over a word's end: texts can't be cut at spaces
         self.lengths = np.array([len(s) for s in self.spelt])
-        outer = self
 
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes | None:
-                if len(self) >= CACHE:
-                    self.clear()
-                self[word] = out = outer.encode(word)
-                return out
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, counts, which texts are spelt) of the texts one after the other."""
+        found = self.model.encode(texts, num_threads=1)
+        ids, counts = _flat(found)
+        wanted = [b" " + t.encode() for t in texts]
+        ends = np.r_[0, np.cumsum(self.lengths[ids])][np.cumsum(counts)]
+        if b"".join(map(self.spelt.__getitem__, ids.tolist())) == b"".join(wanted) and (ends == np.cumsum([len(w) for w in wanted])).all():
+            return ids, counts, np.ones(len(texts), bool)
+        return ids, counts, np.array([b"".join(map(self.spelt.__getitem__, f)) == w for f, w in zip(found, wanted, strict=True)])
+
 
-        self.words = Words()
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(counts.sum())), counts
 
-    def encode(self, text: str) -> bytes | None:
-        ids = self.model.encode(text)
-        if b"".join(map(self.spelt.__getitem__, ids)) != b" " + text.encode():
-            return None
-        return np.array(ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes | None:
-        if self.whole or "  " in text or text[:1] == " " or text[-1:] == " ":
-            return self.encode(text)
-        parts = [self.words[w] for w in text.split(" ")]
-        return None if None in parts else b"".join(parts)
+class Memory:
+    """Ids of words under both vocabularies in two flat arrays; a number for each word.
+
+    Neither vocabulary has a token over the end of a word that one space ends, so a text
+    with single spaces is its words' ids one after the other. Others, and those with
+    other white space before a space, go whole.
+    """
+
+    def __init__(self, a: ByteTokens, b: PieceTokens):
+        self.sides = (a, b)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.count, self.used = 0, [0, 0]
+        self.starts, self.sizes = np.zeros((2, 1 << 16), np.int64), np.zeros((2, 1 << 16), np.int64)
+        self.flat = [np.zeros(1 << 18, np.int32) for _ in "ab"]
+        self.sound, self.blank = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+
+    def add(self, texts: list[str], words: bool) -> int:
+        """Keep the ids of texts; the number of the first."""
+        first, need = self.count, self.count + len(texts)
+        if need > len(self.sound):
+            more = 2 * need - len(self.sound)
+            self.starts, self.sizes = (np.pad(x, ((0, 0), (0, more))) for x in (self.starts, self.sizes))
+            self.sound, self.blank = (np.pad(x, (0, more)) for x in (self.sound, self.blank))
+        a, b = self.sides
+        *pieces, sound = b(texts)
+        for k, (ids, sizes) in enumerate((a(texts, words), pieces)):
+            end = self.used[k] + len(ids)
+            if end > len(self.flat[k]):
+                self.flat[k] = np.pad(self.flat[k], (0, end))
+            self.flat[k][self.used[k] : end] = ids
+            self.sizes[k, first:need] = sizes
+            self.starts[k, first:need] = self.used[k] + np.cumsum(sizes) - sizes
+            self.used[k] = end
+        self.sound[first:need] = sound
+        self.count = need
+        return first
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = list({w for w, n in zip(words, found, strict=True) if n is None})
+            ends_blank = [w for w in new if w[-1].isspace()]  # as tokens they depend on what follows
+            plain = [w for w in new if not w[-1].isspace()]
+            first = self.add(plain, True) if plain else self.count
+            self.known.update(zip(plain, range(first, self.count), strict=True))
+            if ends_blank:
+                first = self.add(ends_blank, False)
+                self.blank[first : self.count] = True
+                self.known.update(zip(ends_blank, range(first, self.count), strict=True))
+            found = [self.known[w] if n is None else n for w, n in zip(words, found, strict=True)]
+        return np.array(found, np.int64)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, counts by text) of both sides; none where the pieces spell another text."""
+        if self.count > CACHE:
+            self.clear()
+        words, counts, whole = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if self.sides[1].joins or "  " in text or text[0] == " " or text[-1] == " ":
+                whole[i] = True
+            else:
+                parts = text.split(" ")
+                words += parts
+                counts[i] = len(parts)
+        codes, text_of = self._numbers(words), np.repeat(np.arange(len(texts)), counts)
+        last = np.zeros(len(codes), bool)
+        last[np.cumsum(counts)[counts > 0] - 1] = True
+        whole[text_of[self.blank[codes] & ~last]] = True
+        long = np.flatnonzero(whole)
+        if len(long):
+            keep = ~whole[text_of]
+            first = self.add([texts[i] for i in long], False)
+            codes, text_of = np.r_[codes[keep], np.arange(first, self.count)], np.r_[text_of[keep], long]
+            order = np.argsort(text_of, kind="stable")
+            codes, text_of = codes[order], text_of[order]
+        bad = np.zeros(len(texts), bool)
+        bad[text_of[~self.sound[codes]]] = True
+        keep = ~bad[text_of]
+        codes, text_of = codes[keep], text_of[keep]
+        out = []
+        for k in (0, 1):
+            sizes = self.sizes[k, codes]
+            ends = np.cumsum(sizes)
+            at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[k, codes] - ends + sizes, sizes)
+            out.append((self.flat[k][at], np.bincount(text_of, sizes, len(texts)).astype(np.int64)))
+        return out
 
 
 def _tokenise(path_a: str, path_b: str):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = ByteTokens(path_a), PieceTokens(path_b)
+        memory = Memory(ByteTokens(path_a), PieceTokens(path_b))
         for batch in slices(batches, 500):
-            found: list[list[bytes]] = [[], []]
-            for text in batch["text"].to_pylist():
-                y = b(text) if text else None
-                x = a(" " + text) if y is not None else b""
-                found[0].append(x)
-                found[1].append(y or b"")
             columns = [batch["doc_id"]]
-            for parts, lengths in zip(found, (a.lengths, b.lengths), strict=True):
-                counts = np.array([len(p) // 4 for p in parts], np.int64)
-                ids = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
-                ends, stops = np.cumsum(lengths[ids]), np.cumsum(counts)
-                starts = stops - counts
-                base = np.where(starts > 0, ends[starts - 1], 0) if len(ends) else np.zeros(len(counts), np.int64)
-                ends = ends - np.repeat(base, counts)
+            for side, (ids, counts) in zip(memory.sides, memory(batch["text"].to_pylist()), strict=True):
+                stops = np.cumsum(counts)
+                ends = np.r_[0, np.cumsum(side.lengths[ids])]
+                ends = ends[1:] - np.repeat(ends[stops - counts], counts)
                 offsets = pa.array(np.r_[0, stops].astype(np.int32))
-                columns += [pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(ends.astype(np.int32)))]
-            # the spelling of both sides is the same text, so their last ends must agree
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                columns += [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (ids, ends)]
+            yield pa.RecordBatch.from_arrays(columns, names=TOKENS.fieldNames())
 
     return run
 
 
 def _numbered(ends: Column, common: Column) -> Column:
-    """The places, from 1, of the common ends in an array of rising ends."""
-    at = F.map_from_arrays(ends, F.sequence(F.lit(1), F.size(ends)))
-    met = F.map_zip_with(at, F.map_from_arrays(common, common), lambda _, i, c: F.when(c.isNotNull(), i))
-    return F.filter(F.map_values(met), lambda i: i.isNotNull())
+    """How many ends lie up to each common end, in two rising arrays: both sorted together, a common one behind its equal."""
+    both = F.sort_array(F.concat(F.transform(ends, lambda e: e.cast("long") * 2), F.transform(common, lambda e: e.cast("long") * 2 + 1)))
+    at = F.transform(both, lambda x, i: F.when(x.bitwiseAND(1) == 1, i).otherwise(-1))
+    return F.transform(F.filter(at, lambda i: i >= 0), lambda i, g: i - g)
 
 
 def _cut(ids: Column, places: Column) -> Column:
@@ -138,15 +222,29 @@ def _joined(ids: Column) -> Column:
 
 def _weighed(ids: Column) -> Column:
     """Distinct ids of a group with how often they stand there."""
-    one = F.array(F.struct(ids[0].alias("id"), F.lit(1).alias("n")))
-    more = F.transform(F.array_distinct(ids), lambda x: F.struct(x.alias("id"), F.size(F.filter(ids, lambda y: y == x)).alias("n")))
-    return F.when(F.size(ids) == 1, one).otherwise(more)
+    return F.transform(F.array_distinct(ids), lambda x: F.struct(x.alias("id"), F.size(F.filter(ids, lambda y: y == x)).alias("n")))
 
 
 def _pair(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("long"), 32) + b
 
 
+def _pairs(distinct: bool) -> Column:
+    """The pairs of all groups, as often as they are linked; of large groups only with distinct=True, and then of distinct ids."""
+
+    def of(x: Column, y: Column) -> Column:
+        every = lambda p, q: F.flatten(F.transform(p, lambda i: F.transform(q, lambda j: _pair(i, j))))
+        large = every(F.array_distinct(x), F.array_distinct(y)) if distinct else F.array().cast("array<bigint>")
+        one = (F.size(x) == 1) & (F.size(y) == 1)
+        return F.when(one, F.array(_pair(x[0], y[0]))).when(_links(x, y) <= LARGE, every(x, y)).otherwise(large)
+
+    return F.flatten(F.zip_with("a", "b", of))
+
+
+def _links(x: Column, y: Column) -> Column:
+    return F.size(x).cast("long") * F.size(y)
+
+
 def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, as well as groups: its groups a and b.
 
@@ -161,21 +259,26 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     g = align(rows.mapInArrow(_tokenise(path_a, path_b), TOKENS))
-    written = F.array_join(F.zip_with("a", "b", lambda x, y: F.concat(_joined(x), F.lit("|"), _joined(y))), ";")
-    links = F.aggregate(F.zip_with("a", "b", lambda x, y: F.size(x).cast("long") * F.size(y)), F.lit(0).cast("long"), lambda s, n: s + n)
+    one = lambda x, y: (F.size(x) == 1) & (F.size(y) == 1)
+    written = F.array_join(F.zip_with("a", "b", lambda x, y: F.when(one(x, y), F.concat(x[0].cast("string"), F.lit("|"), y[0].cast("string"))).otherwise(F.concat(_joined(x), F.lit("|"), _joined(y)))), ";")
+    sizes = F.zip_with("a", "b", _links)
     sha = F.when(F.size("a") > 0, F.sha2(written, 256)).otherwise("")
-    g = g.select("doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.size("a").cast("long").alias("n_groups"), links.alias("n_links"), sha.alias("groups_sha256"), "a", "b")
+    g = g.withColumn("sizes", sizes)
+    links = F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + n)
+    g = g.select("doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.size("a").cast("long").alias("n_groups"), links.alias("n_links"), F.coalesce(F.array_max("sizes"), F.lit(0)).alias("largest"), sha.alias("groups_sha256"), "a", "b")
     g = materialize(g.withColumn("row", F.monotonically_increasing_id()), "align-groups")
 
-    own = F.array_distinct(F.flatten(F.zip_with("a", "b", lambda x, y: F.flatten(F.transform(F.array_distinct(x), lambda p: F.transform(F.array_distinct(y), lambda q: _pair(p, q)))))))
+    own = F.array_distinct(_pairs(True))
     counts = materialize(g.select(F.explode(own).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "align-pairs")
     first = F.shiftright("pair", 32)
     most = counts.groupBy(first.alias("id")).agg(F.max("n").alias("most"))  # a row for each id of the vocabulary at most
     facts = counts.withColumn("id", first).join(F.broadcast(most), "id").select("pair", "n", (F.col("n") == F.col("most")).cast("int").alias("best"))
     total = counts.agg(F.sum("n")).first()[0] or 0
 
-    each = g.select("row", F.explode(F.arrays_zip("a", "b")).alias("g")).select("row", F.explode(_weighed(F.col("g.a"))).alias("x"), F.col("g.b").alias("b"))
-    each = each.select("row", "x", F.explode(_weighed(F.col("b"))).alias("y")).select("row", _pair(F.col("x.id"), F.col("y.id")).alias("pair"), (F.col("x.n").cast("long") * F.col("y.n")).alias("w"))
+    each = g.select("row", F.explode(_pairs(False)).alias("pair"), F.lit(1).cast("long").alias("w"))
+    large = g.filter(F.col("largest") > LARGE).select("row", F.explode(F.filter(F.arrays_zip("a", "b"), lambda x: _links(x["a"], x["b"]) > LARGE)).alias("g"))
+    large = large.select("row", F.explode(_weighed(F.col("g.a"))).alias("x"), F.col("g.b").alias("b")).select("row", "x", F.explode(_weighed(F.col("b"))).alias("y"))
+    each = each.unionByName(large.select("row", _pair(F.col("x.id"), F.col("y.id")).alias("pair"), (F.col("x.n").cast("long") * F.col("y.n")).alias("w")))
     met = each.join(F.broadcast(facts.filter(F.col("n") > total >> 16)), "pair", "left")
     rare = F.when(F.col("n").isNull(), F.col("pair")).alias("pair")
     met = materialize(met.groupBy("row", rare).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("best")).alias("n_best"), F.sum(F.col("w") * F.col("n")).alias("count_sum")), "align-links")
