@@ -378,3 +378,47 @@ def test_hot_keys_join_as_others(spark, monkeypatch):
         monkeypatch.setattr(_tables, "HOT", hot)
         kept.append(sorted((x.doc_id, x.keep_id, x.group_size, x.kept) for x in exact_dedup(docs).collect()))
     assert kept[0] == kept[1] and sum(x[3] for x in kept[0]) == 21
+
+
+def test_language_network_equals_the_direct_convolution():
+    """Tables of byte pairs give what every filter gives slid over every window."""
+    from tessella.llm.language_id import FILTERS, WIDTHS, ByteCNN, windows
+
+    m = ByteCNN(["a", "b", "c"], seed=3)
+    texts = [b"short", "Grüße aus Köln, 日本語".encode(), bytes(range(256)) * 3, b"x"]
+    x, owner, weight = windows(texts, 64)
+    assert [int(weight[owner == i].sum()) for i in range(len(texts))] == [len(t) for t in texts]
+    got = m.predict(x, m.pair_tables())
+    for row, have in zip(x, got, strict=True):
+        hidden = [max(sum(float(t[k][row[s + k], f]) for k in range(w)) for s in range(len(row) - w + 1)) for w, t in zip(WIDTHS, m.tables, strict=True) for f in range(FILTERS)]
+        z = [sum(np.tanh(h) * float(m.out[i, j]) for i, h in enumerate(hidden)) + float(m.bias[j]) for j in range(3)]
+        e = np.exp(np.array(z) - max(z))
+        assert np.abs(have - e / e.sum()).max() < 1e-4
+
+
+def test_sweep_equals_best_fit_decreasing():
+    """Runs fill the gaps that a best fit of single pieces, the largest first, would fill."""
+    from tessella.llm.packing import GAP, NEXT, PIECE, PLACED, sweep
+
+    r = np.random.default_rng(8)
+    for _ in range(40):
+        length = int(r.integers(5, 60))
+        sizes = r.integers(1, length + 1, int(r.integers(1, 80)))
+        gaps = sorted(int(g) for g in r.integers(1, length, int(r.integers(0, 10))))
+        free, opened = list(gaps), 0
+        for size in sorted(sizes, reverse=True):
+            fits = [g for g in free if g >= size]
+            if fits:
+                free.remove(min(fits))
+            else:
+                opened += 1
+            rest = (min(fits) if fits else length) - size
+            if rest:
+                free.append(int(rest))
+        values, counts = np.unique(sizes, return_counts=True)
+        rows = [(PIECE, int(v), 0, int(n), 0, 0, 0) for v, n in zip(values, counts, strict=True)] + [(GAP, g, 100 + i, 1, 0, 0, 0) for i, g in enumerate(gaps)] + [(NEXT, 0, 1000, 0, 0, 0, 0)]
+        out = sweep(rows, length, True)
+        left = sorted(v for k, v, _, n, *_ in out if k == GAP for _ in range(n))
+        assert left == sorted(free)
+        assert [at for k, _, at, *_ in out if k == NEXT] == [1000 + opened]
+        assert sum(n for k, _, _, n, *_ in out if k == PLACED) == len(sizes)
