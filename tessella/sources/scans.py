@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import json
 import logging
+import re
 from functools import reduce
 
 import pandas as pd
@@ -139,21 +140,68 @@ def bundles(spark: SparkSession, dirs: list[str], schema: str, keys: list[str])
     return df.orderBy(*keys)
 
 
+def _scalar(text: str):
+    """A YAML scalar: quoted text, a JSON value, an inline list or map of plain words, or plain text."""
+    t = re.sub(r"""\A("(?:[^"\\]|\\.)*"|'(?:[^']|\'\')*'|.*?)(?:\s+\#.*)?\Z""", r"\1", text.strip(), flags=re.S)
+    if t[:1] == t[-1:] == "'" and len(t) > 1:
+        return t[1:-1].replace("''", "'")
+    if t.lower() in ("", "~", "null"):
+        return None
+    if t.lower() in ("true", "false"):
+        return t.lower() == "true"
+    try:
+        return json.loads(t)
+    except ValueError:
+        if t[0] == "[" and t[-1] == "]":
+            return [_scalar(x) for x in t[1:-1].split(",") if x.strip()]
+        if t[0] == "{" and t[-1] == "}":
+            return {k.strip(): _scalar(v) for k, _, v in (x.partition(":") for x in t[1:-1].split(",") if x.strip())}
+        return t
+
+
+def _block(lines: list[tuple[int, str]], at: int, indent: int) -> tuple[object, int]:
+    """(the map or list whose lines begin at `at` with that indent, the next line)."""
+    items, pairs = [], {}
+    while at < len(lines) and lines[at][0] == indent:
+        line = lines[at][1]
+        if line == "-" or line.startswith("- "):
+            inner = line[1:].lstrip()
+            if re.match(r"[^\s\"'\[{][^:]*:(?:\s|$)", inner):  # a map that begins behind the dash
+                lines[at] = (indent + len(line) - len(inner), inner)
+                value, at = _block(lines, at, lines[at][0])
+            elif inner:
+                value, at = _scalar(inner), at + 1
+            else:
+                value, at = _block(lines, at + 1, lines[at + 1][0]) if at + 1 < len(lines) and lines[at + 1][0] > indent else (None, at + 1)
+            items.append(value)
+            continue
+        if items:  # a list that stands no deeper than its key
+            break
+        key, colon, rest = line.partition(":")
+        if not colon or (rest and not rest[0].isspace()):
+            raise ValueError(f"not a YAML key: {line}")
+        at += 1
+        rest = "" if rest.strip().startswith("#") else rest
+        deeper = at < len(lines) and (lines[at][0] > indent or (lines[at][0] == indent and lines[at][1].startswith("-")))
+        if rest.strip() or not deeper:
+            pairs[_scalar(key)] = _scalar(rest)
+        else:
+            pairs[_scalar(key)], at = _block(lines, at, lines[at][0])
+    if at < len(lines) and lines[at][0] > indent:
+        raise ValueError(f"wrong indent: {lines[at][1]}")
+    return items or pairs, at
+
+
 def config(spark: SparkSession, path: str, overlay: dict | None = None) -> dict:
-    """A JSON configuration, or flat `key: value` lines of a YAML one, overlaid by the given values."""
+    """A JSON configuration or a YAML one (maps, lists and scalars by indentation; no anchors, tags or block texts), overlaid by the given values."""
     text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     if path.endswith(".json"):
         base = json.loads(text)
     else:
-        base = {}
-        for line in text.splitlines():
-            if line.strip() and not line.lstrip().startswith("#"):
-                k, _, v = line.partition(":")
-                v = v.split(" #")[0].strip()
-                try:
-                    base[k.strip()] = json.loads(v)
-                except ValueError:
-                    base[k.strip()] = v.strip("'\"")
+        lines = [(len(x) - len(x.lstrip(" ")), x.strip()) for x in text.splitlines() if x.strip() and x.strip() != "---" and not x.lstrip().startswith("#")]
+        base, at = _block(lines, 0, lines[0][0]) if lines else ({}, 0)
+        if at < len(lines):
+            raise ValueError(f"wrong indent: {lines[at][1]}")
     return {**base, **(overlay or {})}
 
 

@@ -83,7 +83,11 @@ def detector(should: Should):
 
 
 def detect(words: DataFrame, should: Should) -> DataFrame:
-    """seq_id, pos, trend of the first word of each sequence that should() takes; words: seq_id, pos, entropy, content, a stream or a table."""
+    """seq_id, pos, trend of the first word of each sequence that should() takes; words: seq_id, pos, entropy, content, a stream or a table.
+
+    A stream's state stays for good, so words may come at any time; where they have
+    event times, timers.detect() frees it when a sequence is over.
+    """
     return keyed(words, "seq_id", detector(should), "seq_id long, pos long, trend double", STATE)
 
 

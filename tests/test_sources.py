@@ -56,6 +56,32 @@ def test_tables_and_paths(spark, tmp_path):
     assert scans.existing(spark, f"{t}, {tmp_path}/gone.tsv") == [t]
     y = put(tmp_path / "c.yaml", "a: 1  # one\nb: 'x'\n# c: 3\n")
     assert scans.config(spark, y, {"b": 2, "d": 4}) == {"a": 1, "b": 2, "d": 4}
+    deep = """# a run
+model:
+  name: "x: #1"   # quoted
+  sizes: [1, 2, three]
+  nested: {k: v, n: 2}
+  none: ~
+stages:
+- kind: read
+  path: s3://b/c
+- kind: rank
+  options:
+    top: 3
+    on: True
+plain: it's here # comment
+single: 'it''s'
+lists:
+  -
+    - 1
+    - 2.5
+  - last
+"""
+    want = {"model": {"name": "x: #1", "sizes": [1, 2, "three"], "nested": {"k": "v", "n": 2}, "none": None}, "stages": [{"kind": "read", "path": "s3://b/c"}, {"kind": "rank", "options": {"top": 3, "on": True}}], "plain": "it's here", "single": "it's", "lists": [[1, 2.5], "last"]}
+    assert scans.config(spark, put(tmp_path / "deep.yaml", deep)) == want
+    for bad in ("a: 1\n   b: 2\n", "a:\n    b: 1\n  c: 2\n", "no key\n"):
+        with pytest.raises(ValueError):
+            scans.config(spark, put(tmp_path / "bad.yaml", bad))
     df = spark.createDataFrame([("1", '"Title"\nbody\nmore'), ("2", "alone")], "id string, contents string")
     assert rows(scans.passages(df)) == [("1", "Title", "body\nmore"), ("2", "alone", "")]
 
