@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,10 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """df, dealt out again where one partition of the scan holds more than four times its share: a file of one row group is one task's."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    sizes = df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"), F.sum("count")).first()
+    return df.repartition(n) if sizes[0] and n > 1 and sizes[0] * n > 4 * sizes[1] else df

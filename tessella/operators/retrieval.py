@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 
 from ._dialect import pair
-from .lexical import bm25, terms
+from ._shared import new_path
+from .lexical import bm25, build_index, search, terms
 from .vectors import dense
 
-__all__ = ["bm25", "dense", "query_candidates", "rerank", "retriever", "terms", "with_metadata"]
+__all__ = ["bm25", "build_index", "dense", "query_candidates", "rerank", "retriever", "search", "terms", "with_metadata"]
+
 
 def retriever(name: str) -> Callable[..., DataFrame]:
     """The search of that name: bm25 or dense."""
@@ -69,6 +71,12 @@ def _bm25(spark: SparkSession, sf_dir: str, fields: dict[str, Column], skip: int
     return bm25(read("benchmark"), read("documents"), fields, 3, skip).withColumn("score", F.round("score", 4))
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    index = build_index(read("documents"), new_path(spark, "index"), {"text": F.col("text")})
+    return search(index, read("benchmark"), 3).withColumn("score", F.round("score", 4))
+
+
 def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("head", F.substring_index("text", "\n", 1))
     hits = with_metadata(_bm25(spark, sf_dir, {"text": F.col("text")}, 2), docs, "doc_id", "head", "text")
@@ -90,6 +98,7 @@ _NORM = rf"lower(regexp_replace(regexp_replace(t, '{T.SPACE}+', ' ', 'g'), '\A{T
 
 CALLS = [
     ("bm25_top3", lambda spark, sf_dir: _bm25(spark, sf_dir, {"text": F.col("text")}), BM25_SQL.format(docs=BM25_TEXT, out=_PLAIN, join="", skip=0)),
+    ("bm25_index_top3", _indexed, BM25_SQL.format(docs=BM25_TEXT, out=_PLAIN, join="", skip=0)),
     ("bm25_two_fields", lambda spark, sf_dir: _bm25(spark, sf_dir, {"text": F.col("text"), "title": F.substring_index("text", "\n", 1)}), BM25_SQL.format(docs=_BOTH, out=_PLAIN, join="", skip=0)),
     ("bm25_metadata", _metadata, BM25_SQL.format(docs=BM25_TEXT, out="item_id, top.doc_id, rank, split_part(text, chr(10), 1) AS title, length(text) AS size, source, 3 AS fields", join="JOIN documents o ON o.doc_id = top.doc_id", skip=2)),
     ("dense_top3", _dense, """
