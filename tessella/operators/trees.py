@@ -31,21 +31,25 @@ def _longer_jumps(state: DataFrame, span: int, *carried: str) -> DataFrame:
     return deep.unionByName(state.filter(F.col("depth") < span), allowMissingColumns=True)
 
 
-def to_ancestors(nodes: DataFrame, values: dict[str, Column], weight: Column) -> DataFrame:
-    """tree, node and for each value the sum over the node and all its descendants, each times the weights on its way up.
+def to_ancestors(nodes: DataFrame, values: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """tree, node and for each (value, weight) the sum over the node and all its descendants, each times the weights on its way up.
 
-    weight is a node's on the step to its parent. A sum keeps its value's type, so
+    A weight is a node's on the step to its parent. A sum keeps its value's type, so
     decimals don't depend on order. Nodes need depth, 0 at the root.
     """
-    kinds = dict(nodes.select(*(v.alias(c) for c, v in values.items())).dtypes)
-    state = materialize(nodes.select(*KEY, "depth", F.col("parent").alias("jump"), weight.alias("w"), *(v.alias(c) for c, v in values.items())), "tree-sums")
-    deepest, span = _deepest(state), 1
-    kind = dict(state.dtypes)["w"]
+    start = nodes.select(*KEY, "depth", F.col("parent").alias("jump"), *(c for name, (v, w) in values.items() for c in (v.alias(name), w.alias(f"w_{name}"))))
+    state = materialize(start, "tree-sums")
+    kinds, deepest, span = dict(state.dtypes), _deepest(state), 1
+    weights = [f"w_{c}" for c in values]
     while span <= deepest:
-        given = state.filter("jump IS NOT NULL").groupBy("tree", F.col("jump").alias("node")).agg(*(F.sum((F.col(c) * F.col("w")).cast(kinds[c])).cast(kinds[c]).alias(f"add_{c}") for c in values))
-        longer = _longer_jumps(state, span, "w") if 2 * span <= deepest else state.withColumns({"up_jump": F.lit(None).cast("long"), "up_w": F.lit(None).cast(kind)})
-        new = longer.join(given, KEY, "left").select(*KEY, "depth", F.col("up_jump").alias("jump"), (F.col("w") * F.col("up_w")).cast(kind).alias("w"), *((F.col(c) + F.coalesce(f"add_{c}", F.lit(0))).cast(kinds[c]).alias(c) for c in values))
-        new = materialize(new, "tree-sums")
+        given = state.filter("jump IS NOT NULL").groupBy("tree", F.col("jump").alias("node")).agg(*(F.sum((F.col(c) * F.col(f"w_{c}")).cast(kinds[c])).cast(kinds[c]).alias(f"add_{c}") for c in values))
+        if 2 * span <= deepest:
+            longer = _longer_jumps(state, span, *weights)
+        else:
+            longer = state.withColumns({"up_jump": F.lit(None).cast("long")} | {f"up_{w}": F.lit(None).cast(kinds[w]) for w in weights})
+        sums = ((F.col(c) + F.coalesce(f"add_{c}", F.lit(0))).cast(kinds[c]).alias(c) for c in values)
+        ways = ((F.col(w) * F.col(f"up_{w}")).cast(kinds[w]).alias(w) for w in weights)
+        new = materialize(longer.join(given, KEY, "left").select(*KEY, "depth", F.col("up_jump").alias("jump"), *sums, *ways), "tree-sums")
         discard(state)
         state, span = new, 2 * span
     return state.select(*KEY, *values)
@@ -57,10 +61,9 @@ def backpropagate(nodes: DataFrame, gamma: float, mean: bool = False) -> DataFra
     mean: q is the running mean of what came, which ends as the sum over the visits.
     """
     one = F.lit(1).cast("long")
-    visits = to_ancestors(nodes, {"visits": one}, one)
-    sums = to_ancestors(nodes, {"q": F.col("reward").cast(EXACT)}, F.lit(gamma).cast(WEIGHT))
+    sums = to_ancestors(nodes, {"visits": (one, one), "q": (F.col("reward").cast(EXACT), F.lit(gamma).cast(WEIGHT))})
     q = F.col("q").cast("double")
-    return visits.join(sums, KEY).select(*KEY, "visits", (q / F.col("visits") if mean else q).alias("q"))
+    return sums.select(*KEY, "visits", (q / F.col("visits") if mean else q).alias("q"))
 
 
 def bottom_up_reward(nodes: DataFrame, beta: float) -> DataFrame:
@@ -74,12 +77,12 @@ def bottom_up_reward(nodes: DataFrame, beta: float) -> DataFrame:
     inner = nodes.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
     n = nodes.join(inner, KEY, "left").withColumn("leaf", F.when(F.col("inner").isNull(), F.col("f1") * F.pow(F.lit(beta), F.col("step"))))
     n = materialize(n.select(*KEY, "parent", "depth", F.coalesce("visits", F.lit(0)).alias("visits"), "leaf"), "tree-leaves")
-    answered = to_ancestors(n, {"answers": F.col("leaf").isNotNull().cast("double")}, (F.col("visits") > 0).cast("double"))
+    answered = to_ancestors(n, {"answers": (F.col("leaf").isNotNull().cast("double"), (F.col("visits") > 0).cast("double"))})
     known = materialize(n.join(answered, KEY).withColumn("has", F.col("answers") > 0), "tree-answers")
     weight = F.when(F.col("has"), F.col("visits")).otherwise(0).cast("double")
     whole = known.groupBy("tree", "parent").agg(F.sum(weight).alias("all"))
     shares = known.join(whole, ["tree", "parent"], "left").withColumn("share", F.when(F.col("all") > 0, weight / F.col("all")).otherwise(0.0))
-    sums = to_ancestors(shares, {"reward": F.coalesce("leaf", F.lit(0.0))}, F.col("share"))
+    sums = to_ancestors(shares, {"reward": (F.coalesce("leaf", F.lit(0.0)), F.col("share"))})
     return known.select(*KEY, "has").join(sums, KEY).select(*KEY, F.when(F.col("has"), F.col("reward")).alias("reward"))
 
 
