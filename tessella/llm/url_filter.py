@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ._tables import ascii_lower, join_counted, materialize
 
-RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 SINGLE = 8  # levels of one segment each
 FAN_OUT = 32  # siblings from which a level counts as variable
 STRENGTH = 4.0  # weight of the host's share in the smoothing

@@ -214,6 +214,18 @@ def test_url_filter(spark):
     assert filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_filter_rules_are_the_contracts(spark):
+    """Each rule's word as the contract lists it, spelled out here, on the host, a subdomain and in company of a longer rule."""
+    from tessella.llm.url_filter import filter_urls
+
+    urls = {"x://net/de/1": ("net/de/", "allow"), "x://sub.net/de/": ("net/de/", "allow"), "x://example.net/de/7": ("net/de/", "allow"), "x://example.net/de/8": ("example.net/de/8", "block")}
+    urls |= {"x://m.example.net/de/8/9": ("example.net/de/8", "block"), "x://a.com/en/7": ("com/en/", "block"), "x://example.com/en/8": ("com/en/", "block")}
+    urls |= {"x://example.com/en/7": ("example.com/en/7", "allow"), "x://m.example.com/en/70": ("example.com/en/7", "allow"), "x://a.org/es/1": ("org/es/", "block")}
+    names = list(urls)
+    got = {names[r.page_id]: (r.rule, r.verdict) for r in filter_urls(spark.createDataFrame(list(enumerate(names)), "page_id long, url string")).collect()}
+    assert got == urls
+
+
 def test_url_filter_rejects_without_a_rule(spark):
     from tessella.llm.url_filter import filter_urls
 
