@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import extract as X
 from tessella.functions import text as T
-from tessella.operators.retrieval import BM25_SQL, BM25_TEXT, bm25
+from tessella.operators.retrieval import BM25_SQL, BM25_TEXT, bm25, few
 
 
 class Search(Protocol):
@@ -28,7 +28,7 @@ class Search(Protocol):
 
 def retrieve(rows: DataFrame, backend: Search, docs: DataFrame, k: int, row_id: str = "qid", doc_id: str = "doc_id", title: str = "title", text: str = "text") -> DataFrame:
     """rows with passages, an array of struct(rank, title, text), and context, their one text."""
-    hits = backend(rows, k).join(docs.select(doc_id, F.col(title).alias("title"), F.col(text).alias("text")), doc_id)
+    hits = few(backend(rows, k)).join(docs.select(doc_id, F.col(title).alias("title"), F.col(text).alias("text")), doc_id)
     found = hits.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("rank", "title", "text"))).alias("passages"))  # k at most
     return rows.join(found, row_id, "left").withColumn("context", F.coalesce(T.passages_text(F.col("passages")), F.lit("")))
 

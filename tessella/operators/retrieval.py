@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 
 from ._dialect import pair
-from ._shared import new_path
-from .lexical import bm25, build_index, search, terms
+from ._shared import materialize, new_path
+from .lexical import BROADCAST, bm25, build_index, search, terms
 from .vectors import dense
 
 __all__ = ["bm25", "build_index", "dense", "query_candidates", "rerank", "retriever", "search", "terms", "with_metadata"]
@@ -22,11 +22,17 @@ def retriever(name: str) -> Callable[..., DataFrame]:
     return {"bm25": bm25, "dense": dense}[name]
 
 
+def few(hits: DataFrame) -> DataFrame:
+    """hits in a table; where they are few they go to all tasks of a join, so that no document's text is shuffled or sorted."""
+    hits = materialize(hits, "hits")
+    return F.broadcast(hits) if hits.count() <= BROADCAST else hits
+
+
 def with_metadata(hits: DataFrame, docs: DataFrame, doc_id: str, title: str, text: str) -> DataFrame:
     """hits with the documents' title, text and all other columns as a map of strings."""
     extra = [c for c in docs.columns if c not in (doc_id, title, text)]
     meta = F.create_map(*[x for c in extra for x in (F.lit(c), F.col(c).cast("string"))]) if extra else F.create_map().cast("map<string,string>")
-    return hits.join(docs.select(doc_id, F.col(title).alias("title"), F.col(text).alias("text"), meta.alias("raw_metadata")), doc_id)
+    return few(hits).join(docs.select(doc_id, F.col(title).alias("title"), F.col(text).alias("text"), meta.alias("raw_metadata")), doc_id)
 
 
 def rerank(hits: DataFrame, keys: list[str], doc: str, score: str) -> DataFrame:
