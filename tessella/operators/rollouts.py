@@ -108,9 +108,9 @@ def gold_index(gold: DataFrame) -> DataFrame:
 
 def attribute(rows: DataFrame, gold: DataFrame) -> DataFrame:
     """rows of benefits() with title hits, recall, first rank, support and answer hits, and the label retrieval__outcome."""
-    index = gold_index(gold).withColumnRenamed("documents", "gold_documents")
-    index = index.join(index.groupBy("question_key").agg(F.count("*").alias("n")), "question_key")
-    r = rows.withColumn("question_key", T.normalize_query(F.col("question"))).join(index, "question_key", "left")
+    index = gold_index(gold).groupBy("question_key").agg(F.count("*").alias("n"), F.any_value(F.struct("answer_key", "titles", "support")).alias("g")).select("question_key", "n", "g.*")
+    # a row a question: the actions, many more, aren't sorted for it
+    r = rows.withColumn("question_key", T.normalize_query(F.col("question"))).join(index.hint("shuffle_hash"), "question_key", "left")
     r = _sound(r, F.col("n") == 1, "a question has no gold or several")
     r = r.withColumn("seen", T.normalize_titles(F.col("documents.title"))).withColumn("texts", T.normalize_texts(F.col("documents.text")))
     found, wanted = F.size(F.array_intersect("seen", "titles")), F.size("titles")
@@ -140,7 +140,17 @@ def compare_interventions(source: DataFrame, restart: DataFrame, revision: DataF
     source action in metadata["original_action_id"] and must have its state and
     documents. Anything else raises.
     """
-    pick = lambda df, name: df.select(*SAMPLE, F.col("actions").alias(name))
+    # of an action what is compared, its documents as a digest: so much is joined and sorted, and no text
+    same_documents = lambda d: F.unhex(F.sha2(F.to_json(F.struct(d.alias("d")), {"ignoreNullFields": "false"}).cast("binary"), 256))
+    said = lambda a, name, kind: F.when(a["action_type"] == "retrieve", a["metadata"][name].cast(kind)).alias(name)
+
+    def lean(a: Column, name: str) -> Column:
+        more = [said(a, "original_action_id", "long")] if name != "append" else []
+        more += [said(a, "fallback_to_full_restart", "boolean")] if name == "revision" else []
+        documents = F.when(a["retrieved_documents"].isNotNull(), same_documents(a["retrieved_documents"]))
+        return F.struct(a["action_id"].alias("action_id"), a["state_id"].alias("state_id"), a["action_type"].alias("action_type"), a["scores"][metric].alias("score"), a["scores"][accuracy].alias("accuracy"), documents.alias("documents"), *more)
+
+    pick = lambda df, name: df.select(*SAMPLE, F.transform("actions", lambda a: lean(a, name)).alias(name))
     runs = {"append": source, "restart": restart} | ({"revision": revision} if revision is not None else {})
     both = None
     for name, df in runs.items():
@@ -151,9 +161,9 @@ def compare_interventions(source: DataFrame, restart: DataFrame, revision: DataF
     both = _sound(both, whole, "the runs hold different samples").withColumn("append", _by(F.col("append"), "action_id"))
     kind = lambda c, k: F.filter(c, lambda a: a["action_type"] == k)
     keeps = kind("restart", "skip")
-    both = _sound(both, F.size(keeps) == 1, "a restart sample has no single KEEP").withColumn("keep", keeps[0]["scores"][metric])
-    both = both.withColumn("keep_accuracy", keeps[0]["scores"][accuracy])
-    original = lambda a: a["metadata"]["original_action_id"].cast("long")
+    both = _sound(both, F.size(keeps) == 1, "a restart sample has no single KEEP").withColumn("keep", keeps[0]["score"])
+    both = both.withColumn("keep_accuracy", keeps[0]["accuracy"])
+    original = lambda a: a["original_action_id"]
     if revision is not None:
         both = both.withColumn("revised", F.map_from_entries(F.transform(kind("revision", "retrieve"), lambda a: F.struct(original(a), a))))
     rows = both.select("*", F.explode(kind("restart", "retrieve")).alias("r"))
@@ -163,12 +173,12 @@ def compare_interventions(source: DataFrame, restart: DataFrame, revision: DataF
         rows = rows.withColumn("v", F.try_element_at("revised", F.col("a.action_id")))
     others = {"restart": "r"} | ({"revision": "v"} if revision is not None else {})
     for name, c in others.items():
-        same = (F.col(f"{c}.state_id") == F.col("a.state_id")) & (F.col(f"{c}.retrieved_documents") == F.col("a.retrieved_documents"))
+        same = (F.col(f"{c}.state_id") == F.col("a.state_id")) & (F.col(f"{c}.documents") == F.col("a.documents"))
         rows = _sound(rows, same, f"{name} doesn't match its source action in state and documents")
     every = {"append": "a"} | others
-    scores = [F.col(f"{c}.scores")[metric].alias(name) for name, c in every.items()]
-    flips = [T.accuracy_flip(F.col("keep_accuracy"), F.col(f"{c}.scores")[accuracy]).alias(f"{name}_flip") for name, c in every.items()]
-    fell = [F.coalesce(F.col("v.metadata")["fallback_to_full_restart"].cast("boolean"), F.lit(False)).alias("fallback")] if revision is not None else []
+    scores = [F.col(f"{c}.score").alias(name) for name, c in every.items()]
+    flips = [T.accuracy_flip(F.col("keep_accuracy"), F.col(f"{c}.accuracy")).alias(f"{name}_flip") for name, c in every.items()]
+    fell = [F.coalesce(F.col("v.fallback_to_full_restart"), F.lit(False)).alias("fallback")] if revision is not None else []
     return rows.select(*SAMPLE, F.col("a.action_id"), F.col("keep"), *scores, *flips, *fell)
 
 
@@ -207,14 +217,16 @@ def cluster_bootstrap(rows: DataFrame, cluster: list[str], value: str, samples:
     the cluster's keys; percentiles are elements int(p * samples) of the sorted estimates.
     """
     spark = rows.sparkSession
-    means = global_rank(rows.groupBy(*cluster).agg(F.avg(value).alias("m")), cluster, "i")
+    means = materialize(rows.groupBy(*cluster).agg(F.avg(value).alias("m")), "bootstrap-means")  # rows are worked out once
+    means = materialize(global_rank(means, cluster, "i").select("i", "m"), "bootstrap-ranks")
     n = means.count()
     if not n:
         return spark.createDataFrame([(0.0, 0.0, 0.0, 0)], "mean double, low double, high double, clusters long")
     draws = spark.range(n * samples).select((F.col("id") / n).cast("long").alias("b"), (F.col("id") % n).alias("k"))
     digits = F.substring(F.md5(F.concat_ws(":", "b", "k").cast("binary")), 1, 8)
-    drawn = draws.select("b", (F.conv(digits, 16, 10).cast("long") % n).alias("i")).groupBy("b", "i").agg(F.count("*").alias("times"))
-    estimates = drawn.join(means.select("i", "m"), "i").groupBy("b").agg((F.sum(F.col("m") * F.col("times")) / n).alias("e"))
+    drawn = draws.select("b", (F.conv(digits, 16, 10).cast("long") % n).alias("i"))
+    # nearly every draw of a replicate is another cluster: counting them first would combine nothing, sorting them for the join neither
+    estimates = drawn.join(means.hint("shuffle_hash"), "i").groupBy("b").agg((F.sum("m") / n).alias("e"))
     at = lambda p: F.element_at(F.array_sort(F.collect_list("e")), min(samples - 1, max(0, int(p * samples))) + 1)
     return estimates.agg(at(low).alias("low"), at(high).alias("high")).crossJoin(means.agg(F.avg("m").alias("mean"), F.count("*").alias("clusters"))).select("mean", "low", "high", "clusters")
 
@@ -277,21 +289,35 @@ WITH s AS (SELECT o_custkey AS sample_index, o_orderkey AS state_id, o_orderstat
 def _bundles(spark: SparkSession, sf_dir: str, kind: str = "source") -> DataFrame:
     orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
     shift = {"source": 0, "restart": 1, "revision": 2}[kind]
-    key, line, part = F.col("o_orderkey"), F.col("line"), F.col("part")
+    key = F.col("o_orderkey")
     scores = lambda x: F.create_map(F.lit("f1"), x, F.lit("accuracy"), F.floor(x).cast("double"))
     doc = lambda p, rank: F.struct(F.concat(F.lit("Part_"), p.cast("string")).alias("title"), F.concat(F.lit("The part "), p.cast("string"), F.lit(" text!")).alias("text"), F.lit(rank).alias("rank"))
-    action = lambda i, t, q, s, d, m: F.struct(i.alias("action_id"), key.alias("state_id"), F.lit(t).alias("action_type"), q.alias("query_candidate_id"), scores(s).alias("scores"), d.alias("retrieved_documents"), m.alias("metadata"))
+    action = lambda i, k, t, q, s, d, m: F.struct(i.alias("action_id"), k.alias("state_id"), F.lit(t).alias("action_type"), q.alias("query_candidate_id"), scores(s).alias("scores"), d.alias("retrieved_documents"), m.alias("metadata"))
     none = F.lit(None).cast("string")
     per = lines.groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("line")).agg(F.min("l_partkey").alias("part"))
-    ident = key * 10 + line
-    retrieve = action(ident + 1000000000 * shift, "retrieve", F.concat_ws("-", key, line), ((key * 7 + line * 3 + shift) % 5) / F.lit(4.0), F.array(doc(part, 1), doc(part + 1, 2)), F.create_map(F.lit("original_action_id"), ident.cast("string"), F.lit("fallback_to_full_restart"), (ident % 3 == 0).cast("string")))
-    query = F.struct(F.concat_ws("-", key, line).alias("candidate_id"), F.when(line % 3 == 0, "question").when(line % 3 == 1, "trend").otherwise("gap").alias("source"), F.lit("text").alias("text"))
-    per = per.groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("line", "part"))).alias("ls")).join(orders, "o_orderkey")
-    flat = per.select("o_custkey", "o_orderkey", "o_orderstatus", F.explode("ls").alias("x")).select("*", "x.*")
-    got = flat.groupBy(F.col("o_custkey").alias("sample_index")).agg(F.collect_set(F.struct(key.alias("state_id"), F.col("o_orderstatus").alias("checkpoint_type"))).alias("states"), F.collect_list(query).alias("queries"), F.collect_list(retrieve).alias("retrieves"), F.collect_set(key).alias("keys"))
-    rebuilt = F.transform(F.array_sort("keys"), lambda k: F.struct((k * 10).alias("action_id"), k.alias("state_id"), F.lit("skip").alias("action_type"), none.alias("query_candidate_id"), scores((k % 5) / F.lit(4.0)).alias("scores"), F.array().cast("array<struct<title:string,text:string,rank:int>>").alias("retrieved_documents"), F.create_map(F.lit("original_action_id"), none).alias("metadata")))
-    keeps = F.slice(rebuilt, 1, 1) if kind != "source" else rebuilt
-    return got.select("sample_index", F.concat(F.lit("q"), F.col("sample_index").cast("string")).alias("qid"), F.concat(F.lit("Which  part of "), F.col("sample_index").cast("string")).alias("question"), "states", "queries", F.concat("retrieves", keeps).alias("actions"))
+    per = per.groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("line", "part"))).alias("ls")).join(orders.select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
+    # only keys and numbers are shuffled, the same for every kind of run, and by both keys of a sample, as whoever joins samples needs them
+    per = per.select(F.col("o_custkey").alias("sample_index"), F.concat(F.lit("q"), F.col("o_custkey").cast("string")).alias("qid"), F.struct(key.alias("key"), F.col("o_orderstatus").alias("status"), "ls").alias("o"))
+    got = per.groupBy(*SAMPLE).agg(F.collect_list("o").alias("os"))
+    flat = F.flatten(F.transform("os", lambda o: F.transform(o["ls"], lambda x: F.struct(o["key"].alias("key"), x["line"].alias("line"), x["part"].alias("part")))))
+    got = got.withColumn("xs", flat)
+
+    def retrieve(x: Column) -> Column:
+        key, line, part = x["key"], x["line"], x["part"]
+        ident = key * 10 + line
+        return action(ident + 1000000000 * shift, key, "retrieve", F.concat_ws("-", key, line), ((key * 7 + line * 3 + shift) % 5) / F.lit(4.0), F.array(doc(part, 1), doc(part + 1, 2)), F.create_map(F.lit("original_action_id"), ident.cast("string"), F.lit("fallback_to_full_restart"), (ident % 3 == 0).cast("string")))
+
+    def query(x: Column) -> Column:
+        line = x["line"]
+        return F.struct(F.concat_ws("-", x["key"], line).alias("candidate_id"), F.when(line % 3 == 0, "question").when(line % 3 == 1, "trend").otherwise("gap").alias("source"), F.lit("text").alias("text"))
+
+    def skip(k: Column) -> Column:
+        return action(k * 10, k, "skip", none, (k % 5) / F.lit(4.0), F.array().cast("array<struct<title:string,text:string,rank:int>>"), F.create_map(F.lit("original_action_id"), none))
+
+    keys = F.array_sort(F.array_distinct(F.transform("os", lambda o: o["key"])))
+    states = F.array_distinct(F.transform("os", lambda o: F.struct(o["key"].alias("state_id"), o["status"].alias("checkpoint_type"))))
+    keeps = F.transform(F.slice(keys, 1, 1) if kind != "source" else keys, skip)
+    return got.select(*SAMPLE, F.concat(F.lit("Which  part of "), F.col("sample_index").cast("string")).alias("question"), states.alias("states"), F.transform("xs", query).alias("queries"), F.concat(F.transform("xs", retrieve), keeps).alias("actions"))
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,3 +239,23 @@ def test_detector_streams_as_in_one_batch(spark, tmp_path):
     obs = spark.createDataFrame([("q", 3, "First fact.", False), ("q", 7, "First fact. Second", True), ("q", 9, "First fact. So", False), ("q", 12, "First fact. So the answer is x", False)], "qid string, token_index long, prefix string, triggered boolean")
     got = sorted((x.token_index, x.checkpoint_type) for x in detector.checkpoint_observer(obs).collect())
     assert got == [(3, "first_sentence_boundary"), (7, "first_etc_trigger"), (9, "before_first_answer_marker")]
+
+
+def test_bundles_shuffle_keys_not_texts(spark):
+    """A run of bundles is dealt out by sample once, before its texts are made; of the joins of samples only the second deals again."""
+    from tessella.operators import rollouts
+
+    plan = rollouts._matched(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "hashpartitioning(sample_index" in x]
+    assert len(dealt) <= 4, plan
+    layers = rollouts.layers(rollouts.unique_samples(rollouts._bundles(spark, "/root/testdata/sf0.001")))["states"]
+    assert sum("hashpartitioning(sample_index" in x for x in layers._jdf.queryExecution().executedPlan().toString().splitlines()) == 2
+
+
+def test_bootstrap_and_attribution_join_without_sorting_the_many(spark):
+    from tessella.operators import rollouts
+
+    rows = spark.createDataFrame([(i, float(i % 3)) for i in range(50)], "c long, v double")
+    for df in (rollouts.cluster_bootstrap(rows, ["c"], "v", 40), rollouts._attributed(spark, "/root/testdata/sf0.001")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan, plan
