@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import string
 import unicodedata
 from collections.abc import Callable
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +16,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 # Fixed value: what counts as white space when an answer is trimmed or split.
 SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_MARKS = re.compile(r"[^\w\s]")
 ARTICLES = ("a", "an", "the")
 
 
@@ -37,18 +40,20 @@ def normalize_query(c: Column) -> Column:
     return F.lower(strip(F.regexp_replace(c, rf"{SPACE}+", " ")))
 
 
-def _folded(values: pd.Series) -> pd.Series:
-    return values.fillna("").map(lambda v: unicodedata.normalize("NFKC", v).replace("_", " ").casefold())
+def _folded(v: str | None) -> str:
+    if v is None or v != v:
+        return ""
+    return v.replace("_", " ").lower() if v.isascii() else unicodedata.normalize("NFKC", v).replace("_", " ").casefold()
 
 
 def folded_title(values: pd.Series) -> pd.Series:
     """NFKC, underscores as spaces, full case folding, single spaces; punctuation stays."""
-    return _folded(values).map(lambda v: " ".join(v.split()))
+    return pd.Series([" ".join(_folded(v).split()) for v in values], dtype=object)
 
 
 def folded_text(values: pd.Series) -> pd.Series:
     """As folded_title, with everything but word characters as spaces."""
-    return _folded(values).str.replace(r"[^\w\s]", " ", regex=True).map(lambda v: " ".join(v.split()))
+    return pd.Series([" ".join(_MARKS.sub(" ", _folded(v)).split()) for v in values], dtype=object)
 
 
 def _each(fold: Callable[[pd.Series], pd.Series]) -> Callable:
@@ -56,9 +61,9 @@ def _each(fold: Callable[[pd.Series], pd.Series]) -> Callable:
 
     @pandas_udf(ArrayType(StringType()))
     def run(values: pd.Series) -> pd.Series:
-        lengths = values.map(lambda v: 0 if v is None else len(v)).astype(int)
-        flat = fold(pd.Series([x for v in values if v is not None for x in v], dtype=object)).tolist()
-        return pd.Series([None if v is None else flat[e - n : e] for v, n, e in zip(values, lengths, lengths.cumsum(), strict=True)], dtype=object)
+        lengths = [0 if v is None else len(v) for v in values]
+        flat = iter(fold(pd.Series([x for v in values if v is not None for x in v], dtype=object)).tolist())
+        return pd.Series([None if v is None else list(islice(flat, n)) for v, n in zip(values, lengths, strict=True)], dtype=object)
 
     return run
 
