@@ -31,7 +31,7 @@ for _module in (corpus, retrieval, scoring, sequence, bundles, evidence, stats,
     for _name, _spark, _duck in _module.QUERIES:
         QUERIES[_name] = spark_query(_spark)
         ORACLES[_name] = _duck or _spark
-for _module in (answers, rollouts, ranks, trees, retrieval, samples, checkpoints, hooks, traces, multimatch):  # operators called on DataFrames
+for _module in (answers, evidence, rollouts, ranks, trees, retrieval, samples, checkpoints, hooks, traces, multimatch):  # operators called on DataFrames
     for _name, _call, _duck in _module.CALLS:
         QUERIES[_name] = _call
         if _duck:

@@ -259,3 +259,10 @@ def test_bootstrap_and_attribution_join_without_sorting_the_many(spark):
     for df in (rollouts.cluster_bootstrap(rows, ["c"], "v", 40), rollouts._attributed(spark, "/root/testdata/sf0.001")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "ShuffledHashJoin" in plan, plan
+
+
+def test_hit_diagnostics_holds_no_table_of_parts(spark):
+    from tessella.plans.registry import QUERIES
+
+    plan = QUERIES["hit_diagnostics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and " HashAggregate" not in plan and plan.count("Exchange") == 1, plan
