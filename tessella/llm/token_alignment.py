@@ -1,27 +1,28 @@
-"""Cross-tokenizer alignment with array functions (operator 12).
-
-Only tokenising runs in Python: ids and byte ends of a text under two vocabularies.
-Then Spark's higher-order functions build everything: array_intersect of the two
-arrays of ends gives the common ends; sorted together with an array they stand behind
-their equals, so their places there give how many ends come before, and slices between
-two such places are the groups.
-Groups go to the shared folder once. An id pair's documents are counted from each
-document's distinct pairs, combined before the shuffle. The links then look their
-counts up: pairs that more than a 2^16th of all rows hold can't be more than 2^16 and
-are broadcast, so their links are summed where they lie; the others go through a
-shuffle in which no pair is hot.
+"""Cross-tokenizer alignment (operator 12).
+
+A task tokenises a block of texts under two vocabularies and aligns it in arrays: a
+byte offset where tokens of both sides end closes a group, so a token's group is the
+number of such offsets before it. From there the task writes a document's digest and
+its distinct id pairs, each with how often it is linked there.
+This goes to the shared folder once. An id pair's documents are counted from the
+pairs, combined before the shuffle. The links then look their counts up: pairs that
+more than a 2^16th of all rows hold can't be more than 2^16 and are broadcast, so
+their links are summed where they lie; the others go through a shuffle in which no
+pair is hot.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from ._tables import materialize
 from ._text import lean, slices
@@ -29,8 +30,12 @@ from .packing import CACHE, Tokens
 
 MARK = "▁"
 LARGE = 64  # links of a group from which on repeated ids are weighed, not repeated
-_IDS = ArrayType(IntegerType(), False)
-TOKENS = StructType([StructField("doc_id", LongType()), *(StructField(c, _IDS, False) for c in ("a_ids", "a_ends", "b_ids", "b_ends"))])
+BLOCK = 1 << 22  # bytes of texts, and links, that a task holds as arrays at once; a longer text is a block of its own
+BITS = 24  # of an id, where document and pair make one number
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
+PAIR = StructType([StructField("a", IntegerType(), False), StructField("b", IntegerType(), False), StructField("w", LongType(), False)])
+_ARRAYS = {"a_ids": IntegerType(), "a_last": BooleanType(), "b_ids": IntegerType(), "b_last": BooleanType(), "pairs": PAIR}
+ALIGNED = StructType([StructField("row", LongType()), StructField("doc_id", LongType()), *(StructField(c, LongType()) for c in NUMBERS), StructField("groups_sha256", StringType()), *(StructField(c, ArrayType(t, False)) for c, t in _ARRAYS.items())])
 
 
 class ByteTokens(Tokens):
@@ -174,75 +179,113 @@ class Memory:
         return out
 
 
-def _tokenise(path_a: str, path_b: str):
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(ByteTokens(path_a), PieceTokens(path_b))
-        for batch in slices(batches, 500):
-            columns = [batch["doc_id"]]
-            for side, (ids, counts) in zip(memory.sides, memory(batch["text"].to_pylist()), strict=True):
-                stops = np.cumsum(counts)
-                ends = np.r_[0, np.cumsum(side.lengths[ids])]
-                ends = ends[1:] - np.repeat(ends[stops - counts], counts)
-                offsets = pa.array(np.r_[0, stops].astype(np.int32))
-                columns += [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (ids, ends)]
-            yield pa.RecordBatch.from_arrays(columns, names=TOKENS.fieldNames())
-
-    return run
-
-
-def _numbered(ends: Column, common: Column) -> Column:
-    """How many ends lie up to each common end, in two rising arrays: both sorted together, a common one behind its equal."""
-    both = F.sort_array(F.concat(F.transform(ends, lambda e: e.cast("long") * 2), F.transform(common, lambda e: e.cast("long") * 2 + 1)))
-    at = F.transform(both, lambda x, i: F.when(x.bitwiseAND(1) == 1, i).otherwise(-1))
-    return F.transform(F.filter(at, lambda i: i >= 0), lambda i, g: i - g)
-
-
-def _cut(ids: Column, places: Column) -> Column:
-    """The ids between two places each."""
-    before = F.concat(F.array(F.lit(0)), F.slice(places, F.lit(1), F.size(places) - 1))
-    return F.zip_with(before, places, lambda p, q: F.slice(ids, p + 1, q - p))
-
+class Groups:
+    """The groups of a block of texts: ids, byte ends and counts by text of either side.
 
-def align(tokens: DataFrame) -> DataFrame:
-    """(doc_id, a_ids, b_ids, a, b): a and b hold each group's ids, group by group; both empty without tokens.
-
-    Takes (doc_id, a_ids, a_ends, b_ids, b_ends) of any two tokenizers, ends rising and the last ones equal.
+    Ends rise through the whole block, and both sides' texts end at the same bytes.
+    last: the tokens that end a group; group: each token's, numbered through the block.
     """
-    none, some = F.array().cast("array<int>"), F.size("a_ids") > 0
-    t = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    t = t.withColumns({f"at_{s}": F.when(some, _numbered(F.col(f"{s}_ends"), F.col("common"))).otherwise(none) for s in "ab"})
-    nothing = F.array().cast("array<array<int>>")
-    return t.select("doc_id", "a_ids", "b_ids", *(F.when(some, _cut(F.col(f"{s}_ids"), F.col(f"at_{s}"))).otherwise(nothing).alias(s) for s in "ab"))
-
-
-def _joined(ids: Column) -> Column:
-    return F.array_join(ids.cast("array<string>"), ",")
 
+    def __init__(self, *sides: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.ids, ends, self.counts = zip(*sides, strict=True)
+        here = np.zeros((2, max((int(e[-1]) for e in ends if len(e)), default=0) + 1), bool)
+        for k in (0, 1):
+            here[k, ends[k]] = True
+        self.last = [here[1 - k, ends[k]] for k in (0, 1)]
+        self.group = [np.cumsum(x) - x for x in self.last]
+        self.sizes = [np.diff(np.flatnonzero(x), prepend=-1) for x in self.last]
+        self.links = self.sizes[0] * self.sizes[1]
+        self.text = np.repeat(np.arange(len(self.counts[0])), self.counts[0])[self.last[0]]  # a group's
+
+    def written(self, names: list[bytes], shift: int) -> list[bytes]:
+        """Each text's groups as a1,a2|b1;a3|b2,b3. names: an id and what follows it, for side a, a's last, b and b's last, each by `shift`."""
+        places = [np.arange(len(i)) for i in self.ids]
+        starts = [np.cumsum(n) - n for n in self.sizes]
+        codes = np.empty(sum(map(len, places)), np.int64)
+        codes[places[0] + starts[1][self.group[0]]] = self.ids[0] + shift * self.last[0]
+        codes[places[1] + (starts[0] + self.sizes[0])[self.group[1]]] = self.ids[1] + shift * (2 + self.last[1])
+        stops = np.cumsum(self.counts[0] + self.counts[1]).tolist()
+        return [b"".join(map(names.__getitem__, codes[i:j].tolist()))[:-1] for i, j in zip([0, *stops], stops, strict=False)]
+
+    def _items(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, id, weight) of a side by group; a large group's ids once each, weighed."""
+        group, ids, weights = self.group[k], self.ids[k].astype(np.int64), np.ones(len(self.ids[k]), np.int64)
+        large = self.links[group] > LARGE
+        if large.any():
+            found, n = np.unique(group[large] << BITS | ids[large], return_counts=True)
+            group, ids, weights = np.r_[group[~large], found >> BITS], np.r_[ids[~large], found & ((1 << BITS) - 1)], np.r_[weights[~large], n]
+            order = np.argsort(group, kind="stable")
+            group, ids, weights = group[order], ids[order], weights[order]
+        return group, ids, weights
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(pairs by text, a, b, times linked in the text) of distinct pairs, in as many parts as keep each near BLOCK links; a pair is in one part."""
+        (ga, a, wa), (gb, b, wb) = self._items(0), self._items(1)
+        n = np.bincount(gb, minlength=len(self.links))
+        first = np.cumsum(n) - n
+        parts = max(1, -(-int(n[ga].sum()) // BLOCK))
+        for part in range(parts):
+            mine = slice(None) if parts == 1 else np.flatnonzero(a % parts == part)
+            g, each = ga[mine], n[ga[mine]]
+            at = np.arange(int(each.sum())) + np.repeat(first[g] - np.cumsum(each) + each, each)
+            key = np.repeat(self.text[g] << 2 * BITS | a[mine] << BITS, each) | b[at]
+            weights = np.repeat(wa[mine], each) * wb[at]
+            if (weights == 1).all():
+                key.sort()
+            else:
+                order = np.argsort(key, kind="stable")
+                key, weights = key[order], weights[order]
+            heads = np.flatnonzero(np.diff(key, prepend=-1))
+            sums = np.add.reduceat(weights, heads) if len(heads) else weights
+            key = key[heads]
+            yield np.bincount(key >> 2 * BITS, minlength=len(self.counts[0])), key >> BITS & ((1 << BITS) - 1), key & ((1 << BITS) - 1), sums
 
-def _weighed(ids: Column) -> Column:
-    """Distinct ids of a group with how often they stand there."""
-    return F.transform(F.array_distinct(ids), lambda x: F.struct(x.alias("id"), F.size(F.filter(ids, lambda y: y == x)).alias("n")))
 
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most 500 rows and about BLOCK bytes of text."""
+    for batch in slices(batches, 500):
+        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        start, size = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if size and size + n > BLOCK:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        yield batch.slice(start)
 
-def _pair(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("long"), 32) + b
 
+def _list(counts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values)
 
-def _pairs(distinct: bool) -> Column:
-    """The pairs of all groups, as often as they are linked; of large groups only with distinct=True, and then of distinct ids."""
 
-    def of(x: Column, y: Column) -> Column:
-        every = lambda p, q: F.flatten(F.transform(p, lambda i: F.transform(q, lambda j: _pair(i, j))))
-        large = every(F.array_distinct(x), F.array_distinct(y)) if distinct else F.array().cast("array<bigint>")
-        one = (F.size(x) == 1) & (F.size(y) == 1)
-        return F.when(one, F.array(_pair(x[0], y[0]))).when(_links(x, y) <= LARGE, every(x, y)).otherwise(large)
+def _aligned(path_a: str, path_b: str):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory(ByteTokens(path_a), PieceTokens(path_b))
+        shift = max(len(side.lengths) for side in memory.sides)
+        names = [b"%d%s" % (i, after) for after in (b",", b"|", b",", b";") for i in range(shift)]
+        for batch in _short(batches):
+            tokens = memory(batch["text"].to_pylist())
+            g = Groups(*((ids, np.cumsum(side.lengths[ids]), counts) for side, (ids, counts) in zip(memory.sides, tokens, strict=True)))
+            n = batch.num_rows
+            sums = [np.bincount(g.text, minlength=n), np.bincount(g.text, g.links, n).astype(np.int64)]
+            shas = [hashlib.sha256(x).hexdigest() if x else "" for x in g.written(names, shift)]
+            columns = [batch["row"], batch["doc_id"], *(pa.array(x) for x in (*g.counts, *sums)), pa.array(shas, pa.string())]
+            columns += [_list(g.counts[k], pa.array(v)) for k in (0, 1) for v in (g.ids[k], g.last[k])]
+            for part, (counts, a, b, w) in enumerate(g.pairs()):
+                if part:  # further pairs: no more than them and the row
+                    columns = [batch["row"], *(pa.nulls(n, c.type) for c in columns[1:11])]
+                pairs = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(w)], PAIR.fieldNames())
+                yield pa.RecordBatch.from_arrays([*columns, _list(counts, pairs)], names=ALIGNED.fieldNames())
 
-    return F.flatten(F.zip_with("a", "b", of))
+    return run
 
 
-def _links(x: Column, y: Column) -> Column:
-    return F.size(x).cast("long") * F.size(y)
+def _cut(ids: Column, last: Column) -> Column:
+    """The ids in pieces that end where last says."""
+    stops = F.filter(F.transform(last, lambda x, i: F.when(x, i + 1).otherwise(0)), lambda i: i > 0)
+    starts = F.slice(F.concat(F.array(F.lit(0)), stops), F.lit(1), F.size(stops))
+    return F.zip_with(starts, stops, lambda p, q: F.slice(ids, p + 1, q - p))
 
 
 def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,28 +300,16 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     further columns are not read. Whole texts are aligned, however long.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    g = align(rows.mapInArrow(_tokenise(path_a, path_b), TOKENS))
-    one = lambda x, y: (F.size(x) == 1) & (F.size(y) == 1)
-    written = F.array_join(F.zip_with("a", "b", lambda x, y: F.when(one(x, y), F.concat(x[0].cast("string"), F.lit("|"), y[0].cast("string"))).otherwise(F.concat(_joined(x), F.lit("|"), _joined(y)))), ";")
-    sizes = F.zip_with("a", "b", _links)
-    sha = F.when(F.size("a") > 0, F.sha2(written, 256)).otherwise("")
-    g = g.withColumn("sizes", sizes)
-    links = F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + n)
-    g = g.select("doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.size("a").cast("long").alias("n_groups"), links.alias("n_links"), F.coalesce(F.array_max("sizes"), F.lit(0)).alias("largest"), sha.alias("groups_sha256"), "a", "b")
-    g = materialize(g.withColumn("row", F.monotonically_increasing_id()), "align-groups")
-
-    own = F.array_distinct(_pairs(True))
-    counts = materialize(g.select(F.explode(own).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "align-pairs")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    g = materialize(rows.mapInArrow(_aligned(path_a, path_b), ALIGNED), "align-groups")
+
+    each = g.select("row", F.inline("pairs")).select("row", (F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("pair"), "w")
+    counts = materialize(each.groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "align-pairs")
     first = F.shiftright("pair", 32)
     most = counts.groupBy(first.alias("id")).agg(F.max("n").alias("most"))  # a row for each id of the vocabulary at most
     facts = counts.withColumn("id", first).join(F.broadcast(most), "id").select("pair", "n", (F.col("n") == F.col("most")).cast("int").alias("best"))
     total = counts.agg(F.sum("n")).first()[0] or 0
 
-    each = g.select("row", F.explode(_pairs(False)).alias("pair"), F.lit(1).cast("long").alias("w"))
-    large = g.filter(F.col("largest") > LARGE).select("row", F.explode(F.filter(F.arrays_zip("a", "b"), lambda x: _links(x["a"], x["b"]) > LARGE)).alias("g"))
-    large = large.select("row", F.explode(_weighed(F.col("g.a"))).alias("x"), F.col("g.b").alias("b")).select("row", "x", F.explode(_weighed(F.col("b"))).alias("y"))
-    each = each.unionByName(large.select("row", _pair(F.col("x.id"), F.col("y.id")).alias("pair"), (F.col("x.n").cast("long") * F.col("y.n")).alias("w")))
     met = each.join(F.broadcast(facts.filter(F.col("n") > total >> 16)), "pair", "left")
     rare = F.when(F.col("n").isNull(), F.col("pair")).alias("pair")
     met = materialize(met.groupBy("row", rare).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("best")).alias("n_best"), F.sum(F.col("w") * F.col("n")).alias("count_sum")), "align-links")
@@ -286,5 +317,6 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     parts = met.filter("pair is null").select("row", "n_best", "count_sum").unionByName(cold.select("row", (F.col("w") * F.col("best")).alias("n_best"), (F.col("w") * F.col("n")).alias("count_sum")))
     sums = parts.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     zero = F.lit(0).cast("long")
-    out = g.join(sums, "row", "left").withColumns({c: F.coalesce(c, zero) for c in ("n_best", "count_sum")})
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", F.arrays_zip("a", "b").alias("groups"))
+    out = g.filter("n_a is not null").join(sums, "row", "left").withColumns({c: F.coalesce(c, zero) for c in ("n_best", "count_sum")})
+    out = out.withColumns({s: _cut(F.col(f"{s}_ids"), F.col(f"{s}_last")) for s in "ab"})
+    return out.select("doc_id", *NUMBERS, "n_best", "count_sum", "groups_sha256", F.arrays_zip("a", "b").alias("groups"))

@@ -172,6 +172,50 @@ def test_align_tokens_empty(spark):
     assert align_tokens(none, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_align_tokens_in_parts(spark, monkeypatch):
+    """A text's groups are those the digest is of, pairs of one text come in several rows, and no step interprets a function an element of an array."""
+    import public_tokenizers as P
+
+    from tessella.llm import token_alignment as A
+
+    plans, write = [], A.materialize
+    monkeypatch.setattr(A, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or write(df, name))
+    mixed = "".join(chr(0x4E00 + (i * i) % 211) + "qzxj"[i % 4] for i in range(400))
+    table = [(i, t) for i, t in enumerate([*TEXTS, mixed, mixed + " " + mixed, "q" * 700])]
+    want = slow_alignment(table)
+    got = A.align_tokens(spark.createDataFrame(table, "doc_id long, text string").coalesce(1), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    rows = got.collect()
+    assert sorted((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in rows) == want
+    for r in rows:
+        text = ";".join(",".join(map(str, g.a)) + "|" + ",".join(map(str, g.b)) for g in r.groups)
+        assert (hashlib.sha256(text.encode()).hexdigest() if text else "") == r.groups_sha256
+    assert not [p for p in plans if "lambdafunction" in p]
+
+
+def test_groups_pairs_in_parts(monkeypatch):
+    import numpy as np
+
+    from tessella.llm import token_alignment as A
+
+    rng = np.random.default_rng(5)
+    sides = []
+    for _ in "ab":  # two texts of 4000 bytes each, whose tokens end at bytes of their own or at multiples of 200
+        ends = np.unique(np.r_[np.arange(200, 8001, 200), rng.choice(8000, 900, replace=False) + 1])
+        sides.append((rng.integers(0, 40, len(ends)).astype(np.int32), ends, np.array([(ends <= 4000).sum(), (ends > 4000).sum()])))
+    g = A.Groups(*sides)
+    want = Counter()
+    for k in range(len(g.links)):
+        xs, ys = (g.ids[j][g.group[j] == k].tolist() for j in (0, 1))
+        want += Counter((int(g.text[k]), x, y) for x in xs for y in ys)
+    assert (g.links > A.LARGE).any()
+    for block, parts in ((1 << 22, 1), (500, None)):
+        monkeypatch.setattr(A, "BLOCK", block)
+        found = list(g.pairs())
+        assert len(found) == 1 if parts else len(found) > 3
+        got = [((t, x, y), w) for counts, a, b, ws in found for t, x, y, w in zip(np.repeat([0, 1], counts).tolist(), a.tolist(), b.tolist(), ws.tolist(), strict=True)]
+        assert len(got) == len(want) and dict(got) == want
+
+
 # ---- operator 13
 
 
