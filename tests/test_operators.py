@@ -95,6 +95,47 @@ def test_deep_chain(spark, parts):
     assert len(short) == 700 and short[-1].path == " > ".join("x" * 700)
 
 
+def test_bushy_trees_move_little(spark, monkeypatch):
+    """A heap, a chain, a comb and a lone root against sums node by node; of a heap no row is written more than twice a pass, however deep it is."""
+    heap = [(1, k, (k - 1) // 2 if k else None) for k in range(4095)]
+    chain = [(2, k, k - 1 if k else None) for k in range(300)]
+    comb = [(3, k, (k - 1) // 2 * 2 if k else None) for k in range(401)]  # even nodes are its back
+    depth, rows = {}, []
+    for tree, node, parent in [*heap, *chain, *comb, (4, 0, None)]:
+        depth[tree, node] = 0 if parent is None else depth[tree, parent] + 1
+        rows.append((tree, node, parent, depth[tree, node], (7 * node + tree) % 5, None if node % 7 == 3 else (node % 11) / 10))
+    forest = spark.createDataFrame(rows, "tree int, node long, parent long, depth int, visits long, f1 double").withColumns({"step": F.col("depth") % 9, "reward": F.coalesce("f1", F.lit(0.0))})
+    kids, sums, rewards = {}, {}, {}
+    for tree, node, parent, deep, visits, f1 in reversed(rows):
+        below = kids.pop((tree, node), [])
+        n, q = 1 + sum(sums[k][0] for k in below), (f1 or 0.0) + sum(0.9 * sums[k][1] for k in below)
+        sums[tree, node] = (n, q)
+        known = [k for k in below if rewards[k][0] is not None]
+        weight = sum(rewards[k][1] for k in known)
+        leaf = None if f1 is None else f1 * 0.9 ** (deep % 9)
+        rewards[tree, node] = ((sum(r * v for r, v in map(rewards.get, known)) / weight if weight else None) if below else leaf, visits)
+        kids.setdefault((tree, parent), []).append((tree, node))
+    written, write = [], trees.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(trees, "materialize", counted)
+    back = {(r.tree, r.node): (r.visits, r.q) for r in trees.backpropagate(forest, 0.9).collect()}
+    assert back.keys() == sums.keys() and all(back[k][0] == n and back[k][1] == pytest.approx(q, abs=1e-6) for k, (n, q) in sums.items())
+    up = {(r.tree, r.node): r.reward for r in trees.bottom_up_reward(forest, 0.9).collect()}
+    assert up.keys() == rewards.keys() and all(up[k] == (None if r is None else pytest.approx(r, abs=1e-9)) for k, (r, _) in rewards.items())
+    assert any(r is None for r, _ in rewards.values())
+    written.clear()
+    trees.backpropagate(forest.filter("tree = 1"), 0.9)
+    assert sum(written) <= 2.2 * len(heap)
+    written.clear()
+    trees.bottom_up_reward(forest.filter("tree = 1"), 0.9)
+    assert sum(written) <= 4.4 * len(heap)
+
+
 OBS = "qid string, token_index long, prefix string, prefix_token_ids array<int>, triggered boolean"
 
 
